@@ -1,0 +1,15 @@
+"""Join sides whose size is checked before they are broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting at most max_rows + 1 rows of a narrow
+    dimension table; a larger side is left to a shuffled join (with AQE skew splitting)."""
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
