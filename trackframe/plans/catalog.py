@@ -1,6 +1,6 @@
 """Loads every module that registers queries."""
 
 from trackframe.plans import registry
-from trackframe.plans import activity_queries, space_queries  # noqa: F401
+from trackframe.plans import activity_queries, space_queries, track_queries, trail_queries  # noqa: F401
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES

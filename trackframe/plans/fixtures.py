@@ -194,4 +194,4 @@ flux as (
 
 
 def with_ctes(*ctes: str) -> str:
-    return "with " + ",\n".join(c.strip() for c in ctes) + "\n"
+    return "with recursive " + ",\n".join(c.strip() for c in ctes) + "\n"

@@ -117,12 +117,6 @@ COSINE = "coalesce(dot, 0) / sqrt(l.q * r.q)"
 PEARSON = """(coalesce(dot, 0) - l.s * r.s / 5184) /
    sqrt((l.q - l.s * l.s / 5184) * (r.q - r.s * r.s / 5184))"""
 EUCLID = "-sqrt(greatest(l.q + r.q - 2 * coalesce(dot, 0), 0))"
-FULL = """
-select g.site_id, i, j, round(similarity, 6) + 0.0 as similarity
-from (select distinct site_id from sim) g, range(24) a(i), range(24) b(j)
-left join sim using (site_id, i, j)"""
-
-
 def _similar(spark, sf_dir, metric, left, right):
     v = hour_vectors(spark, sf_dir)
     return gr.similarity(v.filter(F.col("direction") == left), v.filter(F.col("direction") == right),
@@ -237,10 +231,7 @@ bins as (
 one as (select site_id, day, hour, direction, bin, n / sum(n) over (partition by site_id, day, hour, direction) as share
         from bins),
 both_bins as (select site_id, day, hour, bin, sum(n) as n from bins group by all),
-both_shares as (select site_id, day, hour, bin, n / sum(n) over (partition by site_id, day, hour) as share from both_bins),
-dense as (select site_id, day, hour, direction, b::int as bin, coalesce(share, 0) as share
-          from (select distinct site_id, day, hour, direction from one) cross join range(12) t(b)
-          left join one using (site_id, day, hour, direction) where one.bin = b or one.bin is null)
+both_shares as (select site_id, day, hour, bin, n / sum(n) over (partition by site_id, day, hour) as share from both_bins)
 """
 
 
@@ -251,7 +242,7 @@ from slots s cross join range(12) t(b)
 left join both_shares o on o.site_id = s.site_id and o.day = s.day and o.hour = s.hour and o.bin = b""")
 def angle_histograms(spark, sf_dir):
     h = an.angle_histograms(fx.tracks(spark, sf_dir))
-    return rounded(an.histogram_rows(h, "both").withColumnRenamed("pos", "bin"))
+    return rounded(an.histogram_rows(h, "both"))
 
 
 PAIR_DIST = """
