@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -160,3 +161,90 @@ def standardised(df: DataFrame, columns, ddof_sample: bool = True) -> DataFrame:
     out = df.join(F.broadcast(stats), F.lit(True))
     return out.withColumns({c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
                             for c in columns}).drop(*[f"m_{c}" for c in columns], *[f"s_{c}" for c in columns])
+
+
+def predictor_correlations(table: DataFrame, predictors=PREDICTORS) -> DataFrame:
+    """Correlation of every two predictors."""
+    pairs = [(a, b) for a in predictors for b in predictors]
+    one = table.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"))
+                              for a, b in pairs]).alias("p"))
+    return one.select(F.explode("p").alias("p")).select("p.*")
+
+
+def variance_inflation(table: DataFrame, predictors=PREDICTORS) -> DataFrame:
+    """Diagonal of the inverse correlation matrix (one small matrix)."""
+    r = {(x.a, x.b): x.r for x in predictor_correlations(table, predictors).collect()}
+    inverse = np.linalg.inv(np.array([[r[a, b] for b in predictors] for a in predictors]))
+    rows = [(p, float(inverse[i, i])) for i, p in enumerate(predictors)]
+    return table.sparkSession.createDataFrame(rows, "predictor string, vif double")
+
+
+def _likelihood_terms(table: DataFrame, predictors, group: str) -> DataFrame:
+    """Per group: n and the sums of products of intercept, predictors and response."""
+    cols = [F.lit(1.0), *[F.col(p) for p in predictors], F.col("y")]
+    m = len(cols)
+    sums = [F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(m) for j in range(i, m)]
+    return table.groupBy(group).agg(*sums)
+
+
+def _profile(sums: DataFrame, ratios: list[float], m: int) -> list[tuple]:
+    """Sums of the generalised products for each variance ratio, added up over the groups in
+    Spark; only m x m numbers per ratio reach the driver."""
+    steps = F.array(*[F.lit(float(r)) for r in ratios])
+    s = sums.withColumn("ratio", F.explode(steps))
+    n = F.col("s0_0")
+    shrink = F.col("ratio") / (1 + n * F.col("ratio"))
+    aggs = [F.sum(F.col(f"s{i}_{j}") - shrink * F.col(f"s0_{i}") * F.col(f"s0_{j}")).alias(f"q{i}_{j}")
+            for i in range(m) for j in range(i, m)]
+    rows = s.groupBy("ratio").agg(*aggs, F.sum(F.log1p(n * F.col("ratio"))).alias("logdet"), F.sum(n).alias("n")).collect()
+    out = []
+    for row in rows:
+        q = np.zeros((m, m))
+        for i in range(m):
+            for j in range(i, m):
+                q[i, j] = q[j, i] = row[f"q{i}_{j}"]
+        beta = np.linalg.solve(q[:-1, :-1], q[:-1, -1])
+        variance = (q[-1, -1] - beta @ q[:-1, -1]) / row["n"]
+        loglik = -0.5 * (row["n"] * (math.log(2 * math.pi * variance) + 1) + row["logdet"])
+        out.append((loglik, row["ratio"], variance, beta, row["n"]))
+    return sorted(out, key=lambda o: o[0])
+
+
+def random_intercept_model(table: DataFrame, predictors=PREDICTORS, group: str = "site_id",
+                           rounds: int = 4) -> dict:
+    """Maximum-likelihood regression with a random intercept per group.
+
+    The data is read once into sums of products per group. The likelihood then depends on one
+    number, the ratio of the two variances, which is searched on a grid that is refined
+    `rounds` times around its best point.
+    """
+    m = len(predictors) + 2
+    # the group's intercept sums s0_i are part of the products because column 0 is the constant
+    sums = _likelihood_terms(table, predictors, group).persist()
+    grid = [0.0] + [10 ** (k / 4) for k in range(-24, 17)]
+    best = _profile(sums, grid, m)[-1]
+    width = 10 ** 0.25
+    for _ in range(rounds):
+        if best[1] == 0.0:
+            break
+        grid = [best[1] * width ** (k / 8) for k in range(-8, 9)]
+        best, width = _profile(sums, grid, m)[-1], width ** (1 / 8)
+    loglik, ratio, variance, beta, n = best
+    k = len(beta) + 2
+    return {"coefficients": dict(zip(("intercept", *predictors), map(float, beta))), "ratio": float(ratio),
+            "residual_variance": float(variance), "group_variance": float(ratio * variance), "n": int(n),
+            "log_likelihood": float(loglik), "aic": 2 * k - 2 * loglik, "bic": math.log(n) * k - 2 * loglik}
+
+
+def fitted_values(table: DataFrame, model: dict, predictors=PREDICTORS, group: str = "site_id") -> DataFrame:
+    """Fitted value (with the group's intercept) and residual of each row."""
+    c = model["coefficients"]
+    fixed = F.lit(c["intercept"])
+    for p in predictors:
+        fixed = fixed + c[p] * F.col(p)
+    t = table.withColumn("fixed", fixed)
+    ratio = model["ratio"]
+    effect = t.groupBy(group).agg((ratio * F.sum(F.col("y") - F.col("fixed"))
+                                   / (1 + F.count("*") * ratio)).alias("effect"))
+    return t.join(effect, group).withColumn("fitted", F.col("fixed") + F.col("effect")).withColumn(
+        "residual", F.col("y") - F.col("fitted")).drop("fixed", "effect")
