@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trackframe.functions.names import yes_no_label
 from trackframe.functions.ordering import average_ranks
+from trackframe.functions.sizing import broadcast_if_small
 from trackframe.schemas import require_columns
 
 # Thresholds of the sweep.
@@ -51,25 +53,42 @@ def scored(model: PipelineModel, rows: DataFrame, columns, ids=("video_id", "ant
     return rows.join(s, list(ids), "left")
 
 
-def leave_one_out_scores(table: DataFrame, columns, fold: str = "video_id", parallelism: int = 8) -> DataFrame:
-    """Scores of each clip from a model trained on all others. Clips whose training rows have
-    only one class are skipped. One model per clip: the folds are a short list."""
+def _raw_weights(model: PipelineModel) -> tuple[float, list[float]]:
+    """Intercept and weights on unscaled features."""
+    scaler, regression = model.stages[1], model.stages[2]
+    spread = np.where(scaler.std.toArray() > 0, scaler.std.toArray(), 1.0)
+    w = regression.coefficients.toArray() / spread
+    return float(regression.intercept - w @ scaler.mean.toArray()), [float(x) for x in w]
+
+
+def leave_one_out_scores(table: DataFrame, columns, fold: str = "video_id", parallelism: int = 8,
+                         out: str = "excavating_score") -> DataFrame:
+    """Scores of each clip from a model trained on all other clips. Clips whose training rows
+    have only one class are skipped.
+
+    The annotated clips are a short list, so one model per clip is fitted, several at a time.
+    Models are a handful of weights; all rows are scored in one join with them.
+    """
     table = table.persist()
     sums = {r[fold]: (r["n"], r["ones"]) for r in
             table.groupBy(fold).agg(F.count("*").alias("n"), F.sum("label").alias("ones")).collect()}
     n, ones = sum(v[0] for v in sums.values()), sum(v[1] for v in sums.values())
     folds = sorted(f for f, (k, o) in sums.items() if 0 < ones - o < n - k)
+
     def one(value):
         k, o = sums[value]
         model = fit_classifier(table.filter(F.col(fold) != value), columns, sizes=(n - k, ones - o))
-        return scored(model, table.filter(F.col(fold) == value), columns)
+        return (value, *_raw_weights(model))
 
     with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(one, folds))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rows = list(pool.map(one, folds))
+    kind = dict(table.dtypes)[fold]
+    models = table.sparkSession.createDataFrame(rows, f"`{fold}` {kind}, _b double, _w array<double>")
+    margin = F.col("_b")
+    for i, c in enumerate(columns):
+        margin = margin + F.get("_w", F.lit(i)) * F.col(c)
+    return (table.join(broadcast_if_small(models), fold)
+            .withColumn(out, 1 / (1 + F.exp(-margin))).drop("_b", "_w"))
 
 
 def fold_metrics(scores: DataFrame, fold=("video_id",), score: str = "excavating_score", label: str = "label",
