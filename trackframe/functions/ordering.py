@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trackframe.session import cut_lineage
+
 FRAME_BLOCK = 4096  # frames per block of a track
 
 
@@ -117,3 +119,44 @@ def average_ranks(df: DataFrame, group, value: str, block: Column | None = None,
                      (F.col("_before") + F.col("_upto") - F.col("_ties")
                       + (F.col("_ties") + 1) / 2.0).alias(out)))
     return df.join(ranks, [*group, value])
+
+
+def ranks_in_small_groups(group, value: str) -> Column:
+    """Ranks with ties averaged for groups of bounded size (the hours of a day). Both windows
+    share one shuffle by group."""
+    group = list(group)
+    ties = F.count("*").over(Window.partitionBy(*group, value))
+    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (ties - 1) / 2.0
+
+
+def exact_percentile(df: DataFrame, group, value: str, share: float, buckets: int = 4096,
+                     out: str = "percentile") -> DataFrame:
+    """Exact interpolated percentile per group for groups of any size.
+
+    Equal values are combined, counts per value range find the range that holds the wanted
+    rank, and only that range is put in order. No group is held in one aggregation buffer.
+    """
+    group = list(group)
+    keyed = df.filter(F.col(value).isNotNull()).select(*group, F.lit(1).alias("_all"), F.col(value).alias("_v"))
+    key = [*group, "_all"]
+    tallies = cut_lineage(keyed.groupBy(*key, "_v").agg(F.count("*").alias("_n")))
+    ends = tallies.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    width = F.col("_hi") - F.col("_lo")
+    bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))
+                    ).otherwise(F.lit(0))
+    placed = tallies.join(ends, key).withColumn("_b", bucket)
+    sizes = placed.groupBy(*key, "_b").agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_total"))
+    before = F.sum("_bn").over(Window.partitionBy(*key).orderBy("_b")) - F.col("_bn")
+    spot = share * (F.col("_total") - 1)
+    low, high = F.floor(spot), F.ceil(spot)
+    wanted = sizes.withColumn("_before", before).filter(
+        (F.col("_before") <= high) & (low < F.col("_before") + F.col("_bn"))).select(*key, "_b", "_before")
+    inside = Window.partitionBy(*key, "_b").orderBy("_v")
+    rows = placed.join(wanted, [*key, "_b"]).withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+    start = F.col("_end") - F.col("_n")
+
+    def at(rank):
+        return F.max(F.when((start <= rank) & (rank < F.col("_end")), F.col("_v")))
+
+    picked = rows.groupBy(*key).agg(at(low).alias("_v0"), at(high).alias("_v1"), F.first(spot - low).alias("_part"))
+    return picked.select(*group, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_part")).alias(out))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackframe.functions import geometry as g
+from trackframe.functions.ordering import exact_percentile
 from trackframe.operators.activity import SLOT
 from trackframe.operators.kinematics import centred
 from trackframe.schemas import FRAME_HEIGHT, FRAME_WIDTH
+from trackframe.session import cut_lineage
 
 CELL = ("x_bin", "y_bin")
 
@@ -70,12 +72,13 @@ def flux_field(speed_rows: DataFrame, by=(*SLOT, "direction"), size: int = 20,
 
 
 def upper_cap(cells: DataFrame, value: str, by, share: float = 0.95) -> DataFrame:
-    """Percentile of the non-zero values of a group as top of its colour scale; the largest
-    value, then 1, where there is none."""
-    agg = [F.percentile(F.when(F.col(value) > 0, F.col(value)), F.lit(share)).alias("p"),
-           F.max(value).alias("m")]
-    out = cells.groupBy(*by).agg(*agg) if by else cells.agg(*agg)
-    return out.select(*by, F.coalesce("p", F.when(F.col("m") > 0, F.col("m")), F.lit(1.0)).alias("cap"))
+    """Percentile of the non-zero values of a group as top of its colour scale; 1 without any.
+    A group may be a whole day or all slots, so the percentile is the one for large groups."""
+    top = exact_percentile(cells.filter(F.col(value) > 0), by, value, share, out="cap")
+    if not by:
+        return top.agg(F.coalesce(F.max("cap"), F.lit(1.0)).alias("cap"))
+    return (cells.select(*by).distinct().join(top, list(by), "left")
+            .withColumn("cap", F.coalesce("cap", F.lit(1.0))))
 
 
 def cumulative_flux(flux: DataFrame, by=("site_id", "day"), directions=("away", "toward")) -> DataFrame:
@@ -104,6 +107,10 @@ def similarity(left: DataFrame, right: DataFrame, group, ident: str, value: str,
     is their matrix. Vectors without mass give null.
     """
     group = list(group)
+    same = left is right
+    columns = [*group, ident, *CELL, value]
+    left = cut_lineage(left.select(*columns))  # cell sums, read for products, norms and sums
+    right = left if same else cut_lineage(right.select(*columns))
 
     def side(df, tag):
         v = df.select(*group, F.col(ident).alias(tag), *CELL, F.col(value).alias(f"v{tag}"))

@@ -16,13 +16,19 @@ from trackframe.session import cut_lineage
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def box_links(boxes: DataFrame, video: str = "video_id", seq: str = "seq", min_overlap: float = 0.1,
-              max_gap: int = 7, cell: int = 64, block: Column | None = None) -> DataFrame:
-    """Mutually best links (video, f, seq) -> (video, f2, seq2), f being the number of the
-    non-empty frame. `boxes` has one row per box with a number unique in its frame."""
+def numbered_boxes(boxes: DataFrame, video: str = "video_id", seq: str = "seq",
+                   block: Column | None = None) -> DataFrame:
+    """Boxes with the number `f` of their frame among the frames that have boxes; written once."""
+    boxes = cut_lineage(boxes.select(video, "frame_number", F.col(seq).alias("seq"), F.struct(*BOX).alias("box")))
     frames = with_position(boxes.select(video, "frame_number").distinct(), [video], ["frame_number"],
                            block, out="f", rows_out="_n").drop("_n")
-    b = boxes.join(frames, [video, "frame_number"]).select(video, "f", F.col(seq).alias("seq"), F.struct(*BOX).alias("box"))
+    return cut_lineage(boxes.join(frames, [video, "frame_number"]))
+
+
+def box_links(numbered: DataFrame, video: str = "video_id", min_overlap: float = 0.1, max_gap: int = 7,
+              cell: int = 64) -> DataFrame:
+    """Mutually best links (video, f, seq) -> (video, f2, seq2)."""
+    b = numbered.select(video, "f", "seq", "box")
 
     def span(low, high):
         return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
@@ -36,27 +42,32 @@ def box_links(boxes: DataFrame, video: str = "video_id", seq: str = "seq", min_o
     overlap = g.overlap_ratio("a", "b")
     near = (earlier.join(later, [video, "f2", "cx", "cy"]).filter(home & (overlap >= min_overlap))
             .select(video, "f", "seq", "f2", "seq2", "gap", overlap.alias("overlap")))
-    near = cut_lineage(near)
-    ahead = near.groupBy(video, "f", "seq").agg(
-        F.min(F.struct("gap", (-F.col("overlap")).alias("o"), "seq2", "f2")).alias("m")).select(
-        video, "f", "seq", "m.f2", "m.seq2")
-    back = near.groupBy(video, "f2", "seq2").agg(
-        F.min(F.struct("gap", (-F.col("overlap")).alias("o"), "seq", "f")).alias("m")).select(
-        video, "f2", "seq2", "m.f", "m.seq")
+    rank = [F.col("gap"), (-F.col("overlap")).alias("o")]
+    # both ends choose in one pass: a pair counts once for its earlier and once for its later box
+    ends = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("f").alias("kf"), F.col("seq").alias("kseq"),
+                 F.struct(*rank, F.col("seq2").alias("s"), F.col("f2").alias("t")).alias("m")),
+        F.struct(F.lit(1).alias("side"), F.col("f2").alias("kf"), F.col("seq2").alias("kseq"),
+                 F.struct(*rank, F.col("seq").alias("s"), F.col("f").alias("t")).alias("m")))
+    best = cut_lineage(near.select(video, F.explode(ends).alias("e")).select(video, "e.*")
+                       .groupBy(video, "side", "kf", "kseq").agg(F.min("m").alias("m")))
+    ahead = best.filter(F.col("side") == 0).select(
+        video, F.col("kf").alias("f"), F.col("kseq").alias("seq"), F.col("m.t").alias("f2"), F.col("m.s").alias("seq2"))
+    back = best.filter(F.col("side") == 1).select(
+        video, F.col("m.t").alias("f"), F.col("m.s").alias("seq"), F.col("kf").alias("f2"), F.col("kseq").alias("seq2"))
     return ahead.join(back, [video, "f", "seq", "f2", "seq2"])
 
 
 def linked_tracks(boxes: DataFrame, video: str = "video_id", seq: str = "seq", min_overlap: float = 0.1,
                   max_gap: int = 7, min_hits: int = 1, block: Column | None = None) -> DataFrame:
-    """Each box with the first box (frame and number) of its track.
+    """Each box with the first box (frame and number) of its track. `boxes` has one row per
+    box with a number unique in its frame.
 
     Every round lets a box point to what its present pointer points to, so chains of n boxes
     need about log2(n) written rounds.
     """
-    frames = with_position(boxes.select(video, "frame_number").distinct(), [video], ["frame_number"],
-                           block, out="f", rows_out="_n").drop("_n")
-    nodes = boxes.join(frames, [video, "frame_number"]).select(video, "frame_number", "f", F.col(seq).alias("seq"))
-    links = box_links(boxes, video, seq, min_overlap, max_gap, block=block).select(
+    nodes = numbered_boxes(boxes, video, seq, block)
+    links = box_links(nodes, video, min_overlap, max_gap).select(
         video, F.col("f2").alias("f"), F.col("seq2").alias("seq"), F.col("f").alias("pf"), F.col("seq").alias("pseq"))
     state = cut_lineage(nodes.join(links, [video, "f", "seq"], "left").select(
         video, "frame_number", "f", "seq", F.coalesce("pf", "f").alias("rf"), F.coalesce("pseq", "seq").alias("rseq")))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackframe.functions.ordering import with_position
+from trackframe.session import cut_lineage
 
 
 def hash_number(*parts: Column) -> Column:
@@ -27,10 +28,13 @@ def _day_block(order) -> Column:
 
 
 def bootstrap_means(values: DataFrame, group, columns, order, resamples: int = 10_000) -> DataFrame:
-    """Means of `columns` over each resample (with replacement) of each group."""
+    """Means of `columns` over each resample (with replacement) of each group.
+
+    The values (one row per slot) are written once, as they are read for sizes and positions.
+    """
     group, columns = list(group), list(columns)
-    indexed = with_position(values.select(*dict.fromkeys([*group, *order, *columns])), group, order,
-                            _day_block(order), out="_pos", rows_out="_n")
+    values = cut_lineage(values.select(*dict.fromkeys([*group, *order, *columns])))
+    indexed = with_position(values, group, order, _day_block(order), out="_pos", rows_out="_n")
     indexed = indexed.withColumn("_pos", F.col("_pos") - 1)
     draws = (values.groupBy(*group).agg(F.count("*").alias("_n"))
              .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trackframe.functions.ordering import average_ranks
+from trackframe.functions.ordering import average_ranks, ranks_in_small_groups
 from trackframe.functions.names import cyclic_hour
 
 
@@ -84,8 +84,9 @@ def lag_summary(best: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def spearman(pairs: DataFrame, group, x: str, y: str) -> DataFrame:
     """Rank correlation per group (small groups: the hours of a day); null if one side is constant."""
-    ranked = average_ranks(pairs, group, x, out="rx")
-    ranked = average_ranks(ranked, group, y, out="ry")
+    group = list(group)
+    ranked = pairs.select(*group, ranks_in_small_groups(group, x).alias("rx"),
+                          ranks_in_small_groups(group, y).alias("ry"))
     return ranked.groupBy(*group).agg(
         F.when((F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry")), F.corr("rx", "ry")).alias("rho"))
 

@@ -7,13 +7,16 @@ from trackframe.operators import resampling as rs, statistics as st
 from trackframe.plans import fixtures as fx
 from trackframe.plans.activity_queries import RATES, r
 from trackframe.plans.registry import query, rounded
+from trackframe.session import cut_lineage
 
 FX = fx.with_ctes(fx.TRACKS, fx.SPEEDS, fx.FLUX)
 B = 200
 
 
 def speeds(spark, sf_dir):
-    return k.speeds(fx.tracks(spark, sf_dir))
+    """Speeds computed once and read again by every branch of a query."""
+    return cut_lineage(k.speeds(fx.tracks(spark, sf_dir)).select(
+        "site_id", "day", "hour", "video_id", "frame_number", "direction", "center_x", "center_y", "velocity", "heading_deg"))
 
 
 def flux(spark, sf_dir):
@@ -119,8 +122,9 @@ PEARSON = """(coalesce(dot, 0) - l.s * r.s / 5184) /
 EUCLID = "-sqrt(greatest(l.q + r.q - 2 * coalesce(dot, 0), 0))"
 def _similar(spark, sf_dir, metric, left, right):
     v = hour_vectors(spark, sf_dir)
-    return gr.similarity(v.filter(F.col("direction") == left), v.filter(F.col("direction") == right),
-                         ["site_id"], "hour", "flux_mag", metric)
+    a_side = v.filter(F.col("direction") == left)
+    b_side = a_side if left == right else v.filter(F.col("direction") == right)
+    return gr.similarity(a_side, b_side, ["site_id"], "hour", "flux_mag", metric)
 
 
 def _full(sim_sql):
@@ -192,7 +196,7 @@ dd as (select l.site_id, l.day as i, r.day as j, sum(l.flux_mag * r.flux_mag) as
 select l.site_id, l.day as i, r.day as j, round(coalesce(dot, 0) / (l.q * r.q), 6) + 0.0 as similarity
 from dn l join dn r using (site_id) left join dd d on d.site_id = l.site_id and d.i = l.day and d.j = r.day""")
 def day_similarity_shuffled(spark, sf_dir):
-    v = rs.shuffled_cells(gr.cumulative_flux(flux(spark, sf_dir)), ["site_id", "day"], "flux_mag")
+    v = rs.shuffled_cells(cut_lineage(gr.cumulative_flux(flux(spark, sf_dir))), ["site_id", "day"], "flux_mag")
     return rounded(gr.similarity(v, v, ["site_id"], "day", "flux_mag"))
 
 
@@ -403,7 +407,8 @@ def day_pairs(spark, sf_dir):
     counts = a.direction_rates(t).select(*a.SLOT, (F.col("away") - F.col("toward")).alias("count_diff"))
     sp = a.speed_means(k.speeds(t)).select(*a.SLOT, (F.col("away") - F.col("toward")).alias("speed_diff"))
     both = counts.join(sp, list(a.SLOT), "left")
-    return st.on_hours(counts, both, columns=["count_diff", "speed_diff"])
+    both = cut_lineage(both)
+    return st.on_hours(both, both, columns=["count_diff", "speed_diff"])
 
 
 def _spearman(pairs):
@@ -474,18 +479,18 @@ NIGHT = "(case when i between 6 and 17 then 1 else 0 end) + (case when j between
           from (select distinct site_id from sim), range({P}) t(p), range(24) c(j)),
 perm as (select s.site_id, p, i, nj as j, similarity from sim s join ord using (site_id, j))"""))
 def band_strength_columns(spark, sf_dir):
-    s = _similar(spark, sf_dir, "cosine", "away", "away")
+    s = cut_lineage(_similar(spark, sf_dir, "cosine", "away", "away"))
     return rounded(rs.band_strength(s, rs.permuted_columns(s, ["site_id"], 24, P), ["site_id"]))
 
 
 @query("band_strength_entries", band_sql(entries_sql("0")))
 def band_strength_entries(spark, sf_dir):
-    s = _similar(spark, sf_dir, "cosine", "away", "away")
+    s = cut_lineage(_similar(spark, sf_dir, "cosine", "away", "away"))
     return rounded(rs.band_strength(s, rs.permuted_entries(s, ["site_id"], F.lit(0), P), ["site_id"]))
 
 
 @query("band_strength_day_night", band_sql(entries_sql(NIGHT)))
 def band_strength_day_night(spark, sf_dir):
-    s = _similar(spark, sf_dir, "cosine", "away", "away")
+    s = cut_lineage(_similar(spark, sf_dir, "cosine", "away", "away"))
     day = [F.when(F.col(c).between(6, 17), 1).otherwise(0) for c in ("i", "j")]
     return rounded(rs.band_strength(s, rs.permuted_entries(s, ["site_id"], day[0] + day[1], P), ["site_id"]))

@@ -7,8 +7,9 @@ from trackframe.operators import statistics as st, trails as tr
 from trackframe.plans import fixtures as fx
 from trackframe.plans.activity_queries import r
 from trackframe.plans.registry import query, rounded
-from trackframe.plans.space_queries import B, boot_sql, ci, flux
+from trackframe.plans.space_queries import B, boot_sql, ci, flux, speeds
 from trackframe.plans.track_queries import SEQ, boxes
+from trackframe.session import cut_lineage
 
 FX = fx.with_ctes(fx.TRACKS, fx.SPEEDS, fx.FLUX)
 
@@ -41,7 +42,7 @@ def trails(spark):
 
 
 def activity(spark, sf_dir):
-    return tr.trail_activity(k.speeds(fx.tracks(spark, sf_dir)), trails(spark))
+    return tr.trail_activity(speeds(spark, sf_dir), trails(spark))
 
 
 @query("trail_activity", TT + f"select site_id, trail_id, day, hour, direction, {r('raw', 'density')} from activity")
@@ -96,7 +97,7 @@ best as (select * from ts where r is not null
 
 def lagged(spark, sf_dir):
     first = fx.tracks(spark, sf_dir).agg(F.min("day")).first()[0]
-    s = tr.hour_axis(tr.paired_activity(activity(spark, sf_dir)), first)
+    s = cut_lineage(tr.hour_axis(tr.paired_activity(activity(spark, sf_dir)), first))
     return st.lagged_correlations(s, ["site_id", "trail_id"])
 
 
@@ -133,7 +134,7 @@ BX = fx.with_ctes(fx.TRACKS, fx.SPEEDS, fx.FLUX, BUSY)
 
 def busy_cells(spark, sf_dir, widen=0):
     f = gr.cumulative_flux(flux(spark, sf_dir), by=("site_id",)).withColumn("flux_mag", F.round("flux_mag", 9))
-    return tr.trail_cells(f, widen=widen)
+    return cut_lineage(tr.trail_cells(cut_lineage(f), widen=widen))
 
 
 BX = BX.replace("sum(flux_mag) as f from flux", "round(sum(flux_mag), 9) as f from flux")
@@ -206,7 +207,7 @@ def shortest_trail_lengths(spark, sf_dir):
 
 def found_trails(spark, sf_dir):
     c = busy_cells(spark, sf_dir)
-    return tr.trail_points(tr.shortest_trails(c, junctions(spark, c), min_length=2))
+    return cut_lineage(tr.trail_points(tr.shortest_trails(c, junctions(spark, c), min_length=2)))
 
 
 @query("trails_without_contained")
@@ -240,14 +241,20 @@ def individual_paths(spark, sf_dir):
                     (F.col("position") - 1).cast("int").alias("seq"), "x_bin", "y_bin")
 
 
-@query("path_overlaps", fx.with_ctes(fx.TRACKS, PATHS) + """
-, near as (select a.site_id, a.trail_id as a, b.trail_id as b, count(distinct a.seq) as k
-           from paths a join paths b on a.site_id = b.site_id and a.trail_id <> b.trail_id
-            and sqrt((a.x_bin - b.x_bin) ** 2 + (a.y_bin - b.y_bin) ** 2) < 3 group by all),
-n as (select site_id, trail_id as a, count(*) as n from paths group by all)
+# the cells visited in each hour of the day read as 24 trails per site
+@query("path_overlaps", fx.with_ctes(fx.TRACKS) + """
+, v as (select distinct site_id, hour as trail_id, (ceil(center_x / 20) - 1)::int as x_bin, (ceil(center_y / 20) - 1)::int as y_bin
+        from tracks where center_x > 0 and center_y > 0),
+near as (select a.site_id, a.trail_id as a, b.trail_id as b, count(distinct (a.x_bin, a.y_bin)) as k
+           from v a join v b on a.site_id = b.site_id and a.trail_id <> b.trail_id
+            and sqrt((a.x_bin - b.x_bin) ** 2 + (a.y_bin - b.y_bin) ** 2) < 2 group by all),
+n as (select site_id, trail_id as a, count(*) as n from v group by all)
 select site_id, a, b, round(k / n, 6) + 0.0 as overlap from near join n using (site_id, a)""")
 def path_overlaps(spark, sf_dir):
-    return rounded(tr.trail_overlaps(individual_paths(spark, sf_dir)))
+    t = gr.in_grid(gr.binned(k.centred(fx.tracks(spark, sf_dir))))
+    v = t.select("site_id", F.col("hour").alias("trail_id"), *gr.CELL).distinct().withColumn(
+        "seq", F.col("y_bin") * tr.NX + F.col("x_bin"))
+    return rounded(tr.trail_overlaps(cut_lineage(v), tolerance=2.0))
 
 
 @query("path_edges", fx.with_ctes(fx.TRACKS, PATHS) + """
