@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackframe.functions import geometry as g
+from trackframe.functions.ratios import correlation
 from trackframe.operators.resampling import hash_text
 from trackframe.session import cut_lineage
 
@@ -108,7 +109,7 @@ def feature_correlations(trajectories: DataFrame, features=FEATURES, k: int | No
     """Absolute correlation of feature pairs, the k strongest."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
     one = trajectories.agg(F.array(*[F.struct(
-        F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.corr(a, b).alias("r")) for a, b in pairs]).alias("p"))
+        F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), correlation(a, b).alias("r")) for a, b in pairs]).alias("p"))
     out = one.select(F.explode("p").alias("p")).select("p.*").withColumn("strength", F.abs("r"))
     return out if k is None else out.orderBy(F.desc_nulls_last("strength"), "feature_a", "feature_b").limit(k)
 
@@ -146,8 +147,9 @@ def representative_sample(trajectories: DataFrame, n: int, length: str = "trajec
 
 
 def assembled(df: DataFrame, features, scaled: bool = True) -> DataFrame:
-    """Rows with all features as vector `features`; scaled to mean 0 and deviation 1."""
-    whole = df.dropna(subset=list(features))
+    """Rows with all features as vector `features`; scaled to mean 0 and deviation 1. The
+    feature table (one row per trajectory) is written once, as fitting reads it many times."""
+    whole = cut_lineage(df.dropna(subset=list(features)))
     out = VectorAssembler(inputCols=list(features), outputCol="raw").transform(whole)
     if not scaled:
         return out.withColumnRenamed("raw", "features")
@@ -211,11 +213,12 @@ def cluster_quality(labelled: DataFrame, features_col: str = "features", label:
     k, n = F.col("n_clusters"), F.col("n")
     out = counts.join(F.broadcast(sums), F.lit(True))
     return out.select("n_clusters", "n", "noise_ratio", F.lit(float(sil)).alias("silhouette"),
-                      ((F.col("between") / (k - 1)) / (F.col("within") / (n - k))).alias("calinski_harabasz"))
+                      F.try_divide(F.col("between") * (n - k), F.col("within") * (k - 1)).alias("calinski_harabasz"))
 
 
 def principal_components(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     """Centred principal components of vector column `features`, with their variance shares."""
+    rows = cut_lineage(rows)
     centred = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False).fit(rows).transform(rows)
     model = PCA(k=k, inputCol="centred", outputCol="pca").fit(centred)
     return model.transform(centred).drop("centred"), [float(v) for v in model.explainedVariance]
@@ -234,6 +237,7 @@ def flux_map_clusters(vectors: DataFrame, n_components: int = 20, n_clusters: in
                       seed: int = 0) -> tuple[DataFrame, list[float]]:
     """Principal components of flux maps, then k-means."""
     rows, shares = principal_components(vectors, n_components)
+    rows = cut_lineage(rows.drop("features"))
     model = KMeans(k=n_clusters, seed=seed, featuresCol="pca").fit(rows)
     return model.transform(rows).withColumnRenamed("prediction", "cluster_label"), shares
 

@@ -127,10 +127,10 @@ def similarity(left: DataFrame, right: DataFrame, group, ident: str, value: str,
     n = float(n_cells)
     some = (F.col("si") > 0) & (F.col("sj") > 0)
     if metric == "cosine":
-        sim = F.col("dot") / F.sqrt(F.col("qi") * F.col("qj"))
+        sim = F.try_divide("dot", F.sqrt(F.col("qi") * F.col("qj")))
     elif metric == "correlation":
         cov = F.col("dot") - F.col("si") * F.col("sj") / n
-        sim = cov / F.sqrt((F.col("qi") - F.col("si") ** 2 / n) * (F.col("qj") - F.col("sj") ** 2 / n))
+        sim = F.try_divide(cov, F.sqrt((F.col("qi") - F.col("si") ** 2 / n) * (F.col("qj") - F.col("sj") ** 2 / n)))
     elif metric == "euclidean":
         sim = -F.sqrt(F.greatest(F.col("qi") + F.col("qj") - 2 * F.col("dot"), F.lit(0.0)))
     else:

@@ -23,8 +23,10 @@ def hash_text(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
-def _day_block(order) -> Column:
-    return F.floor(F.unix_date(F.col("day")) / 64) if list(order)[:1] == ["day"] else F.lit(0)
+def _day_block(values: DataFrame, order) -> Column:
+    """Blocks of 64 days when rows are ordered by date first."""
+    by_date = list(order)[:1] == ["day"] and dict(values.dtypes)["day"] == "date"
+    return F.floor(F.unix_date("day") / 64) if by_date else F.lit(0)
 
 
 def bootstrap_means(values: DataFrame, group, columns, order, resamples: int = 10_000) -> DataFrame:
@@ -34,7 +36,7 @@ def bootstrap_means(values: DataFrame, group, columns, order, resamples: int = 1
     """
     group, columns = list(group), list(columns)
     values = cut_lineage(values.select(*dict.fromkeys([*group, *order, *columns])))
-    indexed = with_position(values, group, order, _day_block(order), out="_pos", rows_out="_n")
+    indexed = with_position(values, group, order, _day_block(values, order), out="_pos", rows_out="_n")
     indexed = indexed.withColumn("_pos", F.col("_pos") - 1)
     draws = (values.groupBy(*group).agg(F.count("*").alias("_n"))
              .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackframe.functions.ordering import average_ranks, ranks_in_small_groups
 from trackframe.functions.names import cyclic_hour
+from trackframe.functions.ratios import correlation
 
 
 def two_sample_t(values: DataFrame, group, a: str = "away", b: str = "toward") -> DataFrame:
@@ -19,8 +20,9 @@ def two_sample_t(values: DataFrame, group, a: str = "away", b: str = "toward") -
         na.alias("na"), nb.alias("nb"), F.avg(a).alias("ma"), F.avg(b).alias("mb"),
         F.var_samp(a).alias("va"), F.var_samp(b).alias("vb"))
     df = F.col("na") + F.col("nb") - 2
-    pooled = ((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / df
-    se = F.sqrt(pooled * (1.0 / F.col("na") + 1.0 / F.col("nb")))
+    spread = (F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")
+    pooled = F.try_divide(spread, df)
+    se = F.sqrt(pooled * (F.try_divide(F.lit(1.0), F.col("na")) + F.try_divide(F.lit(1.0), F.col("nb"))))
     return s.select(*group, (F.col("na") + F.col("nb") - 2).alias("dof"),
                     F.when(se > 0, (F.col("ma") - F.col("mb")) / se).alias("t"))
 
@@ -42,7 +44,7 @@ def mann_whitney_u(values: DataFrame, group, a: str = "away", b: str = "toward",
     na, nb = F.col("na"), F.col("nb")
     n = na + nb
     u = F.col("ra") - na * (na + 1) / 2
-    var = na * nb / 12 * (n + 1 - F.col("ties") / (n * (n - 1)))
+    var = na * nb / 12 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0)))
     z = F.when(var > 0, (F.abs(u - na * nb / 2) - 0.5) / F.sqrt(var))
     return s.select(*group, u.alias("u"), z.alias("z"))
 
@@ -57,11 +59,11 @@ def lagged_correlations(series: DataFrame, group, max_lag: int = 12, min_samples
     lead = lead.withColumn(t, F.col("_t") + F.col("lag")).drop("_t")
     pairs = lead.join(series.select(*group, t, F.col(follower).alias("y")), [*group, t])
     s = pairs.groupBy(*group, "lag").agg(
-        F.count("*").alias("n"), F.corr("x", "y").alias("r"),
+        F.count("*").alias("n"), correlation("x", "y").alias("r"),
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     ok = (F.col("n") >= min_samples) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
     r = F.when(ok, F.col("r"))
-    tstat = r * F.sqrt((F.col("n") - 2) / (1 - r * r))
+    tstat = r * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - r * r))
     return s.select(*group, "lag", "n", r.alias("r"), tstat.alias("t_stat"))
 
 
@@ -88,7 +90,7 @@ def spearman(pairs: DataFrame, group, x: str, y: str) -> DataFrame:
     ranked = pairs.select(*group, ranks_in_small_groups(group, x).alias("rx"),
                           ranks_in_small_groups(group, y).alias("ry"))
     return ranked.groupBy(*group).agg(
-        F.when((F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry")), F.corr("rx", "ry")).alias("rho"))
+        F.when((F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry")), correlation("rx", "ry")).alias("rho"))
 
 
 def sign_agreement(pairs: DataFrame, group, x: str, y: str) -> DataFrame:
@@ -167,7 +169,7 @@ def standardised(df: DataFrame, columns, ddof_sample: bool = True) -> DataFrame:
 def predictor_correlations(table: DataFrame, predictors=PREDICTORS) -> DataFrame:
     """Correlation of every two predictors."""
     pairs = [(a, b) for a in predictors for b in predictors]
-    one = table.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"))
+    one = table.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("r"))
                               for a, b in pairs]).alias("p"))
     return one.select(F.explode("p").alias("p")).select("p.*")
 

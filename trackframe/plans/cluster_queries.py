@@ -8,7 +8,7 @@ from trackframe.operators import statistics as st, trajectories as tj
 from trackframe.plans import fixtures as fx
 from trackframe.plans.activity_queries import RATES, r
 from trackframe.plans.registry import query, r6, rounded
-from trackframe.plans.space_queries import flux
+from trackframe.plans.space_queries import speeds
 from trackframe.plans.track_queries import FEATURES, PROXIMITY, SCORES, STEPS, scores
 
 # ---- labels over time --------------------------------------------------------------------
@@ -219,7 +219,7 @@ def behaviour_cluster_quality(spark, sf_dir):
 
 @query("flux_map_clusters")
 def flux_map_clusters(spark, sf_dir):
-    cells = gr.flux_field(k.speeds(fx.tracks(spark, sf_dir)), by=("site_id", "day", "hour"), size=120)
+    cells = gr.flux_field(speeds(spark, sf_dir), by=("site_id", "day", "hour"), size=120)
     v = cl.flux_map_vectors(gr.flux_shares(cells, by=("site_id", "day", "hour")), nx=16, ny=9)
     rows, _ = cl.flux_map_clusters(v, 10, 6)
     return rows.groupBy("cluster_label", "hour").agg(F.count("*").alias("n"))

@@ -7,14 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
+def local_session(cores: str = "8", memory: str = "12g", partitions: str | None = None) -> SparkSession:
     """Session for tests and benchmarks on one machine; a cluster brings its own."""
+    partitions = partitions or (cores if cores.isdigit() else "8")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("trackframe")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
+        .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
