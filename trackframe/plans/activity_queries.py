@@ -23,11 +23,11 @@ TR = fx.with_ctes(fx.TRACKS, RATES)
 
 
 def r(*cols):
-    return ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in cols)
+    return ", ".join(f"round({c} + 1e-9, 6) + 0.0 as {c}" for c in cols)
 
 
 @query("hourly_direction_difference", TR + f"""
-select site_id, hour, round(avg(away - toward), 6) + 0.0 as difference, count(*) as n_slots
+select site_id, hour, round(avg(away - toward) + 1e-9, 6) + 0.0 as difference, count(*) as n_slots
 from rates group by all""")
 def hourly_direction_difference(spark, sf_dir):
     return rounded(a.direction_difference(a.direction_rates(fx.tracks(spark, sf_dir))))
@@ -51,10 +51,10 @@ def site_day_activity(spark, sf_dir):
 
 @query("clip_speed_means", TS + f"""
 select site_id, day, hour,
-       round(coalesce(avg(velocity) filter (direction = 'away'), 0), 6) + 0.0 as away,
-       round(coalesce(avg(velocity) filter (direction = 'toward'), 0), 6) + 0.0 as toward,
-       round(coalesce(avg(velocity) filter (direction = 'unknown'), 0), 6) + 0.0 as unknown,
-       round(avg(velocity), 6) + 0.0 as total
+       round(coalesce(avg(velocity) filter (direction = 'away'), 0) + 1e-9, 6) + 0.0 as away,
+       round(coalesce(avg(velocity) filter (direction = 'toward'), 0) + 1e-9, 6) + 0.0 as toward,
+       round(coalesce(avg(velocity) filter (direction = 'unknown'), 0) + 1e-9, 6) + 0.0 as unknown,
+       round(avg(velocity) + 1e-9, 6) + 0.0 as total
 from speeds group by all""")
 def clip_speed_means(spark, sf_dir):
     return rounded(a.speed_means(k.speeds(fx.tracks(spark, sf_dir))))
@@ -76,7 +76,7 @@ def moving_speed_list(spark, sf_dir):
 
 
 @query("corner_displacements", T + f"""
-select seq, dx, dy, round(sqrt(dx * dx + dy * dy), 6) + 0.0 as displacement from (
+select seq, dx, dy, round(sqrt(dx * dx + dy * dy) + 1e-9, 6) + 0.0 as displacement from (
   select seq, coalesce(x1 - lag(x1) over w, 0)::double as dx, coalesce(y1 - lag(y1) over w, 0)::double as dy
   from tracks window w as (partition by video_id, ant_id order by frame_number, seq))""")
 def corner_displacements(spark, sf_dir):
@@ -112,9 +112,9 @@ def frame_encounters(spark, sf_dir):
 met as (select site_id, day, hour, direction, count(*) as e from pairs group by all),
 rate as (select site_id, day, hour, direction, coalesce(e, 0) / f as rate
          from frames left join met using (site_id, day, hour, direction))
-select site_id, day, hour, round(coalesce(max(rate) filter (direction = 'away'), 0), 6) + 0.0 as away,
-       round(coalesce(max(rate) filter (direction = 'toward'), 0), 6) + 0.0 as toward,
-       round(coalesce(max(rate) filter (direction = 'unknown'), 0), 6) + 0.0 as unknown
+select site_id, day, hour, round(coalesce(max(rate) filter (direction = 'away'), 0) + 1e-9, 6) + 0.0 as away,
+       round(coalesce(max(rate) filter (direction = 'toward'), 0) + 1e-9, 6) + 0.0 as toward,
+       round(coalesce(max(rate) filter (direction = 'unknown'), 0) + 1e-9, 6) + 0.0 as unknown
 from rate group by all""")
 def clip_encounter_rates(spark, sf_dir):
     return rounded(a.encounter_rates(fx.tracks(spark, sf_dir), 200.0))
@@ -143,8 +143,8 @@ def gt_and_predicted_counts(spark, sf_dir):
 frames as (select distinct video_id, trunc(10 + i * ((n_frames - 1 - 10) / 19.0::double))::int as frame_number
            from total, range(20) t(i)),
 n as (select video_id, frame_number, count(*) as n from det group by all)
-select video_id, round(avg(coalesce(n, 0)), 6) + 0.0 as mean_count,
-       round(stddev_pop(coalesce(n, 0)), 6) + 0.0 as std_count, count(*) as n_sampled
+select video_id, round(avg(coalesce(n, 0)) + 1e-9, 6) + 0.0 as mean_count,
+       round(stddev_pop(coalesce(n, 0)) + 1e-9, 6) + 0.0 as std_count, count(*) as n_sampled
 from frames left join n using (video_id, frame_number) group by all""")
 def sampled_clip_counts(spark, sf_dir):
     d = fx.detections(spark, sf_dir)
@@ -176,7 +176,7 @@ def temperature_lists_by_hour(spark, sf_dir):
 
 
 @query("hourly_mean_readings", T + """
-select site_id, date_trunc('hour', ts) as hour_start, round(avg(angle), 6) + 0.0 as angle
+select site_id, date_trunc('hour', ts) as hour_start, round(avg(angle) + 1e-9, 6) + 0.0 as angle
 from tracks group by all""")
 def hourly_mean_readings(spark, sf_dir):
     return rounded(a.hourly_means(fx.tracks(spark, sf_dir), "angle"))
@@ -201,7 +201,7 @@ angles as (
 
 
 @query("movement_directions", fx.with_ctes(fx.TRACKS, fx.BOUNDARY, DIRECTED) + """
-select seq, video_id, ant_id, frame_number, round(new_angle, 6) + 0.0 as angle,
+select seq, video_id, ant_id, frame_number, round(new_angle + 1e-9, 6) + 0.0 as angle,
        case when new_angle = -1 then 'unknown' when new_angle < 70 then 'away'
             when new_angle > 110 then 'toward' else 'unknown' end as direction from angles""")
 def movement_directions(spark, sf_dir):
@@ -222,7 +222,7 @@ def nearest_boundary_points(spark, sf_dir):
 @query("entrance_directions", T + """
 , d as (select *, sqrt((center_x - 960) ** 2 + (center_y - 400) ** 2) as dist from tracks),
 c as (select *, dist - lag(dist) over (partition by video_id, ant_id order by frame_number, seq) as change from d)
-select seq, round(change, 6) + 0.0 as change, case when change > 0 then 'away' else 'toward' end as direction
+select seq, round(change + 1e-9, 6) + 0.0 as change, case when change > 0 then 'away' else 'toward' end as direction
 from c where abs(change) >= 2 and abs(change) < 20""")
 def entrance_directions(spark, sf_dir):
     d = k.entrance_direction(fx.tracks(spark, sf_dir), (960.0, 400.0))
@@ -233,6 +233,6 @@ def entrance_directions(spark, sf_dir):
 , s as (select *, coalesce(sqrt((center_x - lag(center_x) over w) ** 2 + (center_y - lag(center_y) over w) ** 2), 0) as step
         from tracks window w as (partition by video_id, ant_id order by frame_number, seq))
 select seq, round(sum(step) over (partition by video_id, ant_id order by frame_number, seq
-                                  rows between 19 preceding and current row), 6) + 0.0 as recent_path from s""")
+                                  rows between 19 preceding and current row) + 1e-9, 6) + 0.0 as recent_path from s""")
 def recent_paths(spark, sf_dir):
     return rounded(k.recent_path(fx.tracks(spark, sf_dir)).select("seq", "recent_path"))

@@ -45,26 +45,26 @@ FEAT = ("trajectory_length", "avg_angle", "reach")
 
 
 @query("cluster_shares", TJ + """
-select site_id, day, hour, (hour + day * 24)::int as hour_day, cluster_label, n, round(fraction, 6) + 0.0 as fraction from shares""")
+select site_id, day, hour, (hour + day * 24)::int as hour_day, cluster_label, n, round(fraction + 1e-9, 6) + 0.0 as fraction from shares""")
 def cluster_shares(spark, sf_dir):
     return rounded(shares(spark, sf_dir).withColumn("hour_day", F.col("hour") + F.col("day") * 24))
 
 
 @query("hourly_cluster_shares", TJ + """
-select hour, cluster_label, round(avg(fraction), 6) + 0.0 as fraction from shares group by all""")
+select hour, cluster_label, round(avg(fraction) + 1e-9, 6) + 0.0 as fraction from shares group by all""")
 def hourly_cluster_shares(spark, sf_dir):
     return rounded(cl.share_statistics(shares(spark, sf_dir), ["hour"]))
 
 
 @query("overall_cluster_shares", TJ + """
-select cluster_label, round(avg(fraction), 6) + 0.0 as fraction from shares group by all""")
+select cluster_label, round(avg(fraction) + 1e-9, 6) + 0.0 as fraction from shares group by all""")
 def overall_cluster_shares(spark, sf_dir):
     return rounded(cl.share_statistics(shares(spark, sf_dir), []))
 
 
 @query("hour_by_cluster", TJ + """
-select hour, round(coalesce(avg(fraction) filter (cluster_label = 0), 0), 6) + 0.0 as cluster_0,
-       round(coalesce(avg(fraction) filter (cluster_label = 1), 0), 6) + 0.0 as cluster_1 from shares group by all""")
+select hour, round(coalesce(avg(fraction) filter (cluster_label = 0), 0) + 1e-9, 6) + 0.0 as cluster_0,
+       round(coalesce(avg(fraction) filter (cluster_label = 1), 0) + 1e-9, 6) + 0.0 as cluster_1 from shares group by all""")
 def hour_by_cluster(spark, sf_dir):
     return rounded(cl.hour_by_cluster(shares(spark, sf_dir), [0, 1]))
 
@@ -76,13 +76,13 @@ peaks as (select cluster_label, hour as peak_hour, f as peak_fraction from hm
 """
 
 
-@query("peak_hours", TJ + PEAKS + "select cluster_label, peak_hour, round(peak_fraction, 6) + 0.0 as peak_fraction from peaks")
+@query("peak_hours", TJ + PEAKS + "select cluster_label, peak_hour, round(peak_fraction + 1e-9, 6) + 0.0 as peak_fraction from peaks")
 def peak_hours(spark, sf_dir):
     return rounded(cl.peak_hours(shares(spark, sf_dir)))
 
 
 def moments(alias=""):
-    return ", ".join(f"round(avg({c}), 6) + 0.0 as {c}_mean, round(stddev_samp({c}), 6) + 0.0 as {c}_std" for c in FEAT)
+    return ", ".join(f"round(avg({c}) + 1e-9, 6) + 0.0 as {c}_mean, round(stddev_samp({c}) + 1e-9, 6) + 0.0 as {c}_std" for c in FEAT)
 
 
 @query("features_at_peak_hours", TJ + PEAKS + f"""
@@ -124,7 +124,7 @@ def label_audit(spark, sf_dir):
 
 
 @query("label_sizes", TJ + """
-select cluster_label, count(*) as n, round(100 * count(*) / sum(count(*)) over (), 6) + 0.0 as percent from traj group by all""")
+select cluster_label, count(*) as n, round(100 * count(*) / sum(count(*)) over () + 1e-9, 6) + 0.0 as percent from traj group by all""")
 def label_sizes(spark, sf_dir):
     return rounded(cl.label_sizes(trajectories(spark, sf_dir)))
 
@@ -157,7 +157,7 @@ PAIRS = " union all ".join(
 
 
 @query("strongest_correlations", BF + f"""
-, p as ({PAIRS}) select feature_a, feature_b, round(r, 6) + 0.0 as r, round(abs(r), 6) + 0.0 as strength from p
+, p as ({PAIRS}) select feature_a, feature_b, round(r + 1e-9, 6) + 0.0 as r, round(abs(r) + 1e-9, 6) + 0.0 as strength from p
 order by abs(p.r) desc limit 5""")
 def strongest_correlations(spark, sf_dir):
     return rounded(cl.feature_correlations(features(spark, sf_dir)))
@@ -288,8 +288,8 @@ def start_point_clusters(spark, sf_dir):
 g as (select site_id, start_cluster, end_cluster, count(*) as n_trajectories, avg(n_rows) as mean_length, avg(start_x) as start_x,
         avg(start_y) as start_y, avg(end_x) as end_x, avg(end_y) as end_y from t group by all having count(*) >= 3 and avg(n_rows) >= 10)
 select site_id, start_cluster::int as start_cluster, end_cluster::int as end_cluster, n_trajectories,
-  {r('mean_length', 'start_x', 'start_y', 'end_x', 'end_y')}, round(end_x - start_x, 6) + 0.0 as direction_x,
-  round(end_y - start_y, 6) + 0.0 as direction_y from g""".replace(
+  {r('mean_length', 'start_x', 'start_y', 'end_x', 'end_y')}, round(end_x - start_x + 1e-9, 6) + 0.0 as direction_x,
+  round(end_y - start_y + 1e-9, 6) + 0.0 as direction_y from g""".replace(
     "round(end_x - start_x", "round(g.end_x - g.start_x").replace("round(end_y - start_y", "round(g.end_y - g.start_y"))
 def end_to_end_trails(spark, sf_dir):
     return rounded(cl.end_to_end_trails(ends(spark, sf_dir), ["site_id"], 100.0, 3, 3, 10.0))
@@ -338,7 +338,7 @@ def classification_metrics(spark, sf_dir):
 
 
 @query("mean_classification_metrics", TSC + METRIC_SQL + "select " + ", ".join(
-    f'round(avg("{m}"), 6) + 0.0 as "{m}"' for m in sc.METRICS) + " from fm")
+    f'round(avg("{m}") + 1e-9, 6) + 0.0 as "{m}"' for m in sc.METRICS) + " from fm")
 def mean_classification_metrics(spark, sf_dir):
     return rounded(sc.mean_metrics(sc.fold_metrics(scores(spark, sf_dir))))
 
@@ -354,14 +354,14 @@ sw as (select threshold, case when tp + fp > 0 then tp / (tp + fp) else 0 end as
 
 
 @query("threshold_sweep", TSC + SWEEP + """
-select threshold, round(p, 6) + 0.0 as "precision", round(rc, 6) + 0.0 as recall, round(f1, 6) + 0.0 as f1,
-       round(accuracy, 6) + 0.0 as accuracy from sw""")
+select threshold, round(p + 1e-9, 6) + 0.0 as "precision", round(rc + 1e-9, 6) + 0.0 as recall, round(f1 + 1e-9, 6) + 0.0 as f1,
+       round(accuracy + 1e-9, 6) + 0.0 as accuracy from sw""")
 def threshold_sweep(spark, sf_dir):
     return rounded(sc.threshold_sweep(scores(spark, sf_dir)), "threshold")
 
 
 @query("best_threshold", TSC + SWEEP + """
-select threshold, round(p, 6) + 0.0 as "precision", round(rc, 6) + 0.0 as recall, round(sw.f1, 6) + 0.0 as f1 from sw
+select threshold, round(p + 1e-9, 6) + 0.0 as "precision", round(rc + 1e-9, 6) + 0.0 as recall, round(sw.f1 + 1e-9, 6) + 0.0 as f1 from sw
 order by sw.f1 desc, threshold limit 1""")
 def best_threshold(spark, sf_dir):
     return rounded(sc.best_threshold(sc.threshold_sweep(scores(spark, sf_dir))), "threshold")
@@ -411,15 +411,15 @@ def regression_table(spark, sf_dir):
 
 
 @query("standardised_predictors", fx.with_ctes(fx.TRACKS, fx.CLIPS, RATES, REG) + """
-select site_id, day, hour, round((temperature - avg(temperature) over ()) / stddev_pop(temperature) over (), 6) + 0.0 as temperature,
-       round((lux - avg(lux) over ()) / stddev_pop(lux) over (), 6) + 0.0 as lux from reg""")
+select site_id, day, hour, round((temperature - avg(temperature) over ()) / stddev_pop(temperature) over () + 1e-9, 6) + 0.0 as temperature,
+       round((lux - avg(lux) over ()) / stddev_pop(lux) over () + 1e-9, 6) + 0.0 as lux from reg""")
 def standardised_predictors(spark, sf_dir):
     s = st.standardised(regression_rows(spark, sf_dir), st.PREDICTORS, ddof_sample=False)
     return rounded(s.select("site_id", "day", "hour", "temperature", "lux"))
 
 
 @query("predictor_correlations", fx.with_ctes(fx.TRACKS, fx.CLIPS, RATES, REG) + " union all ".join(
-    f"select '{x}' as a, '{y}' as b, round(corr({x}, {y}), 6) + 0.0 as r from reg" for x in st.PREDICTORS for y in st.PREDICTORS))
+    f"select '{x}' as a, '{y}' as b, round(corr({x}, {y}) + 1e-9, 6) + 0.0 as r from reg" for x in st.PREDICTORS for y in st.PREDICTORS))
 def predictor_correlations(spark, sf_dir):
     return rounded(st.predictor_correlations(regression_rows(spark, sf_dir)))
 

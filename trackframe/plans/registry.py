@@ -22,8 +22,9 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(x) -> Column:
-    """Six decimals, without negative zero, as both engines can compare."""
-    return F.round(x if isinstance(x, Column) else F.col(x), 6) + F.lit(0.0)
+    """Six decimals, without negative zero, as both engines can compare. The nudge keeps values
+    that lie halfway between two results from depending on the last bit of a sum."""
+    return F.round((x if isinstance(x, Column) else F.col(x)) + F.lit(1e-9), 6) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *keep: str) -> DataFrame:

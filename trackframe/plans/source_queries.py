@@ -32,7 +32,7 @@ def tracks_from_csv(spark, sf_dir):
 
 @query("detections_from_csv", fx.with_ctes(fx.DETECTIONS) + """
 select video_id::varchar as video_id, 'herdnet' as detector, frame_number, (px - 10)::double as x1, (py - 10)::double as y1,
-       (px + 10)::double as x2, (py + 10)::double as y2, round(confidence, 6) + 0.0 as confidence from det where not is_gt""")
+       (px + 10)::double as x2, (py + 10)::double as y2, round(confidence + 1e-9, 6) + 0.0 as confidence from det where not is_gt""")
 def detections_from_csv(spark, sf_dir):
     out = scratch(spark)
     d = fx.boxed(fx.detections(spark, sf_dir)).filter(~F.col("is_gt"))
@@ -217,7 +217,7 @@ def track_rows(spark, sf_dir):
 
 @query("trajectory_summary", fx.with_ctes(fx.TRACKS, TRAJ) + """
 select count(*) as total_trajectories, count(distinct ant_id) as unique_ants, count(distinct video_id) as unique_videos,
-       min(date) || ' to ' || max(date) as date_range, round(avg(trajectory_length), 6) + 0.0 as avg_trajectory_length,
+       min(date) || ' to ' || max(date) as date_range, round(avg(trajectory_length) + 1e-9, 6) + 0.0 as avg_trajectory_length,
        (select string_agg(cluster_label || ':' || n, ',' order by cluster_label) from
           (select cluster_label, count(*) as n from tr group by all)) as cluster_distribution from tr""")
 def trajectory_summary(spark, sf_dir):
@@ -228,7 +228,7 @@ def trajectory_summary(spark, sf_dir):
 
 
 @query("stored_bout_series", fx.with_ctes(fx.TRACKS, RATES) + """
-select site_id, day, hour, round(away, 6) + 0.0 as value, 'away' as metric, ((day(day) - 1) // 10)::int as bout_id from rates
+select site_id, day, hour, round(away + 1e-9, 6) + 0.0 as value, 'away' as metric, ((day(day) - 1) // 10)::int as bout_id from rates
 where (day(day) - 1) // 10 = 1""")
 def stored_bout_series(spark, sf_dir):
     out = scratch(spark)
@@ -267,7 +267,7 @@ def behaviour_labels_from_csv(spark, sf_dir):
 
 
 @query("id_list_from_text", T + """
-select distinct ant_id, round(ant_id / 2, 6) + 0.0 as nest_proximity from tracks where ant_id % 4 <> 0""")
+select distinct ant_id, round(ant_id / 2 + 1e-9, 6) + 0.0 as nest_proximity from tracks where ant_id % 4 <> 0""")
 def id_list_from_text(spark, sf_dir):
     out = scratch(spark)
     t = fx.tracks(spark, sf_dir).select("ant_id").distinct()
@@ -277,7 +277,7 @@ def id_list_from_text(spark, sf_dir):
 
 
 @query("stored_scores", T + """
-select video_id, ant_id, round(avg(angle) / 180, 6) + 0.0 as excavating_score from tracks group by all""")
+select video_id, ant_id, round(avg(angle) / 180 + 1e-9, 6) + 0.0 as excavating_score from tracks group by all""")
 def stored_scores(spark, sf_dir):
     from trackframe.plans.track_queries import scores
     out = scratch(spark)

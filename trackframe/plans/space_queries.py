@@ -24,7 +24,7 @@ def flux(spark, sf_dir):
 
 
 @query("flow_field", FX + """
-select site_id, hour, direction, x_bin, y_bin, round(avg(velocity), 6) + 0.0 as velocity,
+select site_id, hour, direction, x_bin, y_bin, round(avg(velocity) + 1e-9, 6) + 0.0 as velocity,
        round(atan2(avg(sin(radians(heading_deg))), avg(cos(radians(heading_deg)))), 5) + 0.0 as mean_angle,
        count(*) as n_rows
 from moving where x_bin is not null and y_bin is not null group by all""")
@@ -44,7 +44,7 @@ def flux_field(spark, sf_dir):
 
 @query("flux_caps", FX + """
 select site_id, hour, round(coalesce(quantile_cont(flux_mag, 0.95) filter (flux_mag > 0),
-       case when max(flux_mag) > 0 then max(flux_mag) end, 1), 6) + 0.0 as cap
+       case when max(flux_mag) > 0 then max(flux_mag) end, 1) + 1e-9, 6) + 0.0 as cap
 from flux group by all""")
 def flux_caps(spark, sf_dir):
     return rounded(gr.upper_cap(flux(spark, sf_dir), "flux_mag", ["site_id", "hour"]))
@@ -53,7 +53,7 @@ def flux_caps(spark, sf_dir):
 @query("shared_speed_cap", FX + """
 , cells as (select site_id, hour, direction, x_bin, y_bin, avg(velocity) as velocity from moving
             where x_bin is not null and y_bin is not null group by all)
-select round(coalesce(quantile_cont(velocity, 0.95) filter (velocity > 0), 1), 6) + 0.0 as cap from cells""")
+select round(coalesce(quantile_cont(velocity, 0.95) filter (velocity > 0), 1) + 1e-9, 6) + 0.0 as cap from cells""")
 def shared_speed_cap(spark, sf_dir):
     f = gr.flow_field(speeds(spark, sf_dir), by=("site_id", "hour", "direction"))
     return rounded(gr.upper_cap(f, "velocity", []))
@@ -72,7 +72,7 @@ def daily_cumulative_flux(spark, sf_dir):
 
 
 @query("cumulative_flux_by_direction", FX + """
-select site_id, direction, x_bin, y_bin, round(sum(flux_mag), 6) + 0.0 as flux_mag from flux
+select site_id, direction, x_bin, y_bin, round(sum(flux_mag) + 1e-9, 6) + 0.0 as flux_mag from flux
 where direction in ('away', 'toward') group by all""")
 def cumulative_flux_by_direction(spark, sf_dir):
     return rounded(gr.cumulative_flux(flux(spark, sf_dir), by=("site_id", "direction")))
@@ -85,7 +85,7 @@ SHARES = """
 
 @query("flux_vectors", FX + SHARES + """
 select site_id, day, hour, direction, x_bin * 54 + y_bin as x_major, y_bin * 96 + x_bin as y_major,
-       round(share, 6) + 0.0 as share from shares""")
+       round(share + 1e-9, 6) + 0.0 as share from shares""")
 def flux_vectors(spark, sf_dir):
     return rounded(gr.flux_shares(flux(spark, sf_dir)).drop("x_bin", "y_bin"))
 
@@ -131,7 +131,7 @@ def _full(sim_sql):
     return sim_sql + """
 , grid as (select site_id, a.i::int as i, b.j::int as j
            from (select distinct site_id from sim), range(24) a(i), range(24) b(j))
-select site_id, i, j, round(similarity, 6) + 0.0 as similarity from grid left join sim using (site_id, i, j)"""
+select site_id, i, j, round(similarity + 1e-9, 6) + 0.0 as similarity from grid left join sim using (site_id, i, j)"""
 
 
 @query("hour_similarity_cosine", _full(similarity_sql(COSINE, "away", "away")))
@@ -169,14 +169,14 @@ def day_similarity_frame(spark, sf_dir):
 
 
 @query("day_similarity", FX + DAY_SIM.replace("select site_id, l.day", "select l.site_id, l.day") + """
-select site_id, i, j, round(similarity, 6) + 0.0 as similarity from sim""")
+select site_id, i, j, round(similarity + 1e-9, 6) + 0.0 as similarity from sim""")
 def day_similarity(spark, sf_dir):
     return rounded(day_similarity_frame(spark, sf_dir))
 
 
 @query("day_similarity_summary", FX + DAY_SIM.replace("select site_id, l.day", "select l.site_id, l.day") + """
-select site_id, round(min(similarity), 6) + 0.0 as lowest, round(quantile_cont(similarity, 0.5), 6) + 0.0 as median,
-       round(max(similarity), 6) + 0.0 as highest, round(avg(similarity), 6) + 0.0 as average
+select site_id, round(min(similarity) + 1e-9, 6) + 0.0 as lowest, round(quantile_cont(similarity, 0.5) + 1e-9, 6) + 0.0 as median,
+       round(max(similarity) + 1e-9, 6) + 0.0 as highest, round(avg(similarity) + 1e-9, 6) + 0.0 as average
 from sim where i <> j group by all""")
 def day_similarity_summary(spark, sf_dir):
     return rounded(gr.off_diagonal_summary(day_similarity_frame(spark, sf_dir), ["site_id"]))
@@ -193,7 +193,7 @@ sh as (select site_id, day, x_bin, y_bin, flux_mag from cells join filled using
 dn as (select site_id, day, sqrt(sum(flux_mag * flux_mag)) as q from sh group by all),
 dd as (select l.site_id, l.day as i, r.day as j, sum(l.flux_mag * r.flux_mag) as dot
        from sh l join sh r using (site_id, x_bin, y_bin) group by all)
-select l.site_id, l.day as i, r.day as j, round(coalesce(dot, 0) / (l.q * r.q), 6) + 0.0 as similarity
+select l.site_id, l.day as i, r.day as j, round(coalesce(dot, 0) / (l.q * r.q) + 1e-9, 6) + 0.0 as similarity
 from dn l join dn r using (site_id) left join dd d on d.site_id = l.site_id and d.i = l.day and d.j = r.day""")
 def day_similarity_shuffled(spark, sf_dir):
     v = rs.shuffled_cells(cut_lineage(gr.cumulative_flux(flux(spark, sf_dir))), ["site_id", "day"], "flux_mag")
@@ -215,7 +215,7 @@ def density_map(spark, sf_dir):
 
 
 @query("density_thresholds", fx.with_ctes(fx.TRACKS) + DENSITY + """
-select video_id, round(threshold, 6) + 0.0 as threshold from thr""")
+select video_id, round(threshold + 1e-9, 6) + 0.0 as threshold from thr""")
 def density_thresholds(spark, sf_dir):
     return rounded(gr.density_thresholds(gr.density_cells(fx.tracks(spark, sf_dir))))
 
@@ -241,7 +241,7 @@ both_shares as (select site_id, day, hour, bin, n / sum(n) over (partition by si
 
 @query("angle_histograms", fx.with_ctes(fx.TRACKS, HIST) + """
 , slots as (select distinct site_id, day, hour from both_shares)
-select s.site_id, s.day, s.hour, b::int as bin, round(coalesce(share, 0), 6) + 0.0 as share
+select s.site_id, s.day, s.hour, b::int as bin, round(coalesce(share, 0) + 1e-9, 6) + 0.0 as share
 from slots s cross join range(12) t(b)
 left join both_shares o on o.site_id = s.site_id and o.day = s.day and o.hour = s.hour and o.bin = b""")
 def angle_histograms(spark, sf_dir):
@@ -269,7 +269,7 @@ def direction_histogram_distances(spark, sf_dir):
 
 
 @query("histogram_distance_by_hour", fx.with_ctes(fx.TRACKS, HIST) + PAIR_DIST + """
-select t.site_id, t.hour, round(avg(l1), 6) + 0.0 as l1, count(l1) as n_clips
+select t.site_id, t.hour, round(avg(l1) + 1e-9, 6) + 0.0 as l1, count(l1) as n_clips
 from (select distinct site_id, day, hour from tracks) t left join dist using (site_id, day, hour) group by all""")
 def histogram_distance_by_hour(spark, sf_dir):
     return rounded(an.mean_distance_by_hour(an.direction_distances(an.angle_histograms(fx.tracks(spark, sf_dir)))))
@@ -282,7 +282,7 @@ full_h as (select s.site_id, s.day, s.hour, b as bin, coalesce(share, 0) as shar
 d as (select p.site_id, p.day, p.hour as i, q.hour as j, sum(abs(p.share - q.share)) as distance
       from full_h p join full_h q using (site_id, day, bin) group by all),
 grid as (select site_id, day, i::int as i, j::int as j from (select distinct site_id, day from slots), range(24) a(i), range(24) b(j))
-select site_id, day, i, j, round(coalesce(distance, 0), 6) + 0.0 as distance from grid left join d using (site_id, day, i, j)""")
+select site_id, day, i, j, round(coalesce(distance, 0) + 1e-9, 6) + 0.0 as distance from grid left join d using (site_id, day, i, j)""")
 def hour_pair_distances(spark, sf_dir):
     d = an.hour_distances(an.angle_histograms(fx.tracks(spark, sf_dir)))
     return rounded(gr.full_matrix(d, ["site_id", "day"], 24, "distance", 0.0))
@@ -291,7 +291,7 @@ def hour_pair_distances(spark, sf_dir):
 @query("angle_bins_over_time", fx.with_ctes(fx.TRACKS, HIST) + """
 , slots as (select distinct site_id, day, hour from both_shares)
 select s.site_id, b::int as bin, ((s.day - (select min(day) from tracks)) * 24 + s.hour)::int as column_index,
-       round(coalesce(share, 0), 6) + 0.0 as share
+       round(coalesce(share, 0) + 1e-9, 6) + 0.0 as share
 from slots s cross join range(12) t(b)
 left join both_shares o on o.site_id = s.site_id and o.day = s.day and o.hour = s.hour and o.bin = b""")
 def angle_bins_over_time(spark, sf_dir):
@@ -317,8 +317,8 @@ means as (select {g}, b, {means} from draws join vals using ({g}, pos) group by
 
 
 def ci(c):
-    return (f"round(avg({c}), 6) + 0.0 as {c}_mean, round(quantile_cont({c}, 0.025), 6) + 0.0 as {c}_low, "
-            f"round(quantile_cont({c}, 0.975), 6) + 0.0 as {c}_high")
+    return (f"round(avg({c}) + 1e-9, 6) + 0.0 as {c}_mean, round(quantile_cont({c}, 0.025) + 1e-9, 6) + 0.0 as {c}_low, "
+            f"round(quantile_cont({c}, 0.975) + 1e-9, 6) + 0.0 as {c}_high")
 
 
 @query("hourly_rate_intervals", fx.with_ctes(fx.TRACKS, RATES)
@@ -378,7 +378,7 @@ ranks as (select *, rank() over (partition by site_id, hour order by x)
                  + (count(*) over (partition by site_id, hour, x) - 1) / 2 as rk from long),
 u as (select site_id, hour, sum(rk) filter (is_a = 1) - count(*) filter (is_a = 1) * (count(*) filter (is_a = 1) + 1) / 2 as u
       from ranks group by all)
-select site_id, hour, dof, round(t, 6) + 0.0 as t, round(u, 6) + 0.0 as u from tt join u using (site_id, hour)""")
+select site_id, hour, dof, round(t + 1e-9, 6) + 0.0 as t, round(u + 1e-9, 6) + 0.0 as u from tt join u using (site_id, hour)""")
 def hourly_tests(spark, sf_dir):
     v = a.direction_rates(fx.tracks(spark, sf_dir))
     t = st.two_sample_t(v, ["site_id", "hour"])
@@ -424,8 +424,8 @@ def speed_count_correlation(spark, sf_dir):
 
 @query("speed_count_correlation_interval", fx.with_ctes(fx.TRACKS, RATES, fx.SPEEDS, MEANS) + SERIES + """
 , known as (select * from rho where rho is not null)""" + boot_sql("known", ["site_id"], ["rho"]) + f"""
-select site_id, {ci('rho')}, round(avg((rho > 0)::int), 6) + 0.0 as p_above,
-       round(avg((rho < 0)::int), 6) + 0.0 as p_below from means group by all""")
+select site_id, {ci('rho')}, round(avg((rho > 0)::int) + 1e-9, 6) + 0.0 as p_above,
+       round(avg((rho < 0)::int) + 1e-9, 6) + 0.0 as p_below from means group by all""")
 def speed_count_correlation_interval(spark, sf_dir):
     rho = _spearman(day_pairs(spark, sf_dir)).filter(F.col("rho").isNotNull())
     m = rs.bootstrap_means(rho, ["site_id"], ["rho"], ["day"], B)
@@ -435,7 +435,7 @@ def speed_count_correlation_interval(spark, sf_dir):
 
 @query("sign_agreement_interval", fx.with_ctes(fx.TRACKS, RATES, fx.SPEEDS, MEANS) + SERIES
        + boot_sql("rho", ["site_id"], ["agreement"]) + f"""
-select site_id, {ci('agreement')}, round(avg((agreement > 0.5)::int), 6) + 0.0 as p_above from means group by all""")
+select site_id, {ci('agreement')}, round(avg((agreement > 0.5)::int) + 1e-9, 6) + 0.0 as p_above from means group by all""")
 def sign_agreement_interval(spark, sf_dir):
     s = st.sign_agreement(day_pairs(spark, sf_dir), ["site_id", "day"], "count_diff", "speed_diff")
     m = rs.bootstrap_means(s, ["site_id"], ["agreement"], ["day"], B)
@@ -453,9 +453,9 @@ def band_sql(permuted):
           from {src} group by all)"""
     return similarity_sql(COSINE, "away", "away") + permuted + f"""
 , obs as {contrast('sim', 'site_id')}, nul as {contrast('perm', 'site_id, p')}
-select o.site_id, round(o.diagonal, 6) + 0.0 as diagonal, round(o.neighbours, 6) + 0.0 as neighbours,
-       round(o.diagonal - o.neighbours, 6) + 0.0 as contrast,
-       round(avg((n.diagonal - n.neighbours >= o.diagonal - o.neighbours)::int), 6) + 0.0 as p_value, count(*) as n_null
+select o.site_id, round(o.diagonal + 1e-9, 6) + 0.0 as diagonal, round(o.neighbours + 1e-9, 6) + 0.0 as neighbours,
+       round(o.diagonal - o.neighbours + 1e-9, 6) + 0.0 as contrast,
+       round(avg((n.diagonal - n.neighbours >= o.diagonal - o.neighbours)::int) + 1e-9, 6) + 0.0 as p_value, count(*) as n_null
 from obs o join nul n using (site_id) group by all"""
 
 

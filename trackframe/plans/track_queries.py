@@ -54,7 +54,7 @@ def box_formats(spark, sf_dir):
 
 
 @query("confident_detections", D + """
-select video_id, count(*) as n, round(sum(confidence), 6) + 0.0 as total from det where confidence >= 0.327 group by all""")
+select video_id, count(*) as n, round(sum(confidence) + 1e-9, 6) + 0.0 as total from det where confidence >= 0.327 group by all""")
 def confident_detections(spark, sf_dir):
     d = fl.confident(fx.detections(spark, sf_dir))
     return rounded(d.groupBy("video_id").agg(F.count("*").alias("n"), F.sum("confidence").alias("total")))
@@ -137,8 +137,8 @@ def patch_addresses(spark, sf_dir):
 
 
 @query("cyclic_time_features", T + """
-select seq, round(sin(2 * pi() * hour / 24), 6) + 0.0 as hour_sin, round(cos(2 * pi() * hour / 24), 6) + 0.0 as hour_cos,
-       round(ln(1 + angle), 6) + 0.0 as log_angle from tracks""")
+select seq, round(sin(2 * pi() * hour / 24) + 1e-9, 6) + 0.0 as hour_sin, round(cos(2 * pi() * hour / 24) + 1e-9, 6) + 0.0 as hour_cos,
+       round(ln(1 + angle) + 1e-9, 6) + 0.0 as log_angle from tracks""")
 def cyclic_time_features(spark, sf_dir):
     t = fx.tracks(spark, sf_dir)
     return rounded(t.select("seq", *names.cyclic_hour(F.col("hour")), F.ln(1 + F.col("angle")).alias("log_angle")))
@@ -194,7 +194,7 @@ def grid_cells(spark, sf_dir):
 
 
 @query("entrance_distances", T + """
-select seq, round(sqrt((center_x - 960) ** 2 + (center_y - 400) ** 2), 6) + 0.0 as dist from tracks""")
+select seq, round(sqrt((center_x - 960) ** 2 + (center_y - 400) ** 2) + 1e-9, 6) + 0.0 as dist from tracks""")
 def entrance_distances(spark, sf_dir):
     t = k.centred(fx.tracks(spark, sf_dir))
     return rounded(t.select("seq", g.distance("center_x", "center_y", F.lit(960), F.lit(400)).alias("dist")))
@@ -255,9 +255,9 @@ counts as (select video_id, coalesce(tp, 0)::bigint as tp, (coalesce(np, 0) - co
 
 
 def quality_sql(tp="tp", fp="fp", fn="fn"):
-    return f"""round(case when {tp} + {fp} > 0 then {tp} / ({tp} + {fp}) end, 6) + 0.0 as "precision",
-       round(case when {tp} + {fn} > 0 then {tp} / ({tp} + {fn}) end, 6) + 0.0 as recall,
-       round(case when 2 * {tp} + {fp} + {fn} > 0 then 2 * {tp} / (2 * {tp} + {fp} + {fn}) end, 6) + 0.0 as f1"""
+    return f"""round(case when {tp} + {fp} > 0 then {tp} / ({tp} + {fp}) end + 1e-9, 6) + 0.0 as "precision",
+       round(case when {tp} + {fn} > 0 then {tp} / ({tp} + {fn}) end + 1e-9, 6) + 0.0 as recall,
+       round(case when 2 * {tp} + {fp} + {fn} > 0 then 2 * {tp} / (2 * {tp} + {fp} + {fn}) end + 1e-9, 6) + 0.0 as f1"""
 
 
 @query("detection_quality", COUNTS + f"select video_id, tp, fp, fn, {quality_sql()} from counts")
@@ -286,7 +286,7 @@ np as (select step, count(*) as np from pred join thr on confidence >= threshold
 c as (select step, threshold, coalesce(tp, 0)::bigint as tp, (coalesce(np, 0) - coalesce(tp, 0))::bigint as fp,
              ((select count(*) from gt) - coalesce(tp, 0))::bigint as fn
       from thr left join tp using (step) left join np using (step))
-select step, round(threshold, 6) + 0.0 as threshold, tp, fp, fn, {quality_sql()} from c""")
+select step, round(threshold + 1e-9, 6) + 0.0 as threshold, tp, fp, fn, {quality_sql()} from c""")
 def precision_recall_curve(spark, sf_dir):
     gt, pred = boxes(spark, sf_dir, 0.0)
     curve = m.precision_recall_curve(gt, pred, m.overlap_pairs(gt, pred), m.even_thresholds(pred))
@@ -379,7 +379,7 @@ def fractal_dimensions(spark, sf_dir):
                count(*) over (partition by video_id, ant_id) as n from tracks),
 back as (select distinct a.seq from p a join p b on a.video_id = b.video_id and a.ant_id = b.ant_id and b.pos < a.pos
          where a.pos > 10 and sqrt((a.center_x - b.center_x) ** 2 + (a.center_y - b.center_y) ** 2) < 200)
-select video_id, ant_id, round(case when n > 10 then count(back.seq) / (n - 10) else 0 end, 6) + 0.0 as return_frequency
+select video_id, ant_id, round(case when n > 10 then count(back.seq) / (n - 10) else 0 end + 1e-9, 6) + 0.0 as return_frequency
 from p left join back using (seq) group by video_id, ant_id, n""")
 def return_frequencies(spark, sf_dir):
     return rounded(tj.return_frequencies(fx.tracks(spark, sf_dir), radius=200.0))
@@ -387,9 +387,9 @@ def return_frequencies(spark, sf_dir):
 
 @query("smoothed_moving_average", T + f"""
 select seq, round(case when lag(seq) over w is not null and lead(seq) over w is not null
-    then (lag(center_x) over w + center_x + lead(center_x) over w) / 3 else center_x end, 6) + 0.0 as center_x,
+    then (lag(center_x) over w + center_x + lead(center_x) over w) / 3 else center_x end + 1e-9, 6) + 0.0 as center_x,
   round(case when lag(seq) over w is not null and lead(seq) over w is not null
-    then (lag(center_y) over w + center_y + lead(center_y) over w) / 3 else center_y end, 6) + 0.0 as center_y
+    then (lag(center_y) over w + center_y + lead(center_y) over w) / 3 else center_y end + 1e-9, 6) + 0.0 as center_y
 from tracks window w as (partition by video_id, ant_id order by frame_number, seq)""")
 def smoothed_moving_average(spark, sf_dir):
     return rounded(tj.smoothed(fx.tracks(spark, sf_dir), "moving_average").select("seq", "center_x", "center_y"))
@@ -404,7 +404,7 @@ WEIGHTS = ", ".join(f"{w!r}::double" for w in tj.gaussian_weights())
 taps as (select seq, video_id, ant_id, [{WEIGHTS}][k + 5] as w, n,
                 ((pos + k) % (2 * n) + 2 * n) % (2 * n) as m from p, range(-4, 5) t(k)),
 src as (select seq, video_id, ant_id, w, case when m < n then m else 2 * n - 1 - m end as pos from taps where n >= 3)
-select seq, round(sum(w * p.center_x), 6) + 0.0 as center_x, round(sum(w * p.center_y), 6) + 0.0 as center_y
+select seq, round(sum(w * p.center_x) + 1e-9, 6) + 0.0 as center_x, round(sum(w * p.center_y) + 1e-9, 6) + 0.0 as center_y
 from src join p using (video_id, ant_id, pos) group by src.seq
 union all select seq, center_x, center_y from p where n < 3""".replace("select seq, round(sum", "select src.seq, round(sum"))
 def smoothed_gaussian(spark, sf_dir):
@@ -439,8 +439,8 @@ def id_swap_repairs(spark, sf_dir):
                lag(y2) over w as b2 from tracks window w as (partition by video_id, ant_id order by frame_number, seq)),
 made as (select video_id, ant_id, f::int as frame_number, x1, y1, x2, y2, a1, b1, a2, b2, (f - f0) / (frame_number - f0) as part
          from (select *, unnest(range(f0 + 1, frame_number)) as f from w where frame_number - f0 > 1))
-select video_id, ant_id, frame_number, round(a1 + (x1 - a1) * part, 6) + 0.0 as x1, round(b1 + (y1 - b1) * part, 6) + 0.0 as y1,
-       round(a2 + (x2 - a2) * part, 6) + 0.0 as x2, round(b2 + (y2 - b2) * part, 6) + 0.0 as y2, null::varchar as direction,
+select video_id, ant_id, frame_number, round(a1 + (x1 - a1) * part + 1e-9, 6) + 0.0 as x1, round(b1 + (y1 - b1) * part + 1e-9, 6) + 0.0 as y1,
+       round(a2 + (x2 - a2) * part + 1e-9, 6) + 0.0 as x2, round(b2 + (y2 - b2) * part + 1e-9, 6) + 0.0 as y2, null::varchar as direction,
        true as filled from made
 union all select video_id, ant_id, frame_number, x1::double, y1::double, x2::double, y2::double, direction, false from tracks""")
 def interpolated_tracks(spark, sf_dir):
@@ -473,11 +473,11 @@ def nest_proximities(spark, sf_dir):
 
 
 @query("near_nest_summary", fx.with_ctes(fx.TRACKS, PROXIMITY) + f"""
-select video_id, count(*) as n_all, round(min(nest_proximity), 6) + 0.0 as lowest,
-       round(max(nest_proximity), 6) + 0.0 as highest, count(*) filter (nest_proximity < 200) as n_near,
-       round(min(nest_proximity) filter (nest_proximity < 200), 6) + 0.0 as near_lowest,
-       round(max(nest_proximity) filter (nest_proximity < 200), 6) + 0.0 as near_highest,
-       round(avg(nest_proximity) filter (nest_proximity < 200), 6) + 0.0 as near_mean from prox group by all""")
+select video_id, count(*) as n_all, round(min(nest_proximity) + 1e-9, 6) + 0.0 as lowest,
+       round(max(nest_proximity) + 1e-9, 6) + 0.0 as highest, count(*) filter (nest_proximity < 200) as n_near,
+       round(min(nest_proximity) filter (nest_proximity < 200) + 1e-9, 6) + 0.0 as near_lowest,
+       round(max(nest_proximity) filter (nest_proximity < 200) + 1e-9, 6) + 0.0 as near_highest,
+       round(avg(nest_proximity) filter (nest_proximity < 200) + 1e-9, 6) + 0.0 as near_mean from prox group by all""")
 def near_nest_summary(spark, sf_dir):
     p = tj.nest_proximity(fx.tracks(spark, sf_dir), fx.ignored_pixels(spark))
     return rounded(fl.near_nest_summary(p, 200.0))

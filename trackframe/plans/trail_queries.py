@@ -52,7 +52,7 @@ def trail_activity(spark, sf_dir):
 
 @query("trail_direction_bias", TT + f"""
 select site_id, trail_id, day, hour, {r('away', 'toward', 'diff')},
-       round(case when away + toward > 0 then diff / (away + toward) else 0 end, 6) + 0.0 as bias from paired""")
+       round(case when away + toward > 0 then diff / (away + toward) else 0 end + 1e-9, 6) + 0.0 as bias from paired""")
 def trail_direction_bias(spark, sf_dir):
     return rounded(tr.paired_activity(activity(spark, sf_dir)))
 
@@ -76,7 +76,7 @@ def trail_hour_axis(spark, sf_dir):
 
 
 @query("trail_daily_means", TT + """
-select site_id, trail_id, direction, day, round(avg(density), 6) + 0.0 as density from activity group by all""")
+select site_id, trail_id, direction, day, round(avg(density) + 1e-9, 6) + 0.0 as density from activity group by all""")
 def trail_daily_means(spark, sf_dir):
     return rounded(tr.daily_means(activity(spark, sf_dir)))
 
@@ -107,7 +107,7 @@ def trail_lagged_correlations(spark, sf_dir):
 
 
 @query("trail_best_lags", TT + LAGS + f"""
-select site_id, trail_id, coalesce(best.lag, 0) as best_lag, round(best.r, 6) + 0.0 as best_r, n, {r('t_stat')}
+select site_id, trail_id, coalesce(best.lag, 0) as best_lag, round(best.r + 1e-9, 6) + 0.0 as best_r, n, {r('t_stat')}
 from (select distinct site_id, trail_id from rs) left join best using (site_id, trail_id)""")
 def trail_best_lags(spark, sf_dir):
     return rounded(st.best_lags(lagged(spark, sf_dir), ["site_id", "trail_id"]))
@@ -187,7 +187,7 @@ def junctions(spark, cells):
 
 
 @query("nest_junctions", JX + """
-select site_id, "rank", s.x as x_bin, s.y as y_bin, round(s.d, 6) + 0.0 as distance from junctions""")
+select site_id, "rank", s.x as x_bin, s.y as y_bin, round(s.d + 1e-9, 6) + 0.0 as distance from junctions""")
 def nest_junctions(spark, sf_dir):
     return rounded(junctions(spark, busy_cells(spark, sf_dir)))
 
@@ -249,7 +249,7 @@ near as (select a.site_id, a.trail_id as a, b.trail_id as b, count(distinct (a.x
            from v a join v b on a.site_id = b.site_id and a.trail_id <> b.trail_id
             and sqrt((a.x_bin - b.x_bin) ** 2 + (a.y_bin - b.y_bin) ** 2) < 2 group by all),
 n as (select site_id, trail_id as a, count(*) as n from v group by all)
-select site_id, a, b, round(k / n, 6) + 0.0 as overlap from near join n using (site_id, a)""")
+select site_id, a, b, round(k / n + 1e-9, 6) + 0.0 as overlap from near join n using (site_id, a)""")
 def path_overlaps(spark, sf_dir):
     t = gr.in_grid(gr.binned(k.centred(fx.tracks(spark, sf_dir))))
     v = t.select("site_id", F.col("hour").alias("trail_id"), *gr.CELL).distinct().withColumn(
