@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as g
-from trackframe.functions.ordering import average_ranks, exact_percentile, with_neighbours, with_position
+from trackframe.functions.ordering import exact_percentile, value_ranks, with_neighbours, with_position
 from trackframe.operators import kinematics as k, trajectories as tj
 from trackframe.schemas import require_columns
 
@@ -175,8 +175,8 @@ def test_average_ranks_in_blocks(spark):
     values = [0.1, 0.5, 0.5, 0.9, 0.2, 0.5]
     df = spark.createDataFrame([(1, v) for v in values], "k int, v double")
     for block in (None, F.floor(F.col("v") * 3)):
-        got = sorted((r.v, r["rank"]) for r in average_ranks(df, ["k"], "v", block).collect())
-        assert got == [(0.1, 1.0), (0.2, 2.0), (0.5, 4.0), (0.5, 4.0), (0.5, 4.0), (0.9, 6.0)]
+        got = sorted((r.v, r["rank"], r.n) for r in value_ranks(df, ["k"], "v", block).collect())
+        assert got == [(0.1, 1.0, 1), (0.2, 2.0, 1), (0.5, 4.0, 3), (0.9, 6.0, 1)]
 
 
 def test_missing_columns_are_named(spark):

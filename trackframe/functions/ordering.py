@@ -97,28 +97,28 @@ def tracks_with_at_least(df: DataFrame, keys, min_rows: int) -> DataFrame:
     return df.join(long_enough, list(keys), "left_semi")
 
 
-def average_ranks(df: DataFrame, group, value: str, block: Column | None = None,
-                  out: str = "rank") -> DataFrame:
-    """Ranks with ties averaged, from one row per distinct value of a group.
+def value_ranks(df: DataFrame, group, value: str, block: Column | None = None, extra=(),
+                out: str = "rank") -> DataFrame:
+    """One row per distinct value of a group: its average rank, its count `n` and the `extra`
+    aggregates of its rows.
 
     `block` is a coarse step function of `value` (for scores in 0..1 for instance
     floor(1024 * score)); running counts are taken inside blocks and shifted by block totals,
     so a group with many values is never sorted in one task.
     """
     group = list(group)
-    tallies = (df.groupBy(*group, value).agg(F.count("*").alias("_ties"))
-               .withColumn("_block", F.lit(0) if block is None else block))
-    before_block = (tallies.groupBy(*group, "_block").agg(F.sum("_ties").alias("_n"))
-                    .select(*group, "_block",
-                            (F.sum("_n").over(Window.partitionBy(*group).orderBy("_block"))
-                             - F.col("_n")).alias("_before")))
-    inside = Window.partitionBy(*group, "_block").orderBy(value)
-    ranks = (tallies.withColumn("_upto", F.sum("_ties").over(inside))
-             .join(before_block, [*group, "_block"])
-             .select(*group, value,
-                     (F.col("_before") + F.col("_upto") - F.col("_ties")
-                      + (F.col("_ties") + 1) / 2.0).alias(out)))
-    return df.join(ranks, [*group, value])
+    tallies = df.groupBy(*group, value).agg(F.count("*").alias("n"), *extra)
+    if block is None:
+        upto = F.sum("n").over(Window.partitionBy(*group).orderBy(value))
+        return tallies.withColumn(out, upto - F.col("n") + (F.col("n") + 1) / 2.0)
+    tallies = cut_lineage(tallies.withColumn("_block", block))
+    across = Window.partitionBy(*group).orderBy("_block")
+    before = tallies.groupBy(*group, "_block").agg(F.sum("n").alias("_n")).select(
+        *group, "_block", (F.sum("_n").over(across) - F.col("_n")).alias("_before"))
+    upto = F.sum("n").over(Window.partitionBy(*group, "_block").orderBy(value))
+    return (tallies.withColumn("_upto", upto).join(before, [*group, "_block"])
+            .withColumn(out, F.col("_before") + F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2.0)
+            .drop("_before", "_upto", "_block"))
 
 
 def ranks_in_small_groups(group, value: str) -> Column:

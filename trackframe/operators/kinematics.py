@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackframe.functions import geometry as g
 from trackframe.functions.ordering import with_position, with_previous
+from trackframe.functions.sizing import broadcast_if_small
 from trackframe.schemas import FRAMES_PER_SECOND, require_columns
+from trackframe.session import cut_lineage
 
 TRACK = ("video_id", "ant_id")
 ORDER = ("frame_number", "seq")
@@ -95,10 +97,12 @@ def nearest_boundary(points: DataFrame, boundary: DataFrame, x: str = "center_x"
     """Add the closest boundary point `near` (idx, bx, by) of the truncated position and its
     squared distance; the first index wins ties, null outside the frame.
 
-    Equi-join on the grid cell with a short candidate list per cell: no pair rows are made.
+    Equi-join on the grid cell with a short candidate list per cell: no pair rows are made. The
+    lists are written once; they are broadcast while they have few rows (a frame has 1 296
+    cells), so positions are not shuffled.
     """
     keys = list(mask_keys)
-    cand = nearest_candidates(boundary, cell, width, height, keys)
+    cand = broadcast_if_small(cut_lineage(nearest_candidates(boundary, cell, width, height, keys)), 20_000)
     px, py = g.truncated(x), g.truncated(y)
     p = points.withColumns({"_px": px, "_py": py,
                             "cell_x": F.floor(px / cell).cast("int"),

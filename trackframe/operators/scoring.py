@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from trackframe.functions.names import yes_no_label
-from trackframe.functions.ordering import average_ranks
+from trackframe.functions.ordering import value_ranks
 from trackframe.functions.sizing import broadcast_if_small
 from trackframe.schemas import require_columns
 
@@ -97,11 +97,16 @@ def fold_metrics(scores: DataFrame, fold=("video_id",), score: str = "excavating
     one class; its ranks come from distinct scores in blocks, so folds may be of any size."""
     fold = list(fold)
     hit, pos = F.col(score) >= threshold, F.col(label) == 1
-    ranked = average_ranks(scores, fold, score, F.floor(F.col(score) * 1024))
+    ranked = value_ranks(scores, fold, score, F.floor(F.col(score) * 1024), [F.count_if(pos).alias("n1")])
+    ones, zeros = F.col("n1"), F.col("n") - F.col("n1")
+
+    def total(rows, keep):
+        return F.sum(F.when(keep, rows).otherwise(0))
+
     c = ranked.groupBy(*fold).agg(
-        F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"),
-        F.count_if(~hit & pos).alias("fn"), F.count_if(~hit & ~pos).alias("tn"),
-        F.sum(F.when(pos, F.col("rank"))).alias("rank_sum"))
+        total(ones, hit).alias("tp"), total(zeros, hit).alias("fp"),
+        total(ones, ~hit).alias("fn"), total(zeros, ~hit).alias("tn"),
+        F.sum(ones * F.col("rank")).alias("rank_sum"))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     n1, n0 = tp + fn, tn + fp
 

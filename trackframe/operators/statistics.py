@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trackframe.functions.ordering import average_ranks, ranks_in_small_groups
+from trackframe.functions.ordering import ranks_in_small_groups, value_ranks
 from trackframe.functions.names import cyclic_hour
 from trackframe.functions.ratios import correlation
 
@@ -35,12 +35,11 @@ def mann_whitney_u(values: DataFrame, group, a: str = "away", b: str = "toward",
         F.struct(F.lit(1).alias("is_a"), F.col(a).alias("x")),
         F.struct(F.lit(0).alias("is_a"), F.col(b).alias("x")))).alias("s")).select(*group, "s.*")
     long = long.filter(F.col("x").isNotNull())
-    ranked = average_ranks(long, group, "x", block)
-    ties = (long.groupBy(*group, "x").agg(F.count("*").alias("t")).groupBy(*group)
-            .agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties")))
+    ranked = value_ranks(long, group, "x", block, [F.sum("is_a").alias("in_a")])
+    ties = F.col("n").cast("double")
     s = ranked.groupBy(*group).agg(
-        F.sum("is_a").cast("double").alias("na"), F.sum(1 - F.col("is_a")).cast("double").alias("nb"),
-        F.sum(F.when(F.col("is_a") == 1, F.col("rank"))).alias("ra")).join(ties, group)
+        F.sum("in_a").cast("double").alias("na"), F.sum(F.col("n") - F.col("in_a")).cast("double").alias("nb"),
+        F.sum(F.col("in_a") * F.col("rank")).alias("ra"), F.sum(ties ** 3 - ties).alias("ties"))
     na, nb = F.col("na"), F.col("nb")
     n = na + nb
     u = F.col("ra") - na * (na + 1) / 2

@@ -147,39 +147,49 @@ def hour_similarity_correlation(spark, sf_dir):
 
 
 @query("away_toward_similarity_euclidean", _full(similarity_sql(EUCLID, "away", "toward")).replace(
-    "round(similarity, 6)", "round(similarity, 4)"))
+    "round(similarity + 1e-9, 6)", "round(similarity, 4)"))
 def away_toward_similarity_euclidean(spark, sf_dir):
     s = _similar(spark, sf_dir, "euclidean", "away", "toward")
     full = gr.full_matrix(s, ["site_id"], 24, "similarity")
     return full.withColumn("similarity", F.round("similarity", 4) + F.lit(0.0))
 
 
-DAY_SIM = DAY_FLUX + """
-, dn as (select site_id, day, sum(flux_mag) as s, sum(flux_mag * flux_mag) as q from day_flux group by all),
-dd as (select l.site_id, l.day as i, r.day as j, sum(l.flux_mag * r.flux_mag) as dot
-       from day_flux l join day_flux r using (site_id, x_bin, y_bin) group by all),
-sim as (select site_id, l.day as i, r.day as j, coalesce(dot, 0) / sqrt(l.q * r.q) as similarity
-        from dn l join dn r using (site_id) left join dd d on d.site_id = l.site_id and d.i = l.day and d.j = r.day)
+# days are compared inside a calendar month, so that their number has a bound
+DAY_SIM = """
+, dn as (select site_id, bout, day, sum(flux_mag) as s, sum(flux_mag * flux_mag) as q from {src} group by all),
+dd as (select l.site_id, l.bout, l.day as i, r.day as j, sum(l.flux_mag * r.flux_mag) as dot
+       from {src} l join {src} r using (site_id, bout, x_bin, y_bin) group by all),
+sim as (select l.site_id, l.bout, l.day as i, r.day as j, coalesce(dot, 0) / sqrt(l.q * r.q) as similarity
+        from dn l join dn r using (site_id, bout)
+        left join dd d on d.site_id = l.site_id and d.bout = l.bout and d.i = l.day and d.j = r.day)
 """
+MONTHS = """
+, months as (select *, date_trunc('month', day)::date as bout from day_flux)
+"""
+BOUT = ["site_id", "bout"]
+
+
+def day_vectors(spark, sf_dir):
+    return gr.cumulative_flux(flux(spark, sf_dir)).withColumn("bout", F.trunc("day", "month"))
 
 
 def day_similarity_frame(spark, sf_dir):
-    v = gr.cumulative_flux(flux(spark, sf_dir))
-    return gr.similarity(v, v, ["site_id"], "day", "flux_mag")
+    v = day_vectors(spark, sf_dir)
+    return gr.similarity(v, v, BOUT, "day", "flux_mag")
 
 
-@query("day_similarity", FX + DAY_SIM.replace("select site_id, l.day", "select l.site_id, l.day") + """
-select site_id, i, j, round(similarity + 1e-9, 6) + 0.0 as similarity from sim""")
+@query("day_similarity", FX + DAY_FLUX + MONTHS + DAY_SIM.format(src="months") + """
+select site_id, bout, i, j, round(similarity + 1e-9, 6) + 0.0 as similarity from sim""")
 def day_similarity(spark, sf_dir):
     return rounded(day_similarity_frame(spark, sf_dir))
 
 
-@query("day_similarity_summary", FX + DAY_SIM.replace("select site_id, l.day", "select l.site_id, l.day") + """
-select site_id, round(min(similarity) + 1e-9, 6) + 0.0 as lowest, round(quantile_cont(similarity, 0.5) + 1e-9, 6) + 0.0 as median,
-       round(max(similarity) + 1e-9, 6) + 0.0 as highest, round(avg(similarity) + 1e-9, 6) + 0.0 as average
-from sim where i <> j group by all""")
+@query("day_similarity_summary", FX + DAY_FLUX + MONTHS + DAY_SIM.format(src="months") + f"""
+, s as (select site_id, bout, min(similarity) as lowest, quantile_cont(similarity, 0.5) as median, max(similarity) as highest,
+               avg(similarity) as average from sim where i <> j group by all)
+select site_id, bout, {r('lowest', 'median', 'highest', 'average')} from s""")
 def day_similarity_summary(spark, sf_dir):
-    return rounded(gr.off_diagonal_summary(day_similarity_frame(spark, sf_dir), ["site_id"]))
+    return rounded(gr.off_diagonal_summary(day_similarity_frame(spark, sf_dir), BOUT))
 
 
 @query("day_similarity_shuffled", FX + DAY_FLUX + """
@@ -189,15 +199,14 @@ cells as (select *, row_number() over (partition by site_id, day order by
             md5(site_id || '|' || day || '|' || x_bin || '|' || y_bin), x_bin, y_bin) as k from grid),
 filled as (select site_id, day, flux_mag, row_number() over (partition by site_id, day order by x_bin, y_bin) as k
            from day_flux),
-sh as (select site_id, day, x_bin, y_bin, flux_mag from cells join filled using (site_id, day, k)),
-dn as (select site_id, day, sqrt(sum(flux_mag * flux_mag)) as q from sh group by all),
-dd as (select l.site_id, l.day as i, r.day as j, sum(l.flux_mag * r.flux_mag) as dot
-       from sh l join sh r using (site_id, x_bin, y_bin) group by all)
-select l.site_id, l.day as i, r.day as j, round(coalesce(dot, 0) / (l.q * r.q) + 1e-9, 6) + 0.0 as similarity
-from dn l join dn r using (site_id) left join dd d on d.site_id = l.site_id and d.i = l.day and d.j = r.day""")
+sh as (select site_id, date_trunc('month', day)::date as bout, day, x_bin, y_bin, flux_mag
+       from cells join filled using (site_id, day, k))
+""" + DAY_SIM.format(src="sh") + """
+select site_id, bout, i, j, round(similarity + 1e-9, 6) + 0.0 as similarity from sim""")
 def day_similarity_shuffled(spark, sf_dir):
-    v = rs.shuffled_cells(cut_lineage(gr.cumulative_flux(flux(spark, sf_dir))), ["site_id", "day"], "flux_mag")
-    return rounded(gr.similarity(v, v, ["site_id"], "day", "flux_mag"))
+    days = cut_lineage(gr.cumulative_flux(flux(spark, sf_dir)))
+    v = rs.shuffled_cells(days, ["site_id", "day"], "flux_mag").withColumn("bout", F.trunc("day", "month"))
+    return rounded(gr.similarity(v, v, BOUT, "day", "flux_mag"))
 
 
 DENSITY = """
