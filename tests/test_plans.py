@@ -39,3 +39,9 @@ def test_filters_reach_the_scan(spark):
     d = fx.read(spark, SF, "events").filter(F.col("user_id") == 3)
     assert "EqualTo(user_id,3)" in plan(a.individuals_per_frame(
         d.select(F.lit(1).alias("video_id"), F.lit(1).alias("frame_number"), F.col("user_id").alias("ant_id"))))
+
+
+def test_speeds_of_plain_tracks_aggregate_by_hash(spark):
+    from trackframe.operators.kinematics import speeds
+    text = plan(speeds(fx.tracks(spark, SF).drop("seq")))
+    assert "HashAggregate" in text and "SortAggregate" not in text

@@ -22,6 +22,21 @@ def _ordering(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def _key(order) -> Column:
+    cols = _ordering(order)
+    return cols[0] if len(cols) == 1 else F.struct(*cols)
+
+
+def first_row(fields, order) -> Column:
+    """The fields of the first row of a group, as an aggregate. One value per field and a plain
+    ordering column (tracks have one row per frame) keep the aggregation hash-based."""
+    return F.struct(*[F.min_by(f, _key(order)).alias(f) for f in fields])
+
+
+def last_row(fields, order) -> Column:
+    return F.struct(*[F.max_by(f, _key(order)).alias(f) for f in fields])
+
+
 def with_previous(df: DataFrame, keys, order, fields, block: Column | None = None,
                   out: str = "prev", rows_out: str = "track_rows") -> DataFrame:
     """Add the previous row of each group as struct `out` and the group's row count.
@@ -36,7 +51,7 @@ def with_previous(df: DataFrame, keys, order, fields, block: Column | None = Non
     inside = Window.partitionBy(*keys, "_block").orderBy(*_ordering(order))
     across = Window.partitionBy(*keys).orderBy("_block")
     ends = df.groupBy(*keys, "_block").agg(
-        F.max_by(row, F.struct(*_ordering(order))).alias("_last"), F.count("*").alias("_n"))
+        last_row(fields, order).alias("_last"), F.count("*").alias("_n"))
     summary = ends.select(
         *keys, "_block",
         F.lag("_last").over(across).alias("_carry"),

@@ -11,7 +11,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackframe.functions import geometry as g
+from trackframe.functions.ordering import first_row, last_row
 from trackframe.functions.ratios import correlation
+from trackframe.operators.kinematics import centred, order_of
 from trackframe.operators.resampling import hash_text
 from trackframe.session import cut_lineage
 
@@ -334,10 +336,9 @@ def density_clusters(points: DataFrame, group, x: str, y: str, eps: float, min_s
 
 def trajectory_ends(tracks: DataFrame, keys, min_rows: int = 5) -> DataFrame:
     """First and last position and length of each trajectory."""
-    from trackframe.operators.kinematics import centred, order_of
     t = centred(tracks)
-    here, order = F.struct("center_x", "center_y"), F.struct(*order_of(t))
-    e = t.groupBy(*keys).agg(F.min_by(here, order).alias("s"), F.max_by(here, order).alias("e"),
+    here, order = ("center_x", "center_y"), order_of(t)
+    e = t.groupBy(*keys).agg(first_row(here, order).alias("s"), last_row(here, order).alias("e"),
                              F.count("*").alias("n_rows")).filter(F.col("n_rows") >= min_rows)
     return e.select(*keys, "n_rows", F.col("s.center_x").alias("start_x"), F.col("s.center_y").alias("start_y"),
                     F.col("e.center_x").alias("end_x"), F.col("e.center_y").alias("end_y"))

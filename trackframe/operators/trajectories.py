@@ -8,15 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackframe.functions import geometry as g
 from trackframe.functions.ordering import (
-    tracks_with_at_least, with_neighbours, with_position, with_previous)
+    first_row, last_row, tracks_with_at_least, with_neighbours, with_position, with_previous)
 from trackframe.operators.kinematics import TRACK, centred, nearest_boundary, order_of
 from trackframe.schemas import FRAME_HEIGHT, FRAME_WIDTH, FRAMES_PER_SECOND
 
 
-def _order(df: DataFrame) -> Column:
-    return F.struct(*order_of(df))
-
-
 def behaviour_features(tracks: DataFrame, keys=TRACK, min_rows: int = 20,
                        block: Column | None = None) -> DataFrame:
     """Efficiency, straight distance, mean absolute change of angle and path length of each
@@ -24,10 +20,10 @@ def behaviour_features(tracks: DataFrame, keys=TRACK, min_rows: int = 20,
     t = centred(tracks)
     t = with_previous(t, keys, order_of(t), ["center_x", "center_y", "angle"], block)
     turn = F.abs(F.col("angle") - F.col("prev.angle"))
-    here, order = F.struct("center_x", "center_y"), _order(t)
+    here, order = ("center_x", "center_y"), order_of(t)
     f = (t.filter(F.col("track_rows") >= min_rows).groupBy(*keys).agg(
         F.count("*").alias("trajectory_length"),
-        F.min_by(here, order).alias("s"), F.max_by(here, order).alias("e"),
+        first_row(here, order).alias("s"), last_row(here, order).alias("e"),
         F.sum(g.distance("center_x", "center_y", "prev.center_x", "prev.center_y")).alias("total_length"),
         F.avg(F.least(turn, 360 - turn)).alias("avg_angle_change"))
         .withColumn("straight_distance", g.distance("s.center_x", "s.center_y", "e.center_x", "e.center_y")))
@@ -57,9 +53,9 @@ def extended_features(tracks: DataFrame, keys=TRACK, min_rows: int = 5, loop: fl
     along = (F.col("dx") * F.col("prev.dx") + F.col("dy") * F.col("prev.dy")) / unit
     gain = F.col("speed") - F.col("prev.speed")
     sector = F.floor((F.col("heading") + math.pi) / (math.pi / 4)) + 1
-    here, order = F.struct("center_x", "center_y"), _order(t)
+    here, order = ("center_x", "center_y"), order_of(t)
     f = t.groupBy(*keys).agg(
-        F.count("*").alias("duration"), F.min_by(here, order).alias("s"), F.max_by(here, order).alias("e"),
+        F.count("*").alias("duration"), first_row(here, order).alias("s"), last_row(here, order).alias("e"),
         F.sum("step").alias("total_length"), F.avg(folded).alias("avg_curvature"), F.max(folded).alias("max_curvature"),
         F.avg("speed").alias("avg_speed"), F.stddev_pop("speed").alias("speed_std"), F.max("speed").alias("max_speed"),
         F.avg(along).alias("direction_consistency"),
@@ -242,7 +238,7 @@ def frame_triplets(frames: DataFrame, video: str = "video_id", block_rows: int =
 def start_points(tracks: DataFrame, keys=TRACK) -> DataFrame:
     """Position of the first row of each track."""
     t = centred(tracks)
-    here = F.min_by(F.struct("center_x", "center_y"), _order(t))
+    here = first_row(("center_x", "center_y"), order_of(t))
     return t.groupBy(*keys).agg(here.alias("s"), F.count("*").alias("trajectory_length")).select(
         *keys, "trajectory_length", "s.*")
 
