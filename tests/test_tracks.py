@@ -84,6 +84,12 @@ def test_position_and_neighbours_over_block_borders(spark):
             assert r[f"frame_number_p{d}"] == (f[i + d] if i + d < len(f) else None)
 
 
+def test_recent_path_in_short_blocks(spark):
+    t = random_track(spark)
+    cols = ("ant_id", "frame_number", "recent_path")
+    assert np.allclose(rows(k.recent_path(t, block_rows=6), *cols), rows(k.recent_path(t), *cols))
+
+
 @pytest.mark.parametrize("method", ["moving_average", "gaussian"])
 def test_smoothing_in_short_blocks(spark, method):
     t = random_track(spark)

@@ -81,29 +81,31 @@ def with_position(df: DataFrame, keys, order, block: Column | None = None,
             .drop("_before", "_rn", "_block"))
 
 
-def with_neighbours(df: DataFrame, keys, fields, radius: int, block_rows: int = FRAME_BLOCK,
-                    position: str = "position") -> DataFrame:
-    """Add `<field>_m1.._m<r>` (rows before) and `<field>_p1.._p<r>` (rows after).
+def over_blocks(df: DataFrame, keys, before: int, after: int, columns, block_rows: int = FRAME_BLOCK,
+                position: str = "position") -> DataFrame:
+    """Window columns that look at most `before` rows back and `after` rows ahead.
 
-    Rows within `radius` positions of a block border are also sent to the neighbouring
-    block, so every window stays inside one block.
+    Rows that close to a border of a block of positions are also sent to the neighbouring
+    block, so every window stays inside one block. `columns` makes the columns of a window.
     """
     keys = list(keys)
     pos = F.col(position) - 1
-    home = F.floor(pos / block_rows)
-    low = F.floor((pos - radius) / block_rows)
-    high = F.floor((pos + radius) / block_rows)
-    spread = df.withColumn("_home", home).withColumn("_block", F.explode(F.sequence(low, high)))
+    spread = df.withColumn("_home", F.floor(pos / block_rows)).withColumn("_block", F.explode(F.sequence(
+        F.floor((pos - after) / block_rows), F.floor((pos + before) / block_rows))))
     w = Window.partitionBy(*keys, "_block").orderBy(position)
-    cols = []
-    for f in fields:
-        for k in range(1, radius + 1):
-            cols.append(F.lag(f, k).over(w).alias(f"{f}_m{k}"))
-            cols.append(F.lead(f, k).over(w).alias(f"{f}_p{k}"))
-    return (spread.select("*", *cols).filter(F.col("_block") == F.col("_home"))
+    return (spread.select("*", *columns(w)).filter(F.col("_block") == F.col("_home"))
             .drop("_block", "_home"))
 
 
+def with_neighbours(df: DataFrame, keys, fields, radius: int, block_rows: int = FRAME_BLOCK,
+                    position: str = "position") -> DataFrame:
+    """Add `<field>_m1.._m<r>` (rows before) and `<field>_p1.._p<r>` (rows after)."""
+    def columns(w):
+        return [shift(f, n).over(w).alias(f"{f}_{s}{n}") for f in fields for n in range(1, radius + 1)
+                for s, shift in (("m", F.lag), ("p", F.lead))]
+    return over_blocks(df, keys, radius, radius, columns, block_rows, position)
+
+
 def tracks_with_at_least(df: DataFrame, keys, min_rows: int) -> DataFrame:
     """Rows of groups with at least min_rows rows. Counts are combined before the shuffle
     and the join back is an equi-join that AQE can split when a group is hot."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackframe.functions import geometry as g
-from trackframe.functions.ordering import with_position, with_previous
+from trackframe.functions.ordering import over_blocks, with_position, with_previous
 from trackframe.functions.sizing import broadcast_if_small
 from trackframe.schemas import FRAMES_PER_SECOND, require_columns
 from trackframe.session import cut_lineage
@@ -153,19 +153,14 @@ def entrance_direction(tracks: DataFrame, entrance: tuple[float, float], keys=TR
             .drop("prev", "track_rows"))
 
 
-def recent_path(tracks: DataFrame, steps: int = 20, keys=TRACK, block: Column | None = None) -> DataFrame:
-    """Path length over the last `steps` steps up to each row.
-
-    A running sum of step lengths per block plus the sums of earlier blocks gives the path
-    since the start; the value `steps` rows back is an equi-join on the position.
-    """
+def recent_path(tracks: DataFrame, steps: int = 20, keys=TRACK, block: Column | None = None,
+                block_rows: int = 4096) -> DataFrame:
+    """Path length over the last `steps` steps up to each row."""
     t = centred(tracks)
     order = order_of(t)
     t = with_previous(t, keys, order, ["center_x", "center_y"], block, rows_out="_rows")
     t = t.withColumn("step", F.coalesce(
         g.distance("center_x", "center_y", "prev.center_x", "prev.center_y"), F.lit(0.0))).drop("prev", "_rows")
     t = with_position(t, keys, order, block, rows_out="_rows").drop("_rows")
-    reach = F.explode(F.sequence(F.col("position"), F.col("position") + (steps - 1)))
-    sums = (t.select(*keys, reach.alias("position"), "step")
-            .groupBy(*keys, "position").agg(F.sum("step").alias("recent_path")))
-    return t.join(sums, [*keys, "position"])
+    return over_blocks(t, keys, steps - 1, 0, lambda w: [
+        F.sum("step").over(w.rowsBetween(1 - steps, 0)).alias("recent_path")], block_rows)
