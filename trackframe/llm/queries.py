@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from trackframe.llm import packing, token_counts
+from trackframe.llm import ngram_join, packing, token_counts
 from trackframe.llm.texts import table
 
 QUERIES: dict = {}
@@ -28,3 +28,8 @@ def op5(spark, d):
 @query("op7_packing")
 def op7(spark, d):
     return packing.packed(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_ngram_join")
+def op4(spark, d):
+    return ngram_join.jaccard_components(table(spark, d, "documents"), words=4, num=85, den=100)
