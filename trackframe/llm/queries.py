@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from trackframe.llm import ngram_join, packing, token_counts
+from trackframe.llm import ngram_join, packing, token_counts, toxicity
 from trackframe.llm.texts import table
 
 QUERIES: dict = {}
@@ -33,3 +33,8 @@ def op7(spark, d):
 @query("op4_ngram_join")
 def op4(spark, d):
     return ngram_join.jaccard_components(table(spark, d, "documents"), words=4, num=85, den=100)
+
+
+@query("op6_toxicity")
+def op6(spark, d):
+    return toxicity.severities(table(spark, d, "documents"), table(spark, d, "labels"))
