@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from trackframe.llm import ngram_join, packing, token_counts, toxicity
+from trackframe.llm import fingerprints, ngram_join, packing, token_counts, toxicity
 from trackframe.llm.texts import table
 
 QUERIES: dict = {}
@@ -38,3 +38,8 @@ def op4(spark, d):
 @query("op6_toxicity")
 def op6(spark, d):
     return toxicity.severities(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op10_fingerprints")
+def op10(spark, d):
+    return fingerprints.fingerprints(table(spark, d, "documents"))
