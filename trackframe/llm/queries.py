@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from trackframe.llm import fingerprints, ngram_join, packing, token_counts, toxicity
+from trackframe.llm import fingerprints, licenses, ngram_join, packing, token_counts, toxicity
 from trackframe.llm.texts import table
 
 QUERIES: dict = {}
@@ -43,3 +43,8 @@ def op6(spark, d):
 @query("op10_fingerprints")
 def op10(spark, d):
     return fingerprints.fingerprints(table(spark, d, "documents"))
+
+
+@query("op9_license_scan")
+def op9(spark, d):
+    return licenses.license_scan(table(spark, d, "documents"))
