@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from trackframe.llm.texts import partitions_of, text_of
 from trackframe.session import cut_lineage
 
-CACHED = 400_000
+CACHED = 800_000
 LONGEST_KEY = 64
 _workers: dict = {}
 
@@ -30,7 +30,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 class WordIds(dict):
     """Ids of white-space separated words as little-endian bytes, filled as words come.
 
-    Only for tokenizers that drop white space and never join tokens across it.
+    Only for tokenizers that drop white space and letter case, and never join tokens across white space or
+    between a letter or digit and a mark.
     """
 
     def __init__(self, path: str, cached: int):
@@ -40,7 +41,12 @@ class WordIds(dict):
         self.tokenizer, self.limit = Tokenizer.from_file(path), cached
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if word[-1:] in b".," and word[-2:-1].isalnum():  # letters and marks are cut from each other
+            ids = self[word[:-1]] + self[word[-1:]]
+        elif word[:1].isupper() and word.isalpha() and word.isascii():  # letter case is dropped
+            ids = self[word.lower()]
+        else:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONGEST_KEY:
             if len(self) >= self.limit:
                 self.clear()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from trackframe.llm import fingerprints, licenses, ngram_join, packing, token_counts, toxicity
+from trackframe.llm import fingerprints, licenses, ngram_join, packing, pii, token_counts, toxicity
 from trackframe.llm.texts import table
 
 QUERIES: dict = {}
@@ -48,3 +48,8 @@ def op10(spark, d):
 @query("op9_license_scan")
 def op9(spark, d):
     return licenses.license_scan(table(spark, d, "documents"))
+
+
+@query("op8_personal_data")
+def op8(spark, d):
+    return pii.personal_data(table(spark, d, "documents"))
