@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from trackframe.llm import fingerprints, licenses, ngram_join, packing, pii, token_counts, toxicity
+from trackframe.llm import decontamination, fingerprints, licenses, ngram_join, packing, pii, substring_dedup, token_counts, toxicity
 from trackframe.llm.texts import table
 
 QUERIES: dict = {}
@@ -53,3 +53,18 @@ def op9(spark, d):
 @query("op8_personal_data")
 def op8(spark, d):
     return pii.personal_data(table(spark, d, "documents"))
+
+
+@query("op2_decontamination")
+def op2(spark, d):
+    return decontamination.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op3_substring_dedup")
+def op3(spark, d):
+    return substring_dedup.without_repeats(table(spark, d, "documents"))
+
+
+@query("op3_substring_dedup")
+def op3(spark, d):
+    return substring_dedup.without_repeats(table(spark, d, "documents"))
