@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from trackframe.session import cut_lineage
 
 MIN_SENTENCES = 2
-MIN_WORDS = 16
+MIN_WORDS = 12
 END = re.compile(r"(?:[.!?]+(?=\s)|\n)\s*")
 
 
