@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from trackframe.llm import decontamination, fingerprints, licenses, ngram_join, packing, pii, substring_dedup, token_counts, toxicity
+from trackframe.llm import decontamination, fingerprints, licenses, lm_scoring, ngram_join, packing, pii, substring_dedup, token_counts, toxicity
 from trackframe.llm.texts import table
 
 QUERIES: dict = {}
@@ -68,3 +68,15 @@ def op3(spark, d):
 @query("op3_substring_dedup")
 def op3(spark, d):
     return substring_dedup.without_repeats(table(spark, d, "documents"))
+
+
+@query("op1_lm_scoring")
+def op1(spark, d):
+    return lm_scoring.scores(table(spark, d, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
