@@ -14,12 +14,15 @@ FRAME = ("video_id", "frame_number")
 
 def in_slots(df: DataFrame, site: int | None = None, first_day: str | None = None,
              n_days: int | None = None, hour: int | None = None) -> DataFrame:
-    """Rows of a site, a run of days and an hour; partition columns, so files are pruned."""
+    """Rows of a site, a run of days (to the last one for None) and an hour; partition columns,
+    so files are pruned."""
     if site is not None:
         df = df.filter(F.col("site_id") == site)
     if first_day is not None:
         start = F.to_date(F.lit(first_day))
-        df = df.filter((F.col("day") >= start) & (F.col("day") < F.date_add(start, n_days or 1)))
+        df = df.filter(F.col("day") >= start)
+        if n_days is not None:
+            df = df.filter(F.col("day") < F.date_add(start, n_days))
     if hour is not None:
         df = df.filter(F.col("hour") == hour)
     return df

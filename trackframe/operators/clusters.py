@@ -150,8 +150,9 @@ def representative_sample(trajectories: DataFrame, n: int, length: str = "trajec
 
 def assembled(df: DataFrame, features, scaled: bool = True) -> DataFrame:
     """Rows with all features as vector `features`; scaled to mean 0 and deviation 1. The
-    feature table (one row per trajectory) is written once, as fitting reads it many times."""
-    whole = cut_lineage(df.dropna(subset=list(features)))
+    feature table (one row per trajectory) is written once, as fitting reads it many times;
+    nulls are dropped from what was written, so the planner meets plain columns."""
+    whole = cut_lineage(df).dropna(subset=list(features))
     out = VectorAssembler(inputCols=list(features), outputCol="raw").transform(whole)
     if not scaled:
         return out.withColumnRenamed("raw", "features")
@@ -180,7 +181,9 @@ def diverse_sample(trajectories: DataFrame, n: int, ids=("video_id", "ant_id"),
 # ---- behaviour clusters -----------------------------------------------------------------
 
 def elbow(costs: list[float], first_k: int = 2) -> int:
-    """Number of clusters one past the largest second difference of the costs."""
+    """Number of clusters one past the largest second difference of at least three costs."""
+    if len(costs) < 3:
+        raise ValueError("the elbow needs costs of three numbers of clusters, so at least 10 rows")
     second = [costs[i] - 2 * costs[i + 1] + costs[i + 2] for i in range(len(costs) - 2)]
     at = max(range(len(second)), key=second.__getitem__) + 2
     return first_k + at
@@ -188,8 +191,9 @@ def elbow(costs: list[float], first_k: int = 2) -> int:
 
 def behaviour_clusters(trajectories: DataFrame, n_clusters: int | None = None, features=FEATURES,
                        seed: int = 42) -> tuple[DataFrame, KMeansModel]:
-    """K-means labels of standardised features; the number by the elbow of k = 2..10."""
-    rows = assembled(trajectories, features).persist()
+    """K-means labels of standardised features; the number by the elbow of k from 2 to 10, or to
+    one below half the rows where that is less. Fewer than 10 rows need n_clusters."""
+    rows = assembled(trajectories, features)
     if n_clusters is None:
         top = min(11, rows.count() // 2)
         costs = [KMeans(k=k, seed=seed).fit(rows).summary.trainingCost for k in range(2, top)]

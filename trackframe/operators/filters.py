@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackframe.functions import geometry as g
-from trackframe.functions.sizing import broadcast_if_small
 
 # Operating threshold of the detector and names of the sites.
 CONFIDENCE = 0.327
@@ -22,12 +21,12 @@ def _at_pixel(boxes: DataFrame) -> DataFrame:
 
 def keep_on_mask(boxes: DataFrame, kept: DataFrame, mask_keys=()) -> DataFrame:
     """Boxes whose truncated centre is a kept pixel (x, y) of their mask."""
-    return _at_pixel(boxes).join(broadcast_if_small(kept), [*mask_keys, "x", "y"], "left_semi").drop("x", "y")
+    return _at_pixel(boxes).join(kept, [*mask_keys, "x", "y"], "left_semi").drop("x", "y")
 
 
 def drop_ignored(boxes: DataFrame, ignored: DataFrame, mask_keys=()) -> DataFrame:
     """The same from the (usually smaller) set of ignored pixels."""
-    return _at_pixel(boxes).join(broadcast_if_small(ignored), [*mask_keys, "x", "y"], "left_anti").drop("x", "y")
+    return _at_pixel(boxes).join(ignored, [*mask_keys, "x", "y"], "left_anti").drop("x", "y")
 
 
 def frame_window(rows: DataFrame, first: int, n_frames: int, base: int = 1) -> DataFrame:
@@ -38,7 +37,7 @@ def frame_window(rows: DataFrame, first: int, n_frames: int, base: int = 1) -> D
 
 def with_ids(rows: DataFrame, ids: DataFrame, keys=("video_id", "ant_id")) -> DataFrame:
     """Rows of the listed individuals."""
-    return rows.join(broadcast_if_small(ids.select(*keys)), list(keys), "left_semi")
+    return rows.join(ids.select(*keys), list(keys), "left_semi")
 
 
 def high_score_ids(scores: DataFrame, threshold: float, video=None) -> DataFrame:
@@ -74,7 +73,7 @@ def site_label(site: Column) -> Column:
 
 def labelled_by(rows: DataFrame, labels: DataFrame, keys, label: str) -> DataFrame:
     """Label from a small table, `unknown` where it is missing."""
-    return (rows.join(broadcast_if_small(labels), list(keys), "left")
+    return (rows.join(labels, list(keys), "left")
             .withColumn(label, F.coalesce(label, F.lit("unknown"))))
 
 

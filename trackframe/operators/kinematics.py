@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackframe.functions import geometry as g
 from trackframe.functions.ordering import over_blocks, with_position, with_previous
-from trackframe.functions.sizing import broadcast_if_small
 from trackframe.schemas import FRAMES_PER_SECOND, require_columns
 from trackframe.session import cut_lineage
 
@@ -102,7 +101,7 @@ def nearest_boundary(points: DataFrame, boundary: DataFrame, x: str = "center_x"
     cells), so positions are not shuffled.
     """
     keys = list(mask_keys)
-    cand = broadcast_if_small(cut_lineage(nearest_candidates(boundary, cell, width, height, keys)), 20_000)
+    cand = cut_lineage(nearest_candidates(boundary, cell, width, height, keys))
     px, py = g.truncated(x), g.truncated(y)
     p = points.withColumns({"_px": px, "_py": py,
                             "cell_x": F.floor(px / cell).cast("int"),

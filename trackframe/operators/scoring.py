@@ -11,9 +11,9 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from trackframe.session import cut_lineage
 from trackframe.functions.names import yes_no_label
 from trackframe.functions.ordering import value_ranks
-from trackframe.functions.sizing import broadcast_if_small
 from trackframe.schemas import require_columns
 
 # Thresholds of the sweep.
@@ -69,7 +69,7 @@ def leave_one_out_scores(table: DataFrame, columns, fold: str = "video_id", para
     The annotated clips are a short list, so one model per clip is fitted, several at a time.
     Models are a handful of weights; all rows are scored in one join with them.
     """
-    table = table.persist()
+    table = cut_lineage(table)
     sums = {r[fold]: (r["n"], r["ones"]) for r in
             table.groupBy(fold).agg(F.count("*").alias("n"), F.sum("label").alias("ones")).collect()}
     n, ones = sum(v[0] for v in sums.values()), sum(v[1] for v in sums.values())
@@ -87,7 +87,7 @@ def leave_one_out_scores(table: DataFrame, columns, fold: str = "video_id", para
     margin = F.col("_b")
     for i, c in enumerate(columns):
         margin = margin + F.get("_w", F.lit(i)) * F.col(c)
-    return (table.join(broadcast_if_small(models), fold)
+    return (table.join(models, fold)
             .withColumn(out, 1 / (1 + F.exp(-margin))).drop("_b", "_w"))
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trackframe.session import cut_lineage
 from trackframe.functions.ordering import ranks_in_small_groups, value_ranks
 from trackframe.functions.names import cyclic_hour
 from trackframe.functions.ratios import correlation
@@ -222,7 +223,7 @@ def random_intercept_model(table: DataFrame, predictors=PREDICTORS, group: str =
     """
     m = len(predictors) + 2
     # the group's intercept sums s0_i are part of the products because column 0 is the constant
-    sums = _likelihood_terms(table, predictors, group).persist()
+    sums = cut_lineage(_likelihood_terms(table, predictors, group))
     grid = [0.0] + [10 ** (k / 4) for k in range(-24, 17)]
     best = _profile(sums, grid, m)[-1]
     width = 10 ** 0.25

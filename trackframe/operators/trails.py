@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackframe.functions import geometry as g
-from trackframe.functions.sizing import broadcast_if_small
 from trackframe.operators.activity import by_direction
 from trackframe.operators.grids import CELL, binned, frames_per_group, in_grid
 from trackframe.operators.kinematics import nearest_boundary
@@ -95,12 +94,12 @@ def nest_junctions(cells: DataFrame, nest: DataFrame, keys=SITE, max_distance: f
 
 
 def shortest_trails(cells: DataFrame, junctions: DataFrame, keys=SITE, min_length: int = 10,
-                    max_trails: int = 100, hops_per_round: int = 8) -> DataFrame:
+                    max_trails: int | None = None, hops_per_round: int = 8) -> DataFrame:
     """Shortest cell path from every endpoint's nearest junction, longer than min_length cells.
 
     All graphs grow outwards from their junctions together. One hop is a join with the
     neighbour lists and a minimum per cell; several hops make a round, whose result is
-    written before the next one. At most max_trails per graph, first endpoints first.
+    written before the next one. With max_trails only so many per graph, first endpoints first.
     """
     keys = list(keys)
     edges = cell_graph(cells, keys)
@@ -129,8 +128,9 @@ def shortest_trails(cells: DataFrame, junctions: DataFrame, keys=SITE, min_lengt
     ends = nodes.filter("is_endpoint").select(*keys, "node")
     first = Window.partitionBy(*keys).orderBy("node")  # cells of one grid
     reached = (ends.join(state, [*keys, "node"]).filter(F.col("length") > min_length)
-               .withColumn("trail_id", F.row_number().over(first) - 1)
-               .filter(F.col("trail_id") < max_trails))
+               .withColumn("trail_id", F.row_number().over(first) - 1))
+    if max_trails is not None:
+        reached = reached.filter(F.col("trail_id") < max_trails)
     return reached.select(*keys, "trail_id", "node", "length", "path")
 
 
@@ -205,7 +205,7 @@ def trail_activity(speed_rows: DataFrame, masks: DataFrame, keys=SITE,
     slot = list(dict.fromkeys([*keys, "day", "hour", "direction"]))
     rows = speed_rows.filter(F.col("direction").isin(*directions))
     cells = in_grid(binned(rows)).groupBy(*slot, *CELL).agg(F.count("*").alias("n"))
-    masks = broadcast_if_small(masks.select(*keys, "trail_id", *CELL))
+    masks = masks.select(*keys, "trail_id", *CELL)
     on_trail = cells.join(masks, [*keys, *CELL]).groupBy(*slot, "trail_id").agg(F.sum("n").alias("n"))
     raw = on_trail.join(frames_per_group(rows, slot), slot).withColumn("raw", F.col("n") / F.col("n_frames"))
     sizes = masks.groupBy(*keys, "trail_id").agg(F.count("*").alias("n_cells"))

@@ -45,7 +45,7 @@ where site_id = 2 and day >= (select min(cast(ts as date)) from events)""")
 def site_day_activity(spark, sf_dir):
     t = fx.tracks(spark, sf_dir)
     first = fx.read(spark, sf_dir, "events").agg(F.min("ts")).first()[0].date().isoformat()
-    return rounded(a.direction_rates(a.in_slots(t, site=2, first_day=first, n_days=4000))
+    return rounded(a.direction_rates(a.in_slots(t, site=2, first_day=first))
                    .select("site_id", "day", "hour", "total"))
 
 

@@ -32,10 +32,10 @@ def tracks_from_csv(spark, sf_dir):
 
 @query("detections_from_csv", fx.with_ctes(fx.DETECTIONS) + """
 select video_id::varchar as video_id, 'herdnet' as detector, frame_number, (px - 10)::double as x1, (py - 10)::double as y1,
-       (px + 10)::double as x2, (py + 10)::double as y2, round(confidence + 1e-9, 6) + 0.0 as confidence from det where not is_gt""")
+       (px + 10)::double as x2, (py + 10)::double as y2, round(confidence + 1e-9, 6) + 0.0 as confidence from det""")
 def detections_from_csv(spark, sf_dir):
     out = scratch(spark)
-    d = fx.boxed(fx.detections(spark, sf_dir)).filter(~F.col("is_gt"))
+    d = fx.boxed(fx.detections(spark, sf_dir))
     (d.select(F.concat(F.col("video_id").cast("string"), F.lit("_herdnet_detections")).alias("clip"), "frame_number",
               *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], "confidence")
      .write.partitionBy("clip").option("header", True).csv(out))
@@ -69,22 +69,32 @@ def clip_files(spark, sf_dir):
 
 @query("clip_registry", fx.with_ctes(fx.TRACKS, fx.CLIPS, REGISTRY) + """
 select video_id, site_id, time_stamp, temperature::float as temperature, humidity::float as humidity, lux::float as LUX
-from reg where site_id = 1 and humidity >= 40""")
+from reg where humidity >= 40""")
 def clip_registry(spark, sf_dir):
-    c = clip_files(spark, sf_dir).filter(F.col("site_id") == 1)
-    metadata = c.filter(F.col("humidity") >= 40).select("clip", "temperature", "humidity", "lux")
-    return files.clip_registry(c.select("path"), metadata, 1)
+    def of_site(site):
+        c = clip_files(spark, sf_dir).filter(F.col("site_id") == site)
+        metadata = c.filter(F.col("humidity") >= 40).select("clip", "temperature", "humidity", "lux")
+        return files.clip_registry(c.select("path"), metadata, site)
+
+    first, *rest = [of_site(n) for n in fl.SITE_NAMES]
+    for other in rest:
+        first = first.unionByName(other)
+    return first
 
 
 @query("clip_metadata_from_json", fx.with_ctes(fx.TRACKS, fx.CLIPS) + """
-select strftime(day, '%Y-%m-%d') || '_' || lpad(hour::varchar, 2, '0') || '_00_00' as clip, temperature, humidity, lux
-from clips where site_id = 1""")
+select site_id, strftime(day, '%Y-%m-%d') || '_' || lpad(hour::varchar, 2, '0') || '_00_00' as clip, temperature, humidity, lux
+from clips""")
 def clip_metadata_from_json(spark, sf_dir):
     out = scratch(spark)
-    c = clip_files(spark, sf_dir).filter(F.col("site_id") == 1)
-    (c.select("clip", F.to_json(F.struct("temperature", "humidity", F.struct("lux").alias("light"))).alias("value"))
-     .repartition(8, "clip").write.partitionBy("clip").text(out))
-    return files.read_clip_metadata(spark, out)
+    (clip_files(spark, sf_dir).select("site_id", "clip", F.to_json(F.struct(
+        "temperature", "humidity", F.struct("lux").alias("light"))).alias("value"))
+     .repartition(8, "clip").write.partitionBy("site_id", "clip").text(out))
+    # one folder per site, as recorders leave them; site 4 has no rows in the given tables
+    first, *rest = [files.read_clip_metadata(spark, f"{out}/site_id={n}").withColumn("site_id", F.lit(n)) for n in (1, 2, 3)]
+    for other in rest:
+        first = first.unionByName(other)
+    return first
 
 
 @query("catalog_of_videos", fx.with_ctes(fx.TRACKS, fx.CLIPS, REGISTRY) + """
@@ -131,20 +141,20 @@ def artifact_paths(spark, sf_dir):
 
 
 @query("point_annotations_from_xml", T + """
-select 'f/' || frame_number || '.jpg' as image, center_x::int as x, center_y::int as y from tracks where site_id = 1""")
+select 'f/' || frame_number || '.jpg' as image, center_x::int as x, center_y::int as y from tracks""")
 def point_annotations_from_xml(spark, sf_dir):
     out = scratch(spark)
-    t = k.centred(fx.tracks(spark, sf_dir)).filter(F.col("site_id") == 1)
+    t = k.centred(fx.tracks(spark, sf_dir))
     sinks.write_image_points(t.select(F.concat(F.col("frame_number").cast("string"), F.lit(".jpg")).alias("image"),
                                       F.col("center_x").alias("x"), F.col("center_y").alias("y")), out)
     return files.read_point_images(spark, out, "f/").drop("seq")
 
 
 @query("seed_tracks_from_xml", T + """
-select 0 as frame_number, ant_id::int as ant_id, center_x::int as x, center_y::int as y from tracks where site_id = 2""")
+select 0 as frame_number, ant_id::int as ant_id, center_x::int as x, center_y::int as y from tracks""")
 def seed_tracks_from_xml(spark, sf_dir):
     out = scratch(spark)
-    t = k.centred(fx.tracks(spark, sf_dir)).filter(F.col("site_id") == 2)
+    t = k.centred(fx.tracks(spark, sf_dir))
     sinks.write_seed_tracks(t.select("ant_id", F.col("center_x").alias("x"), F.col("center_y").alias("y")), out)
     return files.read_point_tracks(spark, out)
 

@@ -10,7 +10,7 @@ from trackframe.plans.registry import query, rounded
 from trackframe.session import cut_lineage
 
 FX = fx.with_ctes(fx.TRACKS, fx.SPEEDS, fx.FLUX)
-B = 200
+B = 10_000
 
 
 def speeds(spark, sf_dir):
@@ -452,7 +452,7 @@ def sign_agreement_interval(spark, sf_dir):
         rs.shares_above_below(m, ["site_id"], "agreement", 0.5).drop("p_below"), "site_id"))
 
 
-P = 50
+P = 1_000
 
 
 def band_sql(permuted):

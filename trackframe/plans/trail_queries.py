@@ -202,7 +202,7 @@ select site_id, node, length from near join (select site_id, node from degrees w
 where length > 2""")
 def shortest_trail_lengths(spark, sf_dir):
     c = busy_cells(spark, sf_dir)
-    return tr.shortest_trails(c, junctions(spark, c), min_length=2, max_trails=10_000).select("site_id", "node", "length")
+    return tr.shortest_trails(c, junctions(spark, c), min_length=2).select("site_id", "node", "length")
 
 
 def found_trails(spark, sf_dir):
