@@ -94,9 +94,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, id_co
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     runs = source.select("_id", "_key", F.size("words").alias("n"), F.posexplode(runs_of(F.col("words"), K)).alias("place", "run"))
     hits = runs.join(known, "run").select("_id", "_key", "n", "m", "place")
-    for k in {m for m in sizes if m < K}:  # items of fewer words are one run of their own length
-        own = source.select("_id", "_key", F.size("words").alias("n"), F.posexplode(F.when(F.size("words") >= k, F.transform(
-            F.sequence(F.lit(1), F.size("words") - k + 1), lambda i, k=k: F.xxhash64(F.slice("words", i, k))))).alias("place", "run"))
+    for k in sorted(m for m in sizes if m < K):  # items of fewer words are one run of their own length
+        own = source.select("_id", "_key", F.size("words").alias("n"), F.posexplode(runs_of(F.col("words"), k)).alias("place", "run"))
         hits = hits.unionByName(own.join(known.filter(F.col("m") == k), "run").select("_id", "_key", "n", "m", "place"))
     placed = hits.distinct().groupBy("_id", "_key", "n", "m").agg(F.sort_array(F.collect_list("place")).alias("p"))
     r = F.greatest(F.col("m") - K + 1, F.lit(1))
