@@ -28,6 +28,14 @@ def in_slots(df: DataFrame, site: int | None = None, first_day: str | None = Non
     return df
 
 
+def in_bouts(rows: DataFrame, bouts: DataFrame) -> DataFrame:
+    """Rows of recorded bouts, with `bout`, the first day of theirs. bouts has site_id, start_day
+    and n_days; a day that two bouts of a site share counts in both, other days drop out."""
+    days = bouts.select("site_id", F.col("start_day").alias("bout"), F.explode(
+        F.sequence("start_day", F.date_add("start_day", F.col("n_days") - 1))).alias("day"))
+    return rows.join(days, ["site_id", "day"])
+
+
 def moving(df: DataFrame, direction: str | None) -> DataFrame:
     """Rows of one direction, all rows for None."""
     return df if direction is None else df.filter(F.col("direction") == direction)

@@ -145,7 +145,9 @@ def representative_sample(trajectories: DataFrame, n: int, length: str = "trajec
     quartile = F.when(x <= q[0], 0).when(x <= q[1], 1).when(x <= q[2], 2).otherwise(3)
     w = Window.partitionBy("quartile").orderBy(*ids)
     ranked = t.withColumn("quartile", quartile).withColumn("_k", F.row_number().over(w))
-    return ranked.filter((F.col("_k") <= n // 4) | (F.col("_all") <= n)).drop("_q", "_all", "_k")
+    # at most n rows of a quartile are ever taken, so each task cuts its own rows before the shuffle
+    first = ranked.filter(F.col("_k") <= n)
+    return first.filter((F.col("_k") <= n // 4) | (F.col("_all") <= n)).drop("_q", "_all", "_k")
 
 
 def assembled(df: DataFrame, features, scaled: bool = True) -> DataFrame:
