@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackframe.session import cut_lineage
@@ -105,45 +104,35 @@ def on_hours(days: DataFrame, values: DataFrame, keys=("site_id", "day"), column
     return spine.join(values, [*keys, "hour"], "left").fillna(0.0, subset=list(columns))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_fraction(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, value, upper, lower = 1e-300, 1.0, 1.0, 0.0
-    for step in range(300):
-        m = step // 2
-        if step == 0:
-            term = 1.0
-        elif step % 2 == 0:
-            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        lower = 1.0 / (1.0 + term * lower if abs(1.0 + term * lower) > tiny else tiny)
-        upper = 1.0 + term / upper if abs(1.0 + term / upper) > tiny else tiny
-        value *= upper * lower
-        if abs(upper * lower - 1.0) < 1e-12:
-            break
-    return front * (value - 1.0)
+def _summed(first: Column, ratio, count: Column) -> Column:
+    """first + first * ratio(1) + first * ratio(1) * ratio(2) + ..., count terms in all."""
+    start = F.struct(first.alias("term"), first.alias("sum"))
+
+    def more(acc, k):
+        term = acc["term"] * ratio(k)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+    terms = F.when(count > 1, F.sequence(F.lit(1), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(count > 0, F.aggregate(terms, start, more, lambda acc: acc["sum"])).otherwise(0.0)
 
 
 def student_p_value(t: Column, dof: Column) -> Column:
-    """Two-sided p-value of Student's t, for the few rows of a result table."""
-    @F.pandas_udf("double")
-    def p(ts: pd.Series, ds: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or pd.isna(d) or d <= 0 else
-                          _beta_fraction(d / 2, 0.5, d / (d + a * a)) for a, d in zip(ts, ds)], dtype="float64")
-    return p(t, dof)
+    """Two-sided p-value of Student's t for whole degrees of freedom, as the finite sum it then is; one
+    term for every two degrees. Null without t or below one degree."""
+    dof = dof.cast("double")
+    sine, cosine2 = F.abs(t) / F.sqrt(dof + t * t), dof / (dof + t * t)
+    count = F.floor(dof / 2)
+    even = sine * _summed(F.lit(1.0), lambda k: cosine2 * (2 * k - 1) / (2 * k), count)
+    odd = (F.atan(F.abs(t) / F.sqrt(dof)) + sine * _summed(F.sqrt(cosine2), lambda k: cosine2 * (2 * k) / (2 * k + 1), count)) * (
+        2 / math.pi)
+    return F.when(dof >= 1, F.greatest(F.lit(0.0), 1.0 - F.when(dof % 2 == 0, even).otherwise(odd)))
 
 
 def normal_p_value(z: Column) -> Column:
-    @F.pandas_udf("double")
-    def p(zs: pd.Series) -> pd.Series:
-        return zs.map(lambda v: None if pd.isna(v) else min(1.0, math.erfc(v / math.sqrt(2)))).astype("float64")
-    return p(z)
+    """Two-sided p-value of a normal score, 1 for scores that a continuity correction made negative. The
+    error function is summed from positive terms; beyond 9 the value is below 1e-18 and 0 is returned."""
+    x = z / math.sqrt(2)
+    inside = F.exp(-x * x) * (2 / math.sqrt(math.pi)) * _summed(x, lambda k: 2 * x * x / (2 * k + 1), F.lit(160))
+    return F.when(z <= 0, 1.0).when(z > 9, 0.0).when(z.isNotNull(), F.greatest(F.lit(0.0), 1.0 - inside))
 
 
 PREDICTORS = ("hour_sin", "hour_cos", "temperature", "humidity", "lux")

@@ -396,14 +396,27 @@ tt as (select site_id, hour, 2 * n - 2 as dof,
 long as (select site_id, hour, 1 as is_a, away as x from rates union all select site_id, hour, 0, toward from rates),
 ranks as (select *, rank() over (partition by site_id, hour order by x)
                  + (count(*) over (partition by site_id, hour, x) - 1) / 2 as rk from long),
-u as (select site_id, hour, sum(rk) filter (is_a = 1) - count(*) filter (is_a = 1) * (count(*) filter (is_a = 1) + 1) / 2 as u
-      from ranks group by all)
-select site_id, hour, dof, round(t + 1e-9, 6) + 0.0 as t, round(u + 1e-9, 6) + 0.0 as u from tt join u using (site_id, hour)""")
+tied as (select site_id, hour, sum(c * c * c - c) as ties from (
+           select site_id, hour, x, count(*)::double as c from long group by all) group by all),
+u as (select site_id, hour, sum(rk) filter (is_a = 1) - count(*) filter (is_a = 1) * (count(*) filter (is_a = 1) + 1) / 2 as u,
+             count(*)::double as m from ranks group by all),
+z as (select site_id, hour, u, (abs(u - m * m / 8) - 0.5) / nullif(sqrt(m * m / 48 * (m + 1 - ties / (m * (m - 1)))), 0) as z
+      from u join tied using (site_id, hour)),
+-- finite sum of Student's distribution for even degrees; error function by positive terms
+p as (select *, abs(t) / sqrt(dof + t * t) as sine, dof / (dof + t * t) as c2, z / sqrt(2::double) as x
+      from tt join z using (site_id, hour))
+select site_id, hour, dof, round(t + 1e-9, 6) + 0.0 as t, round(u + 1e-9, 6) + 0.0 as u,
+       round(case when dof >= 1 then greatest(0, 1 - sine * list_sum(list_transform(range(0, (dof // 2)::int),
+         lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * c2 ** k))) end + 1e-9, 6) + 0.0 as t_p_value,
+       round(case when z <= 0 then 1.0::double when z > 9 then 0 else greatest(0, 1 - list_sum(list_transform(range(0, 160),
+         lambda k: exp((2 * k + 1) * ln(x) - lgamma(k + 1.5) - x * x)))) end + 1e-9, 6) + 0.0 as u_p_value from p""")
 def hourly_tests(spark, sf_dir):
     v = a.direction_rates(fx.tracks(spark, sf_dir))
     t = st.two_sample_t(v, ["site_id", "hour"])
-    u = st.mann_whitney_u(v, ["site_id", "hour"], block=F.floor(F.col("x") * 64)).drop("z")
-    return rounded(t.join(u, ["site_id", "hour"]))
+    u = st.mann_whitney_u(v, ["site_id", "hour"], block=F.floor(F.col("x") * 64))
+    both = t.withColumn("t_p_value", st.student_p_value(F.col("t"), F.col("dof"))).join(
+        u.withColumn("u_p_value", st.normal_p_value(F.col("z"))).drop("z"), ["site_id", "hour"])
+    return rounded(both)
 
 
 SERIES = """
