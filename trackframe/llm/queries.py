@@ -30,7 +30,19 @@ def op7(spark, d):
     return packing.packed(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op4_ngram_join")
+@query("op4_ngram_join", r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as sh from w where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by all),
+met as (select l.doc_id as a, r.doc_id as b, count(*) as c from s l join s r using (sh) where l.doc_id < r.doc_id group by all),
+links as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+ways as (select a, b from links union all select b, a from links),
+reach as (select a as doc_id, b as other from ways union select doc_id, b from reach join ways on other = a)
+select doc_id, coalesce(any_value(n), 0) as n_shingles, least(doc_id, coalesce(min(other), doc_id)) as component_id
+from documents left join n using (doc_id) left join reach using (doc_id) group by doc_id""")
 def op4(spark, d):
     return ngram_join.jaccard_components(table(spark, d, "documents"), words=4, num=85, den=100)
 
