@@ -13,7 +13,6 @@ averaged by the tokens they have seen. What is sent grows with the number of tas
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections import Counter
@@ -28,19 +27,19 @@ from trackframe.session import cut_lineage
 CLASSES = 64        # the pad class 0, FREQUENT words, and classes of other words by hash
 FREQUENT = 40
 RADIUS = 2
-WIDTH = 24          # of the hidden layer
-BATCH = 8_192       # tokens of a step
+WIDTH = 16          # of the hidden layer
+BATCH = 2_048       # tokens of a step
 RATE = 0.5
 HELD = 400_000      # distinct words a task counts before it hands them on
 SMOOTH = 0.5        # added to a word's count
 PARTS = 1 << 20     # fixed-point steps of averaged weights, so that their order does not matter
 
-WORD = re.compile(r"\w+|[^\w\s]")
 _workers: dict = {}
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Tokens are the lower-cased words between white space, with the marks that touch them."""
+    return text.lower().split() if text else []
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
@@ -77,11 +76,12 @@ class Vocabulary(dict):
         return c
 
 
-def start_weights(seed: int = 7) -> list[np.ndarray]:
-    """By position the embeddings into the hidden layer, its bias, the output layer and its bias."""
+def start_weights(shares: np.ndarray, seed: int = 7) -> list[np.ndarray]:
+    """By position the embeddings into the hidden layer, its bias, the output layer and its bias, which starts
+    at the classes' shares of the corpus."""
     rng = np.random.default_rng(seed)
     return [rng.normal(0, 0.3, (2 * RADIUS, CLASSES, WIDTH)).astype(np.float32), np.zeros(WIDTH, np.float32),
-            rng.normal(0, 0.3, (WIDTH, CLASSES)).astype(np.float32), np.zeros(CLASSES, np.float32)]
+            rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), np.log(shares).astype(np.float32)]
 
 
 def windows(classes: np.ndarray) -> np.ndarray:
@@ -109,11 +109,11 @@ def step(weights: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate
     weights[2] -= rate / n * (hidden.T @ error)
     weights[3] -= rate / n * error.sum(axis=0)
     weights[1] -= rate / n * back.sum(axis=0)
-    hot = np.zeros((CLASSES, n), np.float32)
+    hot, rows = np.zeros((CLASSES, n), np.float32), np.arange(n)
     for p in range(len(around)):
-        hot[:] = 0
-        hot[around[p], np.arange(n)] = 1
+        hot[around[p], rows] = 1
         weights[0][p] -= rate / n * (hot @ back)
+        hot[around[p], rows] = 0
 
 
 def log_shares(weights, classes: np.ndarray) -> np.ndarray:
@@ -126,12 +126,12 @@ def log_shares(weights, classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def trained(docs: DataFrame, frequent: list[str], seed: int = 7) -> list[np.ndarray]:
+def trained(docs: DataFrame, frequent: list[str], shares: np.ndarray, seed: int = 7) -> list[np.ndarray]:
     """Weights averaged over the tasks, each having passed over all its rows once."""
-    shapes = [w.shape for w in start_weights(seed)]
+    shapes = [w.shape for w in start_weights(shares, seed)]
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known, seen = start_weights(seed), Vocabulary(frequent), 0
+        weights, known, seen = start_weights(shares, seed), Vocabulary(frequent), 0
         held_around, held_target, size = [], [], 0
 
         def learn():
@@ -163,7 +163,7 @@ def trained(docs: DataFrame, frequent: list[str], seed: int = 7) -> list[np.ndar
            .select("place", (F.col("total").cast("double") / F.greatest("seen", F.lit(1)) / PARTS).alias("value"))
            .toArrow().sort_by("place"))  # one row per weight
     flat, out, at = got["value"].to_numpy(), [], 0
-    for start, shape in zip(start_weights(seed), shapes):
+    for start, shape in zip(start_weights(shares, seed), shapes):
         size = int(np.prod(shape))
         out.append(flat[at:at + size].astype(np.float32).reshape(shape) if len(flat) else start)
         at += size
@@ -180,7 +180,8 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", seed:
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = cut_lineage(corpus_counts(source))
     # the frequent words, and how many tokens and words each class of others has: CLASSES rows in all
-    frequent = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    best = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    frequent = [r["word"] for r in best]
     first = 1 + len(frequent)
     others = counts.filter(~F.col("word").isin(frequent)) if frequent else counts
     by_class = {r["c"]: (r["n"], r["k"]) for r in others.groupBy(
@@ -188,7 +189,10 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", seed:
             F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
     # words that a task will meet often enough to be worth a table: the rest is smoothed as met once
     top = others.filter("n > 1").orderBy(F.desc("n"), "word").limit(200_000).toArrow()
-    weights = trained(source, frequent, seed)
+    met = np.ones(CLASSES)  # a class that was never met counts once
+    for c, n in [*enumerate((r["n"] for r in best), 1), *((c, n) for c, (n, _) in by_class.items())]:
+        met[c] += n
+    weights = trained(source, frequent, met / met.sum(), seed)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, by_class, top["word"], top["n"], weights))
     key = uuid.uuid4().hex
 
