@@ -30,6 +30,11 @@ def speed_table(spark: SparkSession, tracks: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def gathered(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of a folder come together before they are written, in few files; large folders are split."""
+    return df.hint("rebalance", *by)
+
+
 def label_lines(boxes: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
     """`0 xc yc w h` lines with fractions of the frame, per image."""
     u = g.unit_centre_box("x1", "y1", "x2", "y2", width, height)
@@ -38,7 +43,7 @@ def label_lines(boxes: DataFrame, width: int = 1920, height: int = 1080) -> Data
 
 
 def write_label_files(boxes: DataFrame, path: str, width: int = 1920, height: int = 1080) -> None:
-    label_lines(boxes, width, height).write.mode("overwrite").partitionBy("image").text(path)
+    gathered(label_lines(boxes, width, height), "image").write.mode("overwrite").partitionBy("image").text(path)
 
 
 def centre_rows(boxes: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def centre_rows(boxes: DataFrame) -> DataFrame:
 
 
 def write_centre_files(boxes: DataFrame, path: str) -> None:
-    centre_rows(boxes).write.mode("overwrite").partitionBy("split").option("header", True).csv(path)
+    gathered(centre_rows(boxes), "split").write.mode("overwrite").partitionBy("split").option("header", True).csv(path)
 
 
 def _mot(frame: Column, ident: str) -> list[Column]:
@@ -69,7 +74,7 @@ def mot_predictions(tracks: DataFrame, first: int, n_frames: int = 30, label: st
 
 
 def write_mot(lines: DataFrame, path: str, label: str = "video_id") -> None:
-    lines.write.mode("overwrite").partitionBy(label).option("header", False).csv(path)
+    gathered(lines, label).write.mode("overwrite").partitionBy(label).option("header", False).csv(path)
 
 
 def trajectory_summary(rows: DataFrame) -> DataFrame:
@@ -86,14 +91,14 @@ def trajectory_summary(rows: DataFrame) -> DataFrame:
 
 def write_trajectories(rows: DataFrame, path: str) -> None:
     """Compressed CSV per cluster label and a summary document."""
-    (rows.write.mode("overwrite").partitionBy("cluster_label").option("header", True)
+    (gathered(rows, "cluster_label").write.mode("overwrite").partitionBy("cluster_label").option("header", True)
      .option("compression", "gzip").csv(f"{path}/trajectories"))
     trajectory_summary(rows).write.mode("overwrite").json(f"{path}/summary")
 
 
 def write_series(series: DataFrame, path: str) -> None:
     """Per-hour series of bouts, one folder per metric and bout."""
-    series.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    gathered(series, "metric", "bout_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "metric", "bout_id").parquet(path)
 
 
