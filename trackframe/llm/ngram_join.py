@@ -80,8 +80,8 @@ def _signed(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def _signatures(docs: DataFrame, words: int, frequent, num: int, den: int) -> DataFrame:
-    """doc_id, n, two sums that stand for the whole set, and the prefix under the first order."""
+def _signatures(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n and two sums that stand for the whole set."""
 
     def build(batches):
         for batch in batches:
@@ -89,24 +89,89 @@ def _signatures(docs: DataFrame, words: int, frequent, num: int, den: int) -> Da
             sums = [[int(f(s).sum(dtype=np.uint64)) for s in sets] for f in (mixed, lambda s: mixed(s ^ np.uint64(ORDERS[2])))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(map(len, sets), pa.int64()),
-                 *(pa.array(np.array(s, np.uint64).view(np.int64)) for s in sums),
-                 _signed([prefix(s, ORDERS[0], frequent.value, num, den) for s in sets])],
-                ["doc_id", "n", "d1", "d2", "prefix"])
+                 *(pa.array(np.array(s, np.uint64).view(np.int64)) for s in sums)], ["doc_id", "n", "d1", "d2"])
 
-    return docs.select("doc_id", "_text").mapInArrow(build, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    return docs.select("doc_id", "_text").mapInArrow(build, "doc_id long, n long, d1 long, d2 long")
 
 
-def _sets(docs: DataFrame, words: int, frequent, num: int, den: int) -> DataFrame:
+def _prefixes(docs: DataFrame, words: int, frequent, num: int, den: int) -> DataFrame:
+    """token, doc_id, n: the prefix under the first order. 48 bits of a token find its meetings."""
+
+    def build(batches):
+        for batch in batches:
+            sets = [shingle_set(v.as_py(), words) for v in batch.column(1)]
+            firsts = [prefix(s, ORDERS[0], frequent.value, num, den) >> np.uint64(16) for s in sets]
+            size = [len(f) for f in firsts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((np.concatenate(firsts) if firsts else np.zeros(0, np.uint64)).view(np.int64)),
+                 pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size), pa.int64()),
+                 pa.array(np.repeat(np.array([len(s) for s in sets], np.int64), size))], ["token", "doc_id", "n"])
+
+    return docs.select("doc_id", "_text").mapInArrow(build, "token long, doc_id long, n long")
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    def build(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _signed([shingle_set(v.as_py(), words) for v in batch.column(1)])], ["doc_id", "tokens"])
+
+    return docs.select("doc_id", "_text").mapInArrow(build, "doc_id long, tokens array<long>")
+
+
+def _halves(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, h (distinct 32-bit parts of the tokens) and lost (tokens that fell together)."""
+
     def build(batches):
         for batch in batches:
             sets = [shingle_set(v.as_py(), words) for v in batch.column(1)]
+            parts = [np.unique(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets]
+            ends = np.cumsum([0, *map(len, parts)])
+            h = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _signed(sets),
-                 *(_signed([prefix(s, o, frequent.value, num, den) for s in sets]) for o in ORDERS[1:])],
-                ["doc_id", "tokens", "p1", "p2"])
+                [batch.column(0), pa.array(map(len, sets), pa.int64()), h,
+                 pa.array([len(s) - len(x) for s, x in zip(sets, parts)], pa.int64())], ["doc_id", "n", "h", "lost"])
 
-    return docs.select("doc_id", "_text").mapInArrow(
-        build, "doc_id long, tokens array<long>, p1 array<long>, p2 array<long>")
+    return docs.select("doc_id", "_text").mapInArrow(build, "doc_id long, n long, h array<int>, lost long")
+
+
+def _near_pairs(pairs: DataFrame, halves: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sets can link by the half-length tokens they share. Tokens of one set that fell together
+    are added, so the bound is never too low."""
+    halves = halves.repartition("doc_id")
+    sides = [halves.select(*[F.col(k).alias(f"{k}_{s}") for k in halves.columns]) for s in "ab"]
+    most = F.size(F.array_intersect("h_a", "h_b")) + F.least("lost_a", "lost_b")
+    return (pairs.join(sides[0], F.col("a") == F.col("doc_id_a")).join(sides[1], F.col("b") == F.col("doc_id_b"))
+            .filter(den * most >= num * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct())
+
+
+def _linked_pairs(near: DataFrame, sets: DataFrame, frequent, num: int, den: int) -> DataFrame:
+    """The pairs that meet under the other orders too, and whose whole sets link."""
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.asarray(v.values).view(np.uint64) for v in (x, y))
+                met = all(len(np.intersect1d(*(prefix(v, o, frequent.value, num, den) for v in (x, y)), assume_unique=True))
+                          for o in ORDERS[1:])
+                both = len(np.intersect1d(x, y, assume_unique=True)) if met else 0
+                keep.append(met and den * both >= num * (len(x) + len(y) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    sides = [sets.select(*[F.col(k).alias(f"{k}_{s}") for k in sets.columns]) for s in "ab"]
+    return (near.join(sides[0], F.col("a") == F.col("doc_id_a")).join(sides[1], F.col("b") == F.col("doc_id_b"))
+            .select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long"))
+
+
+def _of_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """left_semi or left_anti join on all columns of ids; few are broadcast, more are joined as they are."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ids.columns, how)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
 
 def _meetings(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -196,10 +261,11 @@ def shared(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns
     return total
 
 
-def _family_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _family_links(members: DataFrame, sets: DataFrame, frequent, num: int, den: int) -> DataFrame:
     """A spanning forest of the links inside each family (doc_id, family)."""
     width = -math.log(num / den) * 1.01  # linked sizes are at most one class apart
-    rows = members.join(sets, "doc_id").withColumn("n", F.size("tokens").cast("long")).withColumn(
+    few = members.count() <= BROADCAST_IDS
+    rows = sets.join(F.broadcast(members) if few else members, "doc_id").withColumn("n", F.size("tokens").cast("long")).withColumn(
         "c", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
     sizes = rows.groupBy("family", "c").agg(F.ceil(F.greatest(
         F.count("*") / F.lit(BLOCK_ROWS), F.sum("n") / F.lit(BLOCK_TOKENS))).cast("int").alias("blocks"))
@@ -218,7 +284,7 @@ def _family_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Da
                   meetings(c, own, lambda j: meeting(c, F.least(b, j), c, F.greatest(b, j), b > j)),
                   meetings(c + 1, up, lambda j: meeting(c, b, c + 1, j, F.lit(False))),
                   meetings(c - 1, down, lambda j: meeting(c - 1, j, c, b, F.lit(True))))))
-              .select("family", "m.*", "doc_id", "tokens", "p1", "p2"))
+              .select("family", "m.*", "doc_id", "tokens"))
 
     def link(group: pa.Table) -> pa.Table:
         ids, side = group["doc_id"].to_numpy(), np.asarray(group["right"])
@@ -228,13 +294,14 @@ def _family_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Da
             right = right[:0]
         if group["lc"][0].as_py() != group["rc"][0].as_py() and not side.any():
             right = right[:0]
-        lists = {k: [np.asarray(x.values) for x in group[k]] for k in ("tokens", "p1", "p2")}
-        n = np.array([len(x) for x in lists["tokens"]])
+        tokens = [np.asarray(x.values).view(np.uint64) for x in group["tokens"]]
+        n = np.array([len(x) for x in tokens])
         kept: list = []
         if len(left) and len(right):
-            met = (shared(lists["p1"], left, right) > 0) & (shared(lists["p2"], left, right) > 0)
+            met = np.logical_and.reduce([shared([prefix(x, o, frequent.value, num, den) for x in tokens], left, right) > 0
+                                         for o in ORDERS[1:]])
             if met.any():
-                both = shared(lists["tokens"], left, right)
+                both = shared(tokens, left, right)
                 union = n[left][:, None] + n[right][None, :] - both
                 i, j = np.nonzero(met & (den * both >= num * union) & (ids[left][:, None] != ids[right][None, :]))
                 kept = _forest(i, j, ids[left], ids[right])
@@ -254,33 +321,29 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
     frequent = spark.sparkContext.broadcast(_frequent(source, words))
-    every = cut_lineage(_signatures(source, words, frequent, num, den))
+    every = cut_lineage(_signatures(source, words))
     found = every.filter("n > 0 AND doc_id IS NOT NULL")
     digests = found.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"))
-    nodes = found.join(digests, ["d1", "d2", "n"]).filter("doc_id = node")
-    met = cut_lineage(_meetings(nodes.select(F.explode("prefix").alias("token"), "doc_id", "n"), num, den))
+    copies = cut_lineage(found.join(digests, ["d1", "d2", "n"]).filter("doc_id <> node"))
+    # an id that repeats with another text may be a copy in one row and a node in the other: it stays
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
+    gone = cut_lineage(copies.select("doc_id").join(repeated, "doc_id", "left_anti").distinct())
+    nodes = _of_ids(source.filter("doc_id IS NOT NULL"), gone, "left_anti")
+    met = cut_lineage(_meetings(_prefixes(nodes, words, frequent, num, den), num, den))
     pairs = met.filter("NOT crowded").select("a", "b").distinct()
     crowded = met.filter("crowded").select(F.col("a").alias("token"), F.col("b").alias("doc_id")).distinct()
     hubs = crowded.groupBy("token").agg(F.min("doc_id").alias("hub"))
     touching = crowded.join(hubs, "token").select("doc_id", "hub").distinct()
     families = components(touching, "doc_id", "hub").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     families = cut_lineage(families)
-    wanted = cut_lineage(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-                         .unionByName(families.select("doc_id")).distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    chosen = source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = cut_lineage(_sets(chosen, words, frequent, num, den))
-    sides = [sets.select(*[F.col(k).alias(f"{k}_{s}") for k in sets.columns]) for s in "ab"]
-    both = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-    direct = (pairs.join(sides[0], F.col("a") == F.col("doc_id_a")).join(sides[1], F.col("b") == F.col("doc_id_b"))
-              .filter(F.arrays_overlap("p1_a", "p1_b") & F.arrays_overlap("p2_a", "p2_b"))
-              .filter(den * both >= num * (F.size("tokens_a") + F.size("tokens_b") - both))
-              .select("a", "b"))
-    same = found.join(digests, ["d1", "d2", "n"]).filter("doc_id <> node").select(
-        F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
+    met_ids = cut_lineage(_ends(pairs))
+    near = cut_lineage(_near_pairs(pairs, _halves(_of_ids(source, met_ids, "left_semi"), words), num, den))
+    wanted = cut_lineage(_ends(near).unionByName(families.select("doc_id")).distinct())
+    sets = cut_lineage(_sets(_of_ids(source, wanted, "left_semi"), words))
+    direct = _linked_pairs(near, _of_ids(sets, cut_lineage(_ends(near)), "left_semi"), frequent, num, den)
+    same = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     loose = same.join(repeated.withColumnRenamed("doc_id", "a"), "a", "left_semi")
-    linked = components(direct.unionByName(_family_links(families, sets, num, den)).unionByName(loose))
+    linked = components(direct.unionByName(_family_links(families, sets, frequent, num, den)).unionByName(loose))
     named = digests.join(linked, "node", "left").select(
         "d1", "d2", "n", F.coalesce("component", "node").alias("component_id"))
     return every.join(named, ["d1", "d2", "n"], "left").select(
