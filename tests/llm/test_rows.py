@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -166,3 +167,15 @@ def test_pseudo_likelihood_beats_word_shares(spark, docs, nothing):
     odd = lm_scoring.scores(docs).collect()
     assert len(odd) == len(ROWS) and all((r["n_tokens"] == 0) == (r["mean_log_likelihood"] is None) for r in odd)
     assert lm_scoring.scores(nothing).count() == 0
+
+
+def test_words_outside_the_table_are_scored_by_their_counts(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i % 50, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60)))) for i in range(80)] + [(None, None), (3, "once")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = bag(lm_scoring.scores(texts).collect())
+    monkeypatch.setattr(lm_scoring, "TABLE", 20)
+    got = bag(lm_scoring.scores(texts).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(a[2] - b[2]) < 1e-5 for a, b in zip(got, want))

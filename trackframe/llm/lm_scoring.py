@@ -33,6 +33,7 @@ RATE = 0.5
 HELD = 400_000      # distinct words a task counts before it hands them on
 SMOOTH = 0.5        # added to a word's count
 PARTS = 1 << 20     # fixed-point steps of averaged weights, so that their order does not matter
+TABLE = 200_000     # words whose counts are sent to every worker; the counts of all others are joined
 
 _workers: dict = {}
 
@@ -187,8 +188,11 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", seed:
     by_class = {r["c"]: (r["n"], r["k"]) for r in others.groupBy(
         (F.lit(first) + F.crc32(F.encode("word", "UTF-8")) % (CLASSES - first)).cast("int").alias("c")).agg(
             F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
-    # words that a task will meet often enough to be worth a table: the rest is smoothed as met once
-    top = others.filter("n > 1").orderBy(F.desc("n"), "word").limit(200_000).toArrow()
+    # words that a task will meet often enough to be worth a table. Others are scored as met once, which the join
+    # below corrects for those met more often
+    several = others.filter("n > 1")
+    top = several.orderBy(F.desc("n"), "word").limit(TABLE).toArrow()
+    beyond = top.num_rows == TABLE
     met = np.ones(CLASSES)  # a class that was never met counts once
     for c, n in [*enumerate((r["n"] for r in best), 1), *((c, n) for c, (n, _) in by_class.items())]:
         met[c] += n
@@ -196,7 +200,7 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", seed:
     shared = docs.sparkSession.sparkContext.broadcast((frequent, by_class, top["word"], top["n"], weights))
     key = uuid.uuid4().hex
 
-    @F.arrow_udf("n_tokens long, log_likelihood double")
+    @F.arrow_udf("n_tokens long, log_likelihood double, missed array<struct<word: string, times: int>>")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if _workers.get("key") != key:
             frequent, by_class, top_words, top_counts, weights = shared.value
@@ -210,15 +214,29 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", seed:
         known, total, table, weights = (_workers[k] for k in ("known", "total", "table", "weights"))
         rare = float(np.log(1 + SMOOTH))
         for part in parts:
-            n, sums = [], []
+            n, sums, missed, times, ends = [], [], [], [], [0]
             for value in part:
                 words = words_of(value.as_py())
                 classes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 own = np.fromiter((table.get(w, rare) for w in words), np.float64, len(words))
                 n.append(len(words))
                 sums.append(float((log_shares(weights, classes) + own - total[classes]).sum()) if words else 0.0)
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(sums, pa.float64())], ["n_tokens", "log_likelihood"])
-
-    return source.select("doc_id", score("text").alias("s")).select(
-        "doc_id", "s.n_tokens", F.round("s.log_likelihood", 6).alias("log_likelihood"),
-        F.when(F.col("s.n_tokens") > 0, F.round(F.col("s.log_likelihood") / F.col("s.n_tokens"), 6)).alias("mean_log_likelihood"))
+                others = Counter(w for w in words if w not in table) if beyond else {}
+                missed += others.keys()
+                times += others.values()
+                ends.append(len(missed))
+            pairs = pa.StructArray.from_arrays([pa.array(missed, pa.string()), pa.array(times, pa.int32())], ["word", "times"])
+            yield pa.StructArray.from_arrays(
+                [pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                ["n_tokens", "log_likelihood", "missed"])
+
+    scored = source.select("doc_id", score("text").alias("s")).select("doc_id", "s.*")
+    if beyond:
+        scored = cut_lineage(scored.withColumn("_row", F.monotonically_increasing_id()))
+        more = F.col("times") * (F.log(F.col("n") + F.lit(SMOOTH)) - F.lit(float(np.log(1 + SMOOTH))))
+        added = (scored.select("_row", F.inline("missed")).join(several, "word").groupBy("_row").agg(F.sum(more).alias("_more")))
+        scored = scored.drop("missed").join(added, "_row", "left").withColumn(
+            "log_likelihood", F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0)))
+    return scored.select(
+        "doc_id", "n_tokens", F.round("log_likelihood", 6).alias("log_likelihood"),
+        F.when(F.col("n_tokens") > 0, F.round(F.col("log_likelihood") / F.col("n_tokens"), 6)).alias("mean_log_likelihood"))
