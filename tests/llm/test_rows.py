@@ -179,3 +179,12 @@ def test_words_outside_the_table_are_scored_by_their_counts(spark, monkeypatch):
     got = bag(lm_scoring.scores(texts).collect())
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert all(abs(a[2] - b[2]) < 1e-5 for a, b in zip(got, want))
+
+
+def test_tasks_weigh_by_all_the_tokens_they_saw(spark):
+    texts = [("a b c d " * 600_000,), ("a c b b d " * 240_000,)]
+    frames = (spark.createDataFrame(spark.sparkContext.parallelize(x, len(x)), "text string") for x in (texts[:1], texts[1:], texts))
+    shares = np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES)
+    first, second, both = (lm_scoring.trained(x, list("abcd"), shares) for x in frames)
+    for x, y, mean in zip(first, second, both):
+        assert np.allclose(mean, (2 * x + y) / 3, atol=1e-4)

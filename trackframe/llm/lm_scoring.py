@@ -156,11 +156,12 @@ def trained(docs: DataFrame, frequent: list[str], shares: np.ndarray, seed: int
         flat = np.concatenate([w.ravel() for w in weights]).astype(np.float64)
         fixed = np.rint(flat * PARTS).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(flat)), pa.int64()), pa.array(fixed * min(seen, 1 << 20), pa.int64()),
-             pa.array(np.full(len(flat), min(seen, 1 << 20)), pa.int64())], ["place", "total", "seen"])
+            [pa.array(np.arange(len(flat)), pa.int64()), pa.array(fixed, pa.int64()), pa.array(np.full(len(flat), seen), pa.int64())],
+            ["place", "fixed", "seen"])
 
-    got = (docs.select("text").mapInArrow(train, "place long, total long, seen long").groupBy("place")
-           .agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("seen").alias("seen"))
+    total = F.sum((F.col("fixed").cast("decimal(19,0)") * F.col("seen").cast("decimal(19,0)")).cast("decimal(38,0)"))
+    got = (docs.select("text").mapInArrow(train, "place long, fixed long, seen long").groupBy("place")
+           .agg(total.alias("total"), F.sum("seen").alias("seen"))
            .select("place", (F.col("total").cast("double") / F.greatest("seen", F.lit(1)) / PARTS).alias("value"))
            .toArrow().sort_by("place"))  # one row per weight
     flat, out, at = got["value"].to_numpy(), [], 0
