@@ -91,3 +91,27 @@ def test_later_repeats_of_passages_go(spark, docs, nothing):
 def test_rows_of_one_id_join_their_links(spark):
     rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "p q r s t"), (7, "p q r s t"), (9, "x y z"), (9, None)]
     same_components(spark, rows, 4, 85, 100)
+
+
+def test_any_shared_run_of_fifty_words_holds_a_span():
+    rnd = random.Random(1)
+
+    def some(n, ends, words=300):
+        return " ".join(f"w{rnd.randrange(words)}" + "." * (rnd.random() < ends) for _ in range(n))
+
+    for _ in range(300):
+        run = some(50, rnd.choice([0, 0.02, 0.05, 0.1, 0.3]), rnd.choice([1, 2, 5, 300]))
+        a, b = (" ".join([some(rnd.randrange(40), e), run, some(rnd.randrange(40), e)]) for e in (0.05, 0.3))
+        assert {s[0] for s in substring_dedup.spans(a)} & {s[0] for s in substring_dedup.spans(b)}
+
+
+def test_repeats_inside_long_sentences_go(spark):
+    rnd = random.Random(2)
+    words = lambda n: " ".join(f"v{rnd.randrange(10_000)}" for _ in range(n))
+    p, run = words(80), "so " * 300
+    short = "One two three four five six seven eight nine ten. Short end here now. Last bit. "
+    rows = [(1, f"{words(30)} {p} {words(30)}."), (2, f"{words(5)} {p} {words(9)}."), (3, run), (4, "x. " + run),
+            (5, "Mine. " + short + words(20) + "."), (6, short + words(30) + ".")]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {2, 4, 6}
+    assert len(set(got[2].split()) & set(p.split())) <= 30 and got[4] == "x. " and not set(got[6].split()) & set(short.split())
