@@ -90,3 +90,11 @@ def test_stages_stand_empty_tables_and_nulls(spark, docs, nothing):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
         assert stage(spark, some, SF).count() > 0
+
+
+def test_only_rows_whose_own_text_leaks_go(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 100").orderBy("item_id").first()["text"]
+    rows = [(None, "a clean row without id"), (None, f"before it {item} after it"), (5, "a clean row of a repeated id"), (5, item),
+            (6, None), (None, None)]
+    got = corpus_pipeline.without_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], rows[2], rows[4], rows[5]]))

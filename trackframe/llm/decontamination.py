@@ -33,10 +33,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def _row_key(id_column: str, text: str) -> tuple[Column, Column]:
+    """What tells rows apart: the id and the hash of the text."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 62))), F.xxhash64(text_of(text))
+
+
 def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return source.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_id"), F.xxhash64("text").alias("_key"), "doc_id",
-                         words_of(F.col("text")).alias("words"))
+    own_id, own_key = _row_key(id_column, text)
+    return docs.select(own_id.alias("_id"), own_key.alias("_key"), F.col(id_column).cast("long").alias("doc_id"),
+                       words_of(text_of(text)).alias("words"))
 
 
 def fingerprint(rows: DataFrame, by: list[str], words: str = "words") -> DataFrame:
@@ -69,16 +74,8 @@ def _bag(rows: DataFrame, by: list[str]) -> DataFrame:
     return runs.groupBy(*by, "run").agg(F.count("*").alias("c"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, id_column: str = "doc_id",
-          text: str = "text", item_column: str = "item_id") -> DataFrame:
-    """doc_id, item_id, start (word), n_words, distance, similarity: the best window of every document for every
-    item it holds a near copy of.
-
-    A run's weight is 1 + ln(items / items that hold it), most for runs of no item. Similarity is the weight
-    shared by both multisets over the weight of either. Documents shorter than an item are compared whole.
-    Null or empty texts and items without words give nothing; rows that repeat id and text count once, a null id
-    is reported as null. Items of more than 32 767 words are not supported.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame, similar: float, id_column: str, text: str, item_column: str) -> DataFrame:
+    """The rows of `leaks`, with the _id and _key of theirs."""
     items = benchmark.select(F.col(item_column).alias("item_id"), words_of(text_of()).alias("words")).filter(F.size("words") > 0)
     items = cut_lineage(items.withColumn("m", F.size("words")).dropDuplicates(["item_id", "words"])
                         .withColumn("item", F.xxhash64("item_id", "words")))
@@ -144,4 +141,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, id_co
             .join(windows.select(*by, "doc_id", F.size("words").alias("n_words")), by))
     best = Window.partitionBy("_id", "_key", "item").orderBy(F.desc("similarity"), "start")
     return near.withColumn("_best", F.row_number().over(best)).filter("_best = 1").select(
-        "doc_id", "item_id", "start", "n_words", "distance", "similarity")
+        "_id", "_key", "doc_id", "item_id", "start", "n_words", "distance", "similarity")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, id_column: str = "doc_id",
+          text: str = "text", item_column: str = "item_id") -> DataFrame:
+    """doc_id, item_id, start (word), n_words, distance, similarity: the best window of every document for every
+    item it holds a near copy of.
+
+    A run's weight is 1 + ln(items / items that hold it), most for runs of no item. Similarity is the weight
+    shared by both multisets over the weight of either. Documents shorter than an item are compared whole.
+    Null or empty texts and items without words give nothing; rows that repeat id and text count once, a null id
+    is reported as null. Items of more than 32 767 words are not supported.
+    """
+    return _leaks(docs, benchmark, similar, id_column, text, item_column).drop("_id", "_key")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, id_column: str = "doc_id",
+                  text: str = "text", item_column: str = "item_id") -> DataFrame:
+    """Rows whose own text holds no near copy of an item, whatever other rows of the same id, or without id, hold."""
+    gone = _leaks(docs, benchmark, similar, id_column, text, item_column).select(
+        F.col("_id").alias("_gone"), F.col("_key").alias("_gone_key")).distinct()
+    own_id, own_key = _row_key(id_column, text)
+    return docs.join(gone, (own_id == F.col("_gone")) & (own_key == F.col("_gone_key")), "left_anti")
