@@ -346,3 +346,30 @@ def test_empty_mask_and_unknown_site(spark):
 def test_checkpoint_uses_a_shared_folder(spark):
     df = cut_lineage(spark.range(5))
     assert df.count() == 5 and spark.sparkContext.getCheckpointDir()
+
+
+def test_flux_maps_keep_all_cells_and_components(spark, monkeypatch):
+    from trackframe.operators import clusters as cl
+    from trackframe.plans import cluster_queries as cq
+    seen, real = [], cl.flux_map_clusters
+
+    def held(vectors, *rest):
+        rows, shares = real(vectors, *rest)
+        seen.extend([len(vectors.first()["features"]), len(shares), vectors.count()])
+        return rows, shares
+
+    monkeypatch.setattr(cl, "flux_map_clusters", held)
+    got = cq.flux_map_clusters(spark, "/root/testdata/sf0.001").collect()
+    assert seen[:2] == [5184, 20] and sum(r["n"] for r in got) == seen[2]
+
+
+def test_leading_components_are_principal_components(spark):
+    from pyspark.ml.linalg import Vectors
+    from trackframe.operators import clusters as cl
+    import random
+    rnd = random.Random(3)
+    rows = spark.createDataFrame([(i, Vectors.dense([rnd.gauss(0, 1 + j % 7) for j in range(120)])) for i in range(40)], ["i", "features"])
+    (a, shares), (b, want) = cl.leading_components(rows, 4), cl.principal_components(rows, 4)
+    assert all(abs(x - y) < 1e-8 for x, y in zip(shares, want))
+    for x, y in zip(a.orderBy("i").collect(), b.orderBy("i").collect()):
+        assert all(abs(abs(p) - abs(q)) < 1e-6 for p, q in zip(x["pca"], y["pca"]))

@@ -8,6 +8,8 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackframe.functions import geometry as g
@@ -232,19 +234,41 @@ def principal_components(rows: DataFrame, k: int) -> tuple[DataFrame, list[float
     return model.transform(centred).drop("centred"), [float(v) for v in model.explainedVariance]
 
 
+def leading_components(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
+    """The same for long vectors: singular vectors of the centred rows by products with them, so that no matrix of
+    features x features is made. What the driver holds is k vectors. Fewer than k where the rows span fewer."""
+    rows = cut_lineage(rows)
+    scaler = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False).fit(rows)
+    centred = cut_lineage(scaler.transform(rows))
+    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(centred.select("centred"), "centred")).computeSVD(k)
+    loadings = rows.sparkSession.createDataFrame([(svd.V.toArray().T.tolist(),)], "loadings array<array<double>>")
+
+    def product(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    held = centred.withColumn("_v", vector_to_array("centred"))
+    total = held.agg(F.sum(product(F.col("_v"), F.col("_v")))).first()[0]
+    pca = array_to_vector(F.transform("loadings", lambda c: product(F.col("_v"), c)))
+    out = held.join(F.broadcast(loadings), F.lit(True)).withColumn("pca", pca).drop("_v", "centred", "loadings")  # one row
+    return out, [float(v) ** 2 / total for v in svd.s]
+
+
 def flux_map_vectors(shares: DataFrame, by=("site_id", "day", "hour"), nx: int = 96, ny: int = 54,
                      value: str = "share") -> DataFrame:
     """Dense vector of each flux map in row order; a map has nx * ny entries at most."""
-    cells = shares.groupBy(*by).agg(F.map_from_entries(F.collect_list(
-        F.struct((F.col("y_bin") * nx + F.col("x_bin")).cast("int"), value))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(nx * ny - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    cells = shares.groupBy(*by).agg(F.sort_array(F.collect_list(
+        F.struct((F.col("y_bin") * nx + F.col("x_bin")).cast("int").alias("at"), F.col(value).alias("v")))).alias("m"))
+    # zeros up to each entry, the entry, and zeros up to the end
+    before = F.transform("m", lambda e, i: F.concat(
+        F.array_repeat(F.lit(0.0), e["at"] - F.when(i > 0, F.get(F.col("m"), i - 1)["at"]).otherwise(F.lit(-1)) - 1), F.array(e["v"])))
+    dense = F.concat(F.flatten(before), F.array_repeat(F.lit(0.0), nx * ny - 1 - F.element_at("m", -1)["at"]))
     return cells.select(*by, array_to_vector(dense).alias("features"))
 
 
 def flux_map_clusters(vectors: DataFrame, n_components: int = 20, n_clusters: int = 6,
                       seed: int = 0) -> tuple[DataFrame, list[float]]:
     """Principal components of flux maps, then k-means."""
-    rows, shares = principal_components(vectors, n_components)
+    rows, shares = leading_components(vectors, n_components)
     rows = cut_lineage(rows.drop("features"))
     model = KMeans(k=n_clusters, seed=seed, featuresCol="pca").fit(rows)
     return model.transform(rows).withColumnRenamed("prediction", "cluster_label"), shares

@@ -219,9 +219,9 @@ def behaviour_cluster_quality(spark, sf_dir):
 
 @query("flux_map_clusters")
 def flux_map_clusters(spark, sf_dir):
-    cells = gr.flux_field(speeds(spark, sf_dir), by=("site_id", "day", "hour"), size=120)
-    v = cl.flux_map_vectors(gr.flux_shares(cells, by=("site_id", "day", "hour")), nx=16, ny=9)
-    rows, _ = cl.flux_map_clusters(v, 10, 6)
+    cells = gr.flux_field(speeds(spark, sf_dir), by=("site_id", "day", "hour"), size=20)
+    v = cl.flux_map_vectors(gr.flux_shares(cells, by=("site_id", "day", "hour")), nx=96, ny=54)
+    rows, _ = cl.flux_map_clusters(v, 20, 6)
     return rows.groupBy("cluster_label", "hour").agg(F.count("*").alias("n"))
 
 
