@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from trackframe.llm import decontamination, fingerprints, licenses, lm_scoring, ngram_join, packing, pii, substring_dedup, token_counts, toxicity
+from trackframe.llm import decontamination, fingerprints, licenses, lm_scoring, ngram_join, packing, pii, substring_dedup, token_counts, token_files, toxicity
 from trackframe.llm.texts import table
 
 QUERIES: dict = {}
@@ -77,16 +77,16 @@ def op3(spark, d):
     return substring_dedup.without_repeats(table(spark, d, "documents"))
 
 
-@query("op3_substring_dedup")
-def op3(spark, d):
-    return substring_dedup.without_repeats(table(spark, d, "documents"))
-
-
 @query("op1_lm_scoring")
 def op1(spark, d):
     return lm_scoring.scores(table(spark, d, "documents"))
 
 
+@query("op12_token_files")
+def op12(spark, d):
+    return token_files.token_ids(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("pipeline")
 def pipeline(spark, d):
     import corpus_pipeline
