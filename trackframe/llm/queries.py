@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from trackframe.llm import decontamination, fingerprints, licenses, lm_scoring, ngram_join, packing, pii, substring_dedup, token_counts, token_files, toxicity
+from trackframe.llm import (
+    conversation_repair, decontamination, fingerprints, licenses, lm_scoring, ngram_join, packing, pii, substring_dedup,
+    token_counts, token_files, toxicity)
 from trackframe.llm.texts import table
 
 QUERIES: dict = {}
@@ -82,6 +84,11 @@ def op1(spark, d):
     return lm_scoring.scores(table(spark, d, "documents"))
 
 
+@query("op11_conversation_repair")
+def op11(spark, d):
+    return conversation_repair.repairs(conversation_repair.damaged(table(spark, d, "conversations")))
+
+
 @query("op12_token_files")
 def op12(spark, d):
     return token_files.token_ids(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
