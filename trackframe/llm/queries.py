@@ -6,7 +6,7 @@ import public_tokenizers
 
 from trackframe.llm import (
     conversation_repair, decontamination, fingerprints, licenses, lm_scoring, ngram_join, packing, pii, substring_dedup,
-    token_counts, token_files, toxicity)
+    token_counts, token_files, toxicity, whitening)
 from trackframe.llm.texts import table
 
 QUERIES: dict = {}
@@ -94,6 +94,11 @@ def op12(spark, d):
     return token_files.token_ids(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op13_whitening")
+def op13(spark, d):
+    return whitening.whitened(table(spark, d, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark, d):
     import corpus_pipeline
