@@ -457,12 +457,11 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def searched(rows: DataFrame, texts: bool = False, segment: int = SEGMENT, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """What the first pass finds in `counted` rows: conversations done, and segments with their turns."""
     spark = rows.sparkSession
-    turns = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
     said = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
-    turns = turns.withColumn("said", said)
-    seen = turns.filter("said IS NOT NULL").groupBy("conv_id", "said").agg(
+    seen = rows.select("conv_id", "turn", said.alias("said")).filter("said IS NOT NULL").groupBy("conv_id", "said").agg(
         F.count("*").alias("n"), F.min("turn").alias("since"), F.max(F.col("turn").isNull()).alias("open")).filter("n > 1").select(
         F.col("conv_id").alias("seen_id"), F.col("said").alias("seen_said"), "since", "open")
+    turns = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies")).withColumn("said", said)
     repeat = F.when(F.col("open"), F.col("turn").isNotNull()).otherwise(F.col("turn") > F.col("since"))
     marked = turns.join(seen, F.col("conv_id").eqNullSafe(F.col("seen_id")) & (F.col("said") == F.col("seen_said")), "left").select(
         "conv_id", "turn", "role", "text", "copies", F.coalesce(repeat, F.lit(False)).alias("repeat"))
