@@ -373,3 +373,23 @@ def test_leading_components_are_principal_components(spark):
     assert all(abs(x - y) < 1e-8 for x, y in zip(shares, want))
     for x, y in zip(a.orderBy("i").collect(), b.orderBy("i").collect()):
         assert all(abs(abs(p) - abs(q)) < 1e-6 for p, q in zip(x["pca"], y["pca"]))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "correlation", "euclidean"])
+def test_day_similarity_over_many_blocks_of_days(spark, metric):
+    rng = np.random.default_rng(6)
+    days, cells = 75, 5184
+    dense = {s: np.where(rng.random((days, cells)) < 0.004, rng.integers(1, 9, (days, cells)), 0) for s in (1, 2)}
+    dense[1][3] = 0  # a day without mass is no row
+    rows = [(s, 19_700 + int(d) * (1 if s == 1 else 9), int(c) // 54, int(c) % 54, float(m[d, c]))
+            for s, m in dense.items() for d, c in zip(*np.nonzero(m))]
+    v = spark.createDataFrame(rows, "site int, d int, x_bin int, y_bin int, v double").withColumn("day", F.date_from_unix_date("d"))
+    got = {(r["site"], r["a"], r["b"]): r["similarity"] for r in gr.day_similarity(v, ["site"], "v", metric=metric).select(
+        "site", F.unix_date("i").alias("a"), F.unix_date("j").alias("b"), "similarity").collect()}
+    assert len(got) == 74 * 74 + 75 * 75
+    for (s, a, b), found in got.items():
+        step = 1 if s == 1 else 9
+        x, y = dense[s][(a - 19_700) // step].astype(float), dense[s][(b - 19_700) // step].astype(float)
+        want = (-np.linalg.norm(x - y) if metric == "euclidean" else
+                np.corrcoef(x, y)[0, 1] if metric == "correlation" else x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+        assert math.isclose(found, want, rel_tol=1e-9, abs_tol=1e-9)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackframe.functions import geometry as g
@@ -124,6 +128,11 @@ def similarity(left: DataFrame, right: DataFrame, group, ident: str, value: str,
             .agg(F.sum(F.col("vi") * F.col("vj")).alias("dot")))
     pairs = ls.join(rs, group).join(dots, [*group, "i", "j"], "left").withColumn(
         "dot", F.coalesce("dot", F.lit(0.0)))
+    return pairs.select(*group, "i", "j", _likeness(metric, n_cells).alias("similarity"))
+
+
+def _likeness(metric: str, n_cells: int) -> Column:
+    """Similarity from dot, sums si and sj, and squared norms qi and qj; null for vectors without mass."""
     n = float(n_cells)
     some = (F.col("si") > 0) & (F.col("sj") > 0)
     if metric == "cosine":
@@ -135,7 +144,68 @@ def similarity(left: DataFrame, right: DataFrame, group, ident: str, value: str,
         sim = -F.sqrt(F.greatest(F.col("qi") + F.col("qj") - 2 * F.col("dot"), F.lit(0.0)))
     else:
         raise ValueError(f"unknown metric {metric}")
-    return pairs.select(*group, "i", "j", F.when(some, sim).alias("similarity"))
+    return F.when(some, sim)
+
+
+DAY_BLOCK = 32      # days of a tile
+CELL_RANGE = 512    # cells of a tile
+
+
+def _tile_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Dot products of every day of one tile with every day of the other, over the cells of their range."""
+    for batch in batches:
+        key, left, right = batch.columns
+        which, i, j, dots = [], [], [], []
+        for k, a, b in zip(key.to_pylist(), left, right):
+            sides = []
+            for side in (a.values, b.values):
+                days, row = np.unique(side.field("day").to_numpy(zero_copy_only=False), return_inverse=True)
+                dense = np.zeros((len(days), CELL_RANGE))
+                np.add.at(dense, (row, side.field("at").to_numpy(zero_copy_only=False)), side.field("v").to_numpy(zero_copy_only=False))
+                sides.append((days, dense))
+            (p, x), (q, y) = sides
+            which += [k] * (len(p) * len(q))
+            i.append(np.repeat(p, len(q)))
+            j.append(np.tile(q, len(p)))
+            dots.append((x @ y.T).ravel())
+        if which:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(which, key.type), *(pa.array(np.concatenate(c)) for c in (i, j, dots))], ["key", "i", "j", "dot"])
+
+
+def day_similarity(vectors: DataFrame, group, value: str, day: str = "day", metric: str = "cosine",
+                   n_cells: int = 96 * 54) -> DataFrame:
+    """Similarity of every day of a group to every other, for any number of days: columns i and j are days.
+
+    The matrix of days by cells is cut into tiles of DAY_BLOCK days and CELL_RANGE cells. A task multiplies one
+    pair of tiles of the same cells; products are added over the cell ranges, and norms join at the end. A tile
+    is one row of bounded size, sent once to each block of days that it meets. Days without mass give null.
+    """
+    group = list(group)
+    ny = FRAME_HEIGHT // 20
+    cell = F.col("x_bin") * F.lit(ny) + F.col("y_bin")
+    number = F.unix_date(day).cast("long")
+    rows = cut_lineage(vectors.select(  # cell sums, read for tiles and norms
+        F.struct(*group).alias("key"), number.alias("day"), F.floor(number / F.lit(DAY_BLOCK)).alias("block"),
+        F.floor(cell / F.lit(CELL_RANGE)).alias("cells"), F.pmod(cell, F.lit(CELL_RANGE)).cast("long").alias("at"),
+        F.col(value).cast("double").alias("v")))
+    tiles = rows.groupBy("key", "block", "cells").agg(F.collect_list(F.struct("day", "at", "v")).alias("tile"))
+    others = rows.select("key", "block").distinct().groupBy("key").agg(F.collect_list("block").alias("others"))
+    # products are symmetric: only blocks up to the other one are multiplied
+    sent = tiles.join(others, "key").withColumn("other", F.explode(F.filter("others", lambda b: b >= F.col("block"))))
+    met = sent.select("key", "cells", "other", F.col("tile").alias("left")).join(
+        tiles.select("key", "cells", F.col("block").alias("other"), F.col("tile").alias("right")), ["key", "cells", "other"])
+    key_type = rows.schema["key"].dataType.simpleString()
+    dots = (met.select("key", "left", "right").mapInArrow(_tile_products, f"key {key_type}, i long, j long, dot double")
+            .filter("i <= j").groupBy("key", "i", "j").agg(F.sum("dot").alias("dot")))
+    both = dots.unionByName(dots.filter("i < j").select("key", F.col("j").alias("i"), F.col("i").alias("j"), "dot"))
+    sums = rows.groupBy("key", "block", "day").agg(F.sum("v").alias("s"), F.sum(F.col("v") ** 2).alias("q"))
+    left = sums.join(others, "key").select(
+        "key", F.explode("others").alias("block"), F.col("day").alias("i"), F.col("s").alias("si"), F.col("q").alias("qi"))
+    right = sums.select("key", "block", F.col("day").alias("j"), F.col("s").alias("sj"), F.col("q").alias("qj"))
+    pairs = left.join(right, ["key", "block"]).join(both, ["key", "i", "j"], "left").withColumn("dot", F.coalesce("dot", F.lit(0.0)))
+    return pairs.select("key.*", *[F.date_from_unix_date(F.col(c).cast("int")).alias(c) for c in "ij"],
+                        _likeness(metric, n_cells).alias("similarity"))
 
 
 def full_matrix(matrix: DataFrame, group, n: int, value: str, missing: float | None = None) -> DataFrame:

@@ -1,9 +1,9 @@
 """Bootstrap and permutation with draws that any engine can repeat.
 
 A draw is the number in the first eight hex digits of md5(key | resample | position), so results
-do not depend on partitioning. Draws are rows: they are spread over the cluster by
-(group, resample) and meet the values in an equi-join on (group, position), which stays even
-however large a group is; no group is gathered in an array.
+do not depend on partitioning. Draws are never rows: the values of a group lie in ordered chunks of bounded
+length, a task gets a chunk with a range of resamples and a range of draws, makes the draws inside the row and
+adds up the values it holds. Only sums leave the row, and are added over chunks.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from trackframe.functions.ordering import with_position
 from trackframe.session import cut_lineage
 
 
-def hash_number(*parts: Column) -> Column:
-    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+CHUNK = 65_536      # values of a group in one row
+DRAWS = 16_384      # draws a row makes
+
+
+def _first_digits(text: Column) -> Column:
+    """The number in the first eight hex digits of the text's md5."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
@@ -29,29 +33,61 @@ def _day_block(values: DataFrame, order) -> Column:
     return F.floor(F.unix_date("day") / 64) if by_date else F.lit(0)
 
 
-def bootstrap_means(values: DataFrame, group, columns, order, resamples: int = 10_000) -> DataFrame:
+def bootstrap_means(values: DataFrame, group, columns, order, resamples: int = 10_000,
+                    chunk: int = CHUNK) -> DataFrame:
     """Means of `columns` over each resample (with replacement) of each group.
 
-    The values (one row per slot) are written once, as they are read for sizes and positions.
+    The values (one row per slot) are written once, as they are read for sizes and positions. A row holds at most
+    `chunk` values and makes about DRAWS draws, or one resample's draws from one range. A group of n values in c
+    chunks makes every draw c times, once for each chunk that may hold it; nothing is joined to the draws.
+    The result lies by group: a group has one row per resample and range.
     """
     group, columns = list(group), list(columns)
     values = cut_lineage(values.select(*dict.fromkeys([*group, *order, *columns])))
     indexed = with_position(values, group, order, _day_block(values, order), out="_pos", rows_out="_n")
-    indexed = indexed.withColumn("_pos", F.col("_pos") - 1)
-    draws = (values.groupBy(*group).agg(F.count("*").alias("_n"))
-             .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-             .repartition(*group, "resample")
-             .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-             .select(*group, "resample",
-                     (hash_number(*[F.col(c) for c in group], F.col("resample"), F.col("_i"))
-                      % F.col("_n")).alias("_pos")))
-    # the same position drawn twice in one resample becomes one row with a weight
-    weighted = draws.groupBy(*group, "resample", "_pos").agg(F.count("*").alias("_w"))
-    w = F.col("_w")
-    return (weighted.join(indexed.select(*group, "_pos", *columns), [*group, "_pos"])
-            .groupBy(*group, "resample")
-            .agg(*[(F.sum(w * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), w))).alias(c)
-                   for c in columns]))
+    place = F.col("_pos") - 1
+    rows = F.sort_array(F.collect_list(F.struct(place.alias("_at"), *[F.col(c).cast("double").alias(c) for c in columns])))
+    chunks = (indexed.withColumn("_chunk", F.floor(place / F.lit(chunk))).groupBy(*group, "_n", "_chunk")
+              .agg(rows.alias("_rows")))
+    range_draws = F.least(F.col("_n"), F.lit(chunk))
+    per_row = F.greatest(F.lit(1), F.floor(F.lit(DRAWS) / range_draws)).cast("int")
+    # a number of tasks by work: the rows are small, and would be put together by size
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first, start = F.col("_range") * chunk, F.col("_from") * F.col("_per")
+    numbers = F.sequence(start, F.least(F.lit(resamples), start + F.col("_per")) - 1)
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in group])
+    # arrays that are read once per draw are made before the shuffle, so that they are not made again per draw
+    work = (chunks.withColumn("_per", per_row)
+            .withColumn("_from", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(resamples) / F.col("_per")).cast("int") - 1)))
+            .withColumn("_range", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.lit(chunk)))))
+            .select(*group, "_n", "_chunk", "_from", "_range", numbers.alias("_b"),
+                    F.transform(F.sequence(first, F.least(F.col("_n"), first + chunk) - 1), lambda i: i.cast("string")).alias("_i"),
+                    F.transform(numbers, lambda b: F.concat(key, F.lit("|"), b.cast("string"), F.lit("|"))).alias("_key"),
+                    *[F.col("_rows").getField(c).alias(f"_v_{c}") for c in columns])
+            .repartition(tasks, *group, "_chunk", "_from", "_range"))
+
+    def drawn(head):
+        return F.transform("_i", lambda i: (_first_digits(F.concat(head, i)) % F.col("_n") - F.col("_chunk") * chunk).cast("int"))
+
+    work = work.withColumn("_drawn", F.transform("_key", drawn))
+
+    def total(held):
+        return F.transform("_drawn", lambda at: F.aggregate(
+            at, F.lit(0.0), lambda s, p: s + F.coalesce(F.get(held, p), F.lit(0.0))))
+
+    def known(held):
+        one = F.lit(1).cast("long")
+        every = (F.col("_n") <= chunk) & ~F.exists(held, lambda v: v.isNull())  # every draw has a value
+        return F.when(every, F.transform("_drawn", lambda at: F.size(at).cast("long"))).otherwise(
+            F.transform("_drawn", lambda at: F.aggregate(at, one - 1, lambda n, p: n + F.when(F.get(held, p).isNotNull(), one).otherwise(0))))
+
+    folded = work.select(*group, "_b", *[total(F.col(f"_v_{c}")).alias(f"_s_{c}") for c in columns],
+                         *[known(F.col(f"_v_{c}")).alias(f"_c_{c}") for c in columns])
+    parts = F.arrays_zip("_b", *[f"_s_{c}" for c in columns], *[f"_c_{c}" for c in columns])
+    # sums are few enough to lie by group, which serves the two aggregates that follow
+    rows = folded.repartition(*group).select(*group, F.explode(parts).alias("_part")).select(*group, "_part.*")
+    return rows.groupBy(*group, F.col("_b").alias("resample")).agg(*[
+        (F.sum(f"_s_{c}") / F.when(F.sum(f"_c_{c}") > 0, F.sum(f"_c_{c}"))).alias(c) for c in columns])
 
 
 def intervals(means: DataFrame, group, columns, level: float = 0.95) -> DataFrame:

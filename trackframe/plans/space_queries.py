@@ -154,52 +154,31 @@ def away_toward_similarity_euclidean(spark, sf_dir):
     return full.withColumn("similarity", F.round("similarity", 4) + F.lit(0.0))
 
 
-# days are compared inside a bout, which bounds their number
 DAY_SIM = """
-, dn as (select site_id, bout, day, sum(flux_mag) as s, sum(flux_mag * flux_mag) as q from {src} group by all),
-dd as (select l.site_id, l.bout, l.day as i, r.day as j, sum(l.flux_mag * r.flux_mag) as dot
-       from {src} l join {src} r using (site_id, bout, x_bin, y_bin) group by all),
-sim as (select l.site_id, l.bout, l.day as i, r.day as j, coalesce(dot, 0) / sqrt(l.q * r.q) as similarity
-        from dn l join dn r using (site_id, bout)
-        left join dd d on d.site_id = l.site_id and d.bout = l.bout and d.i = l.day and d.j = r.day)
+, dn as (select site_id, day, sum(flux_mag) as s, sum(flux_mag * flux_mag) as q from {src} group by all),
+dd as (select l.site_id, l.day as i, r.day as j, sum(l.flux_mag * r.flux_mag) as dot
+       from {src} l join {src} r using (site_id, x_bin, y_bin) group by all),
+sim as (select l.site_id, l.day as i, r.day as j, coalesce(dot, 0) / sqrt(l.q * r.q) as similarity
+        from dn l join dn r using (site_id) left join dd d on d.site_id = l.site_id and d.i = l.day and d.j = r.day)
 """
-BOUT_DAYS = 12
-IN_BOUT = f"(date '2024-01-01' + ({BOUT_DAYS} * floor((day - date '2024-01-01') / {BOUT_DAYS}))::int)::date as bout"
-BOUTS = f"""
-, bouts as (select *, {IN_BOUT} from day_flux)
-"""
-BOUT = ["site_id", "bout"]
-
-
-def bouts(rows):
-    """A bout of twelve days follows the other at every site, across month ends."""
-    start = F.to_date(F.lit("2024-01-01"))
-    first = F.date_add(start, (BOUT_DAYS * F.floor(F.date_diff("day", start) / BOUT_DAYS)).cast("int"))
-    return rows.select("site_id", first.alias("start_day")).distinct().withColumn("n_days", F.lit(BOUT_DAYS))
-
-
-def day_vectors(spark, sf_dir):
-    days = gr.cumulative_flux(flux(spark, sf_dir))
-    return a.in_bouts(days, bouts(days))
 
 
 def day_similarity_frame(spark, sf_dir):
-    v = day_vectors(spark, sf_dir)
-    return gr.similarity(v, v, BOUT, "day", "flux_mag")
+    return gr.day_similarity(gr.cumulative_flux(flux(spark, sf_dir)), ["site_id"], "flux_mag")
 
 
-@query("day_similarity", FX + DAY_FLUX + BOUTS + DAY_SIM.format(src="bouts") + """
-select site_id, bout, i, j, round(similarity + 1e-9, 6) + 0.0 as similarity from sim""")
+@query("day_similarity", FX + DAY_FLUX + DAY_SIM.format(src="day_flux") + """
+select site_id, i, j, round(similarity + 1e-9, 6) + 0.0 as similarity from sim""")
 def day_similarity(spark, sf_dir):
     return rounded(day_similarity_frame(spark, sf_dir))
 
 
-@query("day_similarity_summary", FX + DAY_FLUX + BOUTS + DAY_SIM.format(src="bouts") + f"""
-, s as (select site_id, bout, min(similarity) as lowest, quantile_cont(similarity, 0.5) as median, max(similarity) as highest,
+@query("day_similarity_summary", FX + DAY_FLUX + DAY_SIM.format(src="day_flux") + f"""
+, s as (select site_id, min(similarity) as lowest, quantile_cont(similarity, 0.5) as median, max(similarity) as highest,
                avg(similarity) as average from sim where i <> j group by all)
-select site_id, bout, {r('lowest', 'median', 'highest', 'average')} from s""")
+select site_id, {r('lowest', 'median', 'highest', 'average')} from s""")
 def day_similarity_summary(spark, sf_dir):
-    return rounded(gr.off_diagonal_summary(day_similarity_frame(spark, sf_dir), BOUT))
+    return rounded(gr.off_diagonal_summary(day_similarity_frame(spark, sf_dir), ["site_id"]))
 
 
 @query("day_similarity_shuffled", FX + DAY_FLUX + """
@@ -209,15 +188,12 @@ cells as (select *, row_number() over (partition by site_id, day order by
             md5(site_id || '|' || day || '|' || x_bin || '|' || y_bin), x_bin, y_bin) as k from grid),
 filled as (select site_id, day, flux_mag, row_number() over (partition by site_id, day order by x_bin, y_bin) as k
            from day_flux),
-sh as (select site_id, {bout}, day, x_bin, y_bin, flux_mag
-       from cells join filled using (site_id, day, k))
-""".replace("{bout}", IN_BOUT) + DAY_SIM.format(src="sh") + """
-select site_id, bout, i, j, round(similarity + 1e-9, 6) + 0.0 as similarity from sim""")
+sh as (select site_id, day, x_bin, y_bin, flux_mag from cells join filled using (site_id, day, k))
+""" + DAY_SIM.format(src="sh") + """
+select site_id, i, j, round(similarity + 1e-9, 6) + 0.0 as similarity from sim""")
 def day_similarity_shuffled(spark, sf_dir):
     days = cut_lineage(gr.cumulative_flux(flux(spark, sf_dir)))
-    v = rs.shuffled_cells(days, ["site_id", "day"], "flux_mag")
-    v = a.in_bouts(v, bouts(v.select("site_id", "day").distinct()))
-    return rounded(gr.similarity(v, v, BOUT, "day", "flux_mag"))
+    return rounded(gr.day_similarity(rs.shuffled_cells(days, ["site_id", "day"], "flux_mag"), ["site_id"], "flux_mag"))
 
 
 DENSITY = """
