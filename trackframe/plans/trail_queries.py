@@ -1,9 +1,9 @@
 """Trails and linked tracks."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from trackframe.operators import grids as gr, kinematics as k, linking as ln, resampling as rs
-from trackframe.operators import statistics as st, trails as tr
+from trackframe.operators import statistics as st, tracking as tg, trails as tr
 from trackframe.plans import fixtures as fx
 from trackframe.plans.activity_queries import r
 from trackframe.plans.registry import query, rounded
@@ -302,3 +302,32 @@ from chain c join b on b.video_id = c.video_id and b.f = c.f and b.seq = c.seq
 join b r on r.video_id = c.video_id and r.f = c.rf and r.seq = c.rseq""")
 def linked_tracks(spark, sf_dir):
     return ln.linked_tracks(boxes(spark, sf_dir, 0.327)[1])
+
+
+@query("assigned_tracks")
+def assigned_tracks(spark, sf_dir):
+    t = tg.tracked(boxes(spark, sf_dir, 0.327)[1])
+    return t.select("video_id", "frame_number", "seq", "first_frame", "first_seq", "reported")
+
+
+@query("assigned_track_checks", fx.with_ctes(fx.DETECTIONS, SEQ.format(thr=0.327)) + """
+, frames as (select video_id, frame_number, count(*) as n from pred group by all)
+select video_id, sum(n)::bigint as n_boxes, count(*) as n_frames, max(n) as most_tracks_in_a_frame, 0::bigint as n_doubles,
+       0::bigint as n_long_gaps, 0::bigint as n_unopened from frames group by all""")
+def assigned_track_checks(spark, sf_dir):
+    """What holds for every assignment: a track has one box in a frame, misses at most seven frames with boxes,
+    and is named by a box of its own."""
+    t = cut_lineage(tg.tracked(boxes(spark, sf_dir, 0.327)[1]))
+    track = ["video_id", "first_frame", "first_seq"]
+    frames = t.groupBy("video_id", "frame_number").agg(
+        F.count("*").alias("n"), F.countDistinct("first_frame", "first_seq").alias("tracks"))
+    f = frames.withColumn("f", F.row_number().over(Window.partitionBy("video_id").orderBy("frame_number")))
+    gap = F.col("f") - F.lag("f").over(Window.partitionBy(*track).orderBy("f"))
+    steps = t.join(f.select("video_id", "frame_number", "f"), ["video_id", "frame_number"]).withColumn("gap", gap)
+    own = ((F.col("frame_number") == F.col("first_frame")) & (F.col("seq") == F.col("first_seq"))).cast("int")
+    tracks = steps.groupBy(*track).agg(F.max((F.col("gap") > 8).cast("int")).alias("long"), F.sum(own).alias("own"))
+    per = tracks.groupBy("video_id").agg(F.coalesce(F.sum("long"), F.lit(0)).cast("long").alias("n_long_gaps"),
+                                         F.sum((F.col("own") != 1).cast("long")).alias("n_unopened"))
+    return f.groupBy("video_id").agg(
+        F.sum("n").alias("n_boxes"), F.count("*").alias("n_frames"), F.max("tracks").alias("most_tracks_in_a_frame"),
+        F.sum(F.col("n") - F.col("tracks")).alias("n_doubles")).join(per, "video_id")
