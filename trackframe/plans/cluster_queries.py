@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trackframe.functions import names
-from trackframe.operators import activity as a, clusters as cl, grids as gr, kinematics as k, scoring as sc
+from trackframe.operators import activity as a, clusters as cl, density as dn, grids as gr, kinematics as k, scoring as sc
 from trackframe.operators import statistics as st, trajectories as tj
 from trackframe.plans import fixtures as fx
 from trackframe.plans.activity_queries import RATES, r
@@ -217,6 +217,29 @@ def behaviour_cluster_quality(spark, sf_dir):
     return rounded(cl.cluster_quality(labelled))
 
 
+Z = ("efficiency", "straight_distance", "avg_angle_change", "total_length")
+GAP = "sqrt(" + " + ".join(f"(p.{c} - q.{c}) ** 2" for c in Z) + ")"
+
+
+@query("behaviour_density_clusters", BF + f"""
+, whole as (select * from features where {" and ".join(f"{c} is not null" for c in Z)}),
+mo as (select {", ".join(f"avg({c}) as m_{c}, case when stddev_pop({c}) > 0 then stddev_pop({c}) else 1 end as s_{c}" for c in Z)} from whole),
+z as (select row_number() over (order by {", ".join(f"({c} - m_{c}) / s_{c}" for c in Z)}, video_id, ant_id) as id, video_id, ant_id,
+             {", ".join(f"({c} - m_{c}) / s_{c} as {c}" for c in Z)} from whole, mo),
+near as materialized (select p.id as a, q.id as b from z p join z q on {GAP} <= 0.4),
+core as materialized (select a from near group by a having count(*) >= 4),
+link as materialized (select n.a, n.b from near n semi join core c on c.a = n.a semi join core d on d.a = n.b),
+reach as (select a, a as root from core union select l.b, r.root from reach r join link l on l.a = r.a where l.b > r.root),
+root as (select a, min(root) as root from reach group by a),
+lab as (select a, dense_rank() over (order by root) - 1 as cluster from root),
+border as (select n.a, min(cluster) as cluster from near n join lab on lab.a = n.b anti join core c on c.a = n.a group by n.a),
+named as (select * from lab union all select * from border)
+select f.video_id, f.ant_id, case when z.id is not null then coalesce(cluster, -1) end::int as cluster_label
+from features f left join z using (video_id, ant_id) left join named on named.a = z.id""")
+def behaviour_density_clusters(spark, sf_dir):
+    return dn.behaviour_density_clusters(features(spark, sf_dir), eps=0.4, min_samples=4).select("video_id", "ant_id", "cluster_label")
+
+
 @query("flux_map_clusters")
 def flux_map_clusters(spark, sf_dir):
     cells = gr.flux_field(speeds(spark, sf_dir), by=("site_id", "day", "hour"), size=20)
