@@ -7,6 +7,7 @@ from trackframe.operators import activity as a, clusters as cl, density as dn, g
 from trackframe.operators import statistics as st, trajectories as tj
 from trackframe.plans import fixtures as fx
 from trackframe.plans.activity_queries import RATES, r
+from trackframe.session import cut_lineage
 from trackframe.plans.registry import query, r6, rounded
 from trackframe.plans.space_queries import speeds
 from trackframe.plans.track_queries import FEATURES, PROXIMITY, SCORES, STEPS, scores
@@ -404,6 +405,17 @@ def leave_one_out_gain(spark, sf_dir):
     return rounded(sc.metric_gain(with_nest, without))
 
 
+@query("leave_one_out_gradients", fx.with_ctes(fx.TRACKS, STEPS, FEATURES) + """
+, l as (select video_id, case when (ant_id // 3 + video_id) % 3 = 0 then 1 else 0 end as label from features),
+t as (select count(*) as n, sum(label) as ones from l), c as (select video_id, count(*) as n, sum(label) as ones from l group by all)
+select video_id, 0.0::double as gradient from c, t where t.ones - c.ones > 0 and t.ones - c.ones < t.n - c.n""")
+def leave_one_out_gradients(spark, sf_dir):
+    """At the fitted weights the gradient of every fold's loss is 0."""
+    table = cut_lineage(labelled(spark, sf_dir))
+    columns = [*COLS, "nest_proximity"]
+    return rounded(sc.leave_one_out_gradients(table, cut_lineage(sc.leave_one_out_models(table, columns)), columns))
+
+
 @query("scored_trajectories")
 def scored_trajectories(spark, sf_dir):
     table = labelled(spark, sf_dir)
