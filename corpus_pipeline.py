@@ -10,49 +10,82 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackframe.llm import decontamination, ngram_join, packing, pii, toxicity
 from trackframe.llm.texts import table
-from trackframe.session import checkpoint_dir
+from trackframe.session import checkpoint_dir, cut_lineage
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def renamed(docs: DataFrame) -> DataFrame:
+    """docs with names for all columns but doc_id and text that no operator uses."""
+    return docs.toDF(*[n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(docs.columns)])
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose predicted severity is not toxic. The model is fitted on the given rows that labels covers."""
+    """Rows whose predicted severity is not toxic. The model is fitted on the given rows that labels covers.
+
+    Null and empty texts have no telling words and are judged like any text without them. Texts are read whole,
+    repeated rows stay, columns of any name are kept, an empty table stays empty.
+    """
+    severity = fresh(docs, "_severity")
     model = toxicity.fitted_model(docs, table(spark, sf_dir, "labels"), "toxic", refine=2)
-    return toxicity.with_severity(docs, model, column="_severity").filter(~F.col("_severity.toxic")).drop("_severity")
+    return toxicity.with_severity(docs, model, column=severity).filter(~F.col(f"{severity}.toxic")).drop(severity)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of every group of near duplicates. Of rows that repeat an id the first by text
-    stays; rows without id or without words are near to nothing and stay."""
-    found = ngram_join.jaccard_components(docs, words=5, num=80, den=100)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = found.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1")
-    marked = kept.join(repeated.select(F.col("doc_id").alias("_again")), F.col("doc_id") == F.col("_again"), "left")
-    first = F.row_number().over(Window.partitionBy("_again").orderBy("text"))
-    several = marked.filter("_again IS NOT NULL").withColumn("_first", first).filter("_first = 1")
-    return marked.filter("_again IS NULL").drop("_again").unionByName(several.drop("_again", "_first"))
+    """The row with the smallest id of every group of near duplicates; of rows that share it, or have none, the
+    first in the table.
+
+    Rows are joined by their number in the table, not by id: different texts of one id, and of rows without id, are
+    different documents, and a repeated row is a copy. Rows without words are near to nothing and stay. Texts are
+    read whole, columns of any name are kept, an empty table stays empty.
+    """
+    row = fresh(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())  # docs is a table that was read, so numbers stay
+    found = cut_lineage(ngram_join.jaccard_components(numbered, words=5, num=80, den=100, id_column=row).filter("n_shingles > 0"))
+    ids = numbered.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id"))
+    first = found.join(ids, "doc_id").groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull(), "id", F.col("doc_id").alias("row"))).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = found.join(first, "component_id").filter("doc_id <> first.row").select(F.col("doc_id").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no near copy of a benchmark item."""
-    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold no near copy of a benchmark item.
+
+    Of rows that share an id, or have none, only those whose own text leaks go. Null and empty texts and columns of
+    any name are kept; an empty table or benchmark drops nothing.
+    """
+    return decontamination.without_leaks(renamed(docs), table(spark, sf_dir, "benchmark")).toDF(*docs.columns)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data replaced by its kind; n_chars follows the text. A null text stays null."""
-    source = pii.keyed(docs, "doc_id", "text")
-    added = pii.added_spans(source)
-    held = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))).withColumn(
+    """All rows, with personal data replaced by its kind; n_chars, if there, follows the text. A null text stays null.
+
+    Texts are read whole; repeated rows and columns of any name are kept; an empty table stays empty.
+    """
+    names, plain = docs.columns, renamed(docs)
+    added = pii.added_spans(pii.keyed(plain, "doc_id", "text"))
+    held = plain.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))).withColumn(
         "_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     spans = F.concat(*pii.base_spans(F.col("text")).values())
     joined = held.join(added, ["_id", "_key"], "left").withColumn("_spans", F.when(F.col("text").isNotNull(), F.concat(
         spans, F.coalesce("_added", F.array().cast(f"array<{pii.SPAN}>")))))
-    changed = joined.withColumn("text", F.when(F.size("_spans") > 0, pii.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
-    return changed.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(
-        F.col("n_chars"))).select(*docs.columns)
+    some = F.size("_spans") > 0
+    changed = joined.withColumn("text", F.when(some, pii.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    if "n_chars" in names:
+        size = f"c{names.index('n_chars')}"
+        changed = changed.withColumn(size, F.when(some, F.length("text").cast("long")).otherwise(F.col(size)))
+    return changed.select(*plain.columns).toDF(*names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

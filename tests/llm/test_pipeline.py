@@ -85,11 +85,24 @@ def test_every_id_is_packed_once(stages):
 def test_stages_stand_empty_tables_and_nulls(spark, docs, nothing):
     from pyspark.sql import functions as F
     empty = nothing.select("doc_id", "text", F.lit("").alias("lang"), F.lit("").alias("source"), F.lit(0).cast("long").alias("n_chars"))
-    some = docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"),
-                       F.lit(None).cast("long").alias("n_chars"))
-    for _, stage in corpus_pipeline.STAGES:
+    some = docs
+    for name in ("_severity", "_row", "row", "_id", "_key", "_added", "_spans", "_gone", "_again", "_n", "_first", "c3", "id", "first", "n_shingles"):
+        some = some.withColumn(name, F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
-        assert stage(spark, some, SF).count() > 0
+        got = stage(spark, some, SF)
+        rows = got.collect()
+        assert rows
+        if name != "packing":
+            assert got.columns == some.columns and all(r["_id"] == r["_row"] == r["c3"] == r["_spans"] == r["_n"] == "mine" for r in rows)
+
+
+def test_different_texts_of_one_id_stay(spark):
+    said = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(7, None), (7, said("a")), (7, said("b")), (7, said("b")), (None, said("c")), (None, said("d")), (9, said("a")), (3, said("d")),
+            (None, None), (8, "")]
+    got = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[i] for i in (0, 1, 2, 4, 7, 8, 9)]))
 
 
 def test_only_rows_whose_own_text_leaks_go(spark):

@@ -4,8 +4,9 @@ A digest counts the byte triplets of a text in hashed buckets and keeps, for eve
 count falls in, together with the length on a logarithmic scale. Two digests are compared by a difference
 score that each bucket and the length can only raise by a bounded amount.
 
-The text that follows a document by id is found inside blocks of neighbouring ids, so that texts move once and
-are never sorted as a whole. Only the last row of a block and the first row of the next meet in a join.
+The text that follows a document by id is found inside ranges of the order, which Spark chooses by count, so that
+texts move once and neither a hot id nor ids far apart fill a task. Only the last row of a range and the first row of
+the next meet in a join.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trackframe.llm.texts import text_of
+from trackframe.llm.texts import partitions_of, text_of
 from trackframe.session import cut_lineage
 
 BUCKETS = 256
-BLOCK = 512           # neighbouring ids of a block
+BLOCK = 512           # ranges whose borders are ordered together
+TIE_CHARS = 200       # of a text, that order rows of one id
 SEGMENT = 1 << 22     # bytes whose triplets are counted at once
 LENGTH_WEIGHT = 4     # difference of one doubling of the length, at most LENGTH_MOST in all
 LENGTH_MOST = 64
@@ -82,10 +84,12 @@ def _compared(text: str, mark: str, following: str, following_mark: str) -> tupl
 
 
 def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of (block, doc_id, text) with what follows them. The last row of a block is returned
-    as its `tail`, to be completed, and its first row a second time as its `head`, both with their texts."""
+    """Rows of a range in order with what follows them. The last row of a range is returned as its `tail`, to be
+    completed, and its first row a second time as its `head`, both with their texts."""
+    from pyspark import TaskContext
+
     out: list[tuple] = []
-    held = None
+    held, block = None, TaskContext.get().partitionId()
 
     def record(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), FIELDS.values())], list(FIELDS))
@@ -95,11 +99,9 @@ def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.append((doc, block, "tail", len(text), text, mark, None, None, None, None))
 
     for batch in batches:
-        for block, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
             mark = digest(text.encode())
-            if held is None or held[0] != block:
-                if held is not None:
-                    tail()
+            if held is None:
                 out.append((doc, block, "head", len(text), text, mark, None, None, None, None))
             else:
                 out.append((held[1], block, "row", len(held[2]), None, held[3], *_compared(held[2], held[3], text, mark)))
@@ -127,16 +129,15 @@ def _next_blocks(blocks: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
-    A null text counts as empty. Rows follow each other by id, then text, a null id first; the last row is
-    followed by the first, a single row by itself. Every repeated row is kept. An empty table gives no rows.
+    A null text counts as empty. Rows follow each other by id, then the first TIE_CHARS characters of the text, then
+    their place in the table, a null id first; the last row is followed by the first, a single row by itself. Every
+    repeated row is kept. An empty table gives no rows. Other columns are not read.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    low, high, n = source.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, (high - low + 1) * BLOCK // n) if n else 1  # a block holds about BLOCK ids however sparse they are
-    start = low or 0
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(start)) / F.lit(width)), F.lit(-1)).cast("long")
-    found = cut_lineage(source.select(block.alias("block"), "doc_id", "text").repartition("block")
-                        .sortWithinPartitions("block", F.asc_nulls_first("doc_id"), "text").mapInArrow(_in_blocks, SCHEMA))
+    placed = source.select("doc_id", "text", F.substring("text", 1, TIE_CHARS).alias("start"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "start", "row"]
+    found = cut_lineage(placed.repartitionByRange(partitions_of(docs.sparkSession), *order).sortWithinPartitions(*order)
+                        .select("doc_id", "text").mapInArrow(_in_blocks, SCHEMA))
     result = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     heads = found.filter("role = 'head'")
     order = _next_blocks(heads.select("block"))
