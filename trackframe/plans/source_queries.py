@@ -6,11 +6,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from trackframe.operators import activity as a, filters as fl, kinematics as k
+from trackframe.operators.kinematics import speeds
 from trackframe.plans import fixtures as fx
 from trackframe.plans.activity_queries import RATES, r
 from trackframe.plans.registry import query, rounded
 from trackframe.session import checkpoint_dir
-from trackframe.sources import catalog as cat, files, sinks
+from trackframe.sources import catalog as cat, clips, files, sinks
 
 T = fx.with_ctes(fx.TRACKS)
 TS = fx.with_ctes(fx.TRACKS, fx.SPEEDS)
@@ -53,6 +54,20 @@ def stored_speed_table(spark, sf_dir):
     return s.withColumn("total", F.round("total", 4) + F.lit(0.0))
 
 
+@query("extended_speed_table", TS + """
+select site_id, day, video_id, count(*) as n, round(sum(velocity), 4) + 0.0 as total, (video_id % 2)::bigint as batch
+from speeds group by all""")
+def extended_speed_table(spark, sf_dir):
+    """Half of the clips are stored first, the others when all are asked for."""
+    out = scratch(spark)
+    tracks = fx.tracks(spark, sf_dir)
+    clips.store_clips(tracks.filter("video_id % 2 = 0"), out, speeds)
+    s = clips.stored_clips(tracks, out, speeds).groupBy("site_id", "day", "video_id").agg(
+        F.count("*").alias("n"), F.round(F.sum("velocity"), 4).alias("total"))
+    stored = clips.manifest(spark, out).select("site_id", "day", "video_id", "batch")
+    return s.join(stored, ["site_id", "day", "video_id"]).withColumn("total", F.col("total") + F.lit(0.0))
+
+
 REGISTRY = """
 reg as (select site_id, '/clips/' || strftime(day, '%Y-%m-%d') || '_' || lpad(hour::varchar, 2, '0') || '_00_00/clip.mp4' as video_id,
                day::timestamp + to_hours(hour) as time_stamp, temperature, humidity, lux from clips)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from trackframe.operators import grids as gr, kinematics as k, linking as ln, resampling as rs
+from trackframe.operators import branches as br, grids as gr, kinematics as k, linking as ln, resampling as rs
 from trackframe.operators import statistics as st, tracking as tg, trails as tr
 from trackframe.plans import fixtures as fx
 from trackframe.plans.activity_queries import r
@@ -205,6 +205,24 @@ def shortest_trail_lengths(spark, sf_dir):
     return tr.shortest_trails(c, junctions(spark, c), min_length=2).select("site_id", "node", "length")
 
 
+@query("unique_branches", JX.rstrip() + """,
+walk as (select site_id, "rank", (s.y * 96 + s.x)::int as node, 0 as length from junctions
+         union
+         select w.site_id, w."rank", e.other, w.length + 1 from walk w join edges e on e.site_id = w.site_id and e.node = w.node
+         where w.length < 150),
+dist as materialized (select site_id, "rank", node, min(length) as length from walk group by all),
+prev as materialized (select d.site_id, d."rank", d.node, min(e.other) as other from dist d join edges e on e.site_id = d.site_id and e.node = d.node
+         join dist p on p.site_id = d.site_id and p."rank" = d."rank" and p.node = e.other and p.length = d.length - 1 group by all),
+branch as (select site_id, "rank", node, node as here, length as seq from dist join (select site_id, node from degrees where is_endpoint) using (site_id, node)
+           union all
+           select b.site_id, b."rank", b.node, p.other, b.seq - 1 from branch b
+           join prev p on p.site_id = b.site_id and p."rank" = b."rank" and p.node = b.here)
+select site_id, "rank", node, seq, (here % 96)::int as x_bin, (here // 96)::int as y_bin from branch""")
+def unique_branches(spark, sf_dir):
+    c = busy_cells(spark, sf_dir)
+    return br.unique_branches(c, junctions(spark, c))
+
+
 def found_trails(spark, sf_dir):
     c = busy_cells(spark, sf_dir)
     return cut_lineage(tr.trail_points(tr.shortest_trails(c, junctions(spark, c), min_length=2)))
