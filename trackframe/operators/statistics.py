@@ -27,19 +27,24 @@ def two_sample_t(values: DataFrame, group, a: str = "away", b: str = "toward") -
                     F.when(se > 0, (F.col("ma") - F.col("mb")) / se).alias("t"))
 
 
-def mann_whitney_u(values: DataFrame, group, a: str = "away", b: str = "toward",
-                   block: Column | None = None) -> DataFrame:
-    """U of the first column from average ranks, with the tie-corrected normal score."""
-    group = list(group)
+def _rank_sums(values: DataFrame, group, a: str, b: str, block: Column | None) -> DataFrame:
+    """Sizes na and nb of both columns, rank sum ra of the first, and the sum of ties cubed less ties."""
     long = values.select(*group, F.explode(F.array(
         F.struct(F.lit(1).alias("is_a"), F.col(a).alias("x")),
         F.struct(F.lit(0).alias("is_a"), F.col(b).alias("x")))).alias("s")).select(*group, "s.*")
     long = long.filter(F.col("x").isNotNull())
     ranked = value_ranks(long, group, "x", block, [F.sum("is_a").alias("in_a")])
     ties = F.col("n").cast("double")
-    s = ranked.groupBy(*group).agg(
+    return ranked.groupBy(*group).agg(
         F.sum("in_a").cast("double").alias("na"), F.sum(F.col("n") - F.col("in_a")).cast("double").alias("nb"),
         F.sum(F.col("in_a") * F.col("rank")).alias("ra"), F.sum(ties ** 3 - ties).alias("ties"))
+
+
+def mann_whitney_u(values: DataFrame, group, a: str = "away", b: str = "toward",
+                   block: Column | None = None) -> DataFrame:
+    """U of the first column from average ranks, with the tie-corrected normal score."""
+    group = list(group)
+    s = _rank_sums(values, group, a, b, block)
     na, nb = F.col("na"), F.col("nb")
     n = na + nb
     u = F.col("ra") - na * (na + 1) / 2
@@ -48,6 +53,45 @@ def mann_whitney_u(values: DataFrame, group, a: str = "away", b: str = "toward",
     return s.select(*group, u.alias("u"), z.alias("z"))
 
 
+def exact_u_p_value(u: Column, na: Column, nb: Column) -> Column:
+    """Two-sided p-value of U among all orders of na and nb values without ties.
+
+    The number of orders with each U is a coefficient of the product of (1 - q^(nb + i)) / (1 - q^i) for i up to
+    na; one factor is multiplied in by a difference and divided out by a running sum. For small na and nb, whose
+    product bounds the array.
+    """
+    size = (na * nb).cast("int") + 1
+    one = F.array_append(F.array().cast("array<double>"), F.lit(1.0))
+    start = F.concat(one, F.array_repeat(F.lit(0.0), size - 1))
+
+    def factor(p, i):
+        shift = nb.cast("int") + i
+        less = F.transform(p, lambda v, k: v - F.when(k >= shift, F.get(p, k - shift)).otherwise(0.0))
+        return F.aggregate(less, F.array().cast("array<double>"), lambda done, v: F.array_append(
+            done, v + F.when(F.size(done) >= i, F.get(done, F.size(done) - i)).otherwise(0.0)))
+
+    ways = F.when((na > 0) & (nb > 0), F.aggregate(F.sequence(F.lit(1), F.greatest(na.cast("int"), F.lit(1))), start, factor))
+    far = F.greatest(u, na * nb - u).cast("int")
+    tail = F.aggregate(F.slice(ways, far + 1, size), F.lit(0.0), lambda t, v: t + v)
+    return F.least(F.lit(1.0), 2 * tail / F.aggregate(ways, F.lit(0.0), lambda t, v: t + v))
+
+
+def mann_whitney_test(values: DataFrame, group, a: str = "away", b: str = "toward", block: Column | None = None,
+                      exact: int = 8) -> DataFrame:
+    """U and its two-sided p-value: exact where neither column has more than `exact` values and none are tied,
+    else by the tie-corrected normal score."""
+    group = list(group)
+    values = cut_lineage(values.select(*group, a, b))
+    s = _rank_sums(values, group, a, b, block)
+    small = (F.col("ties") == 0) & (F.greatest("na", "nb") <= exact) & (F.least("na", "nb") > 0)
+    u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2
+    # arrays are made from sizes within the bound only
+    na, nb = (F.when(small, F.col(c)) for c in ("na", "nb"))
+    few = s.select(*group, F.when(small, exact_u_p_value(u, na, nb)).alias("_exact"))
+    return mann_whitney_u(values, group, a, b, block).join(few, group).select(
+        *group, "u", F.coalesce("_exact", normal_p_value(F.col("z"))).alias("p_value"))
+
+
 def lagged_correlations(series: DataFrame, group, max_lag: int = 12, min_samples: int = 5,
                         leader: str = "toward", follower: str = "away", t: str = "t") -> DataFrame:
     """Pearson r between leader(t) and follower(t + lag) for each lag; null with too few
