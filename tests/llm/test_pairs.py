@@ -1,5 +1,7 @@
 """N-gram join, decontamination and repeated spans against plain versions."""
 
+import collections
+import math
 import random
 
 from tests.llm.brute import jaccard_components
@@ -66,6 +68,96 @@ def test_leaks_are_found_and_clean_rows_left(spark, docs, nothing):
     assert {r["doc_id"] for r in own} == {1, 2, 3}
 
 
+def best_windows(rows, items):
+    """{(doc_id, item_id): greatest weighted similarity over all windows of the item's size} by trying each."""
+    def runs(w):
+        return collections.Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)])
+
+    bags = {i: runs(t.split()) for i, t in items}
+    held = collections.Counter(x for b in bags.values() for x in b)
+    weight = lambda x: 1 + math.log(len(items) / held[x]) if x in held else 1 + math.log(len(items))
+    out = {}
+    for d, t in rows:
+        words = t.split()
+        for i, item in items:
+            m, b = len(item.split()), bags[i]
+            for s in range(max(len(words) - m, 0) + 1):
+                w = runs(words[s:s + m])
+                both = sum(weight(x) * n for x, n in (w & b).items())
+                either = sum(weight(x) * n for x, n in (w | b).items())
+                out[d, i] = max(out.get((d, i), 0.0), both / either)
+    return out
+
+
+def test_leaks_equal_those_of_all_windows_where_runs_are_rare_and_frequent(spark):
+    rnd = random.Random(11)
+    words = [f"v{i}" for i in range(2000)]
+    some = lambda n: [rnd.choice(words) for _ in range(n)]
+    common = some(14)  # a passage of many items, whose runs weigh little
+    items = [(i, " ".join(some(n)[:n - 14] + common if i % 2 else some(n))) for i, n in enumerate([48, 60, 44, 70, 50, 56, 48, 52, 64, 45])]
+    rows = []
+    for d in range(60):
+        t = rnd.choice(items)[1].split()
+        kind = d % 4
+        if kind == 0:    # the light passage is changed
+            for at in rnd.sample(range(max(len(t) - 14, 0), len(t)), 3):
+                t[at] = rnd.choice(words)
+        elif kind == 1:  # one word is changed
+            t[rnd.randrange(len(t))] = rnd.choice(words)
+        elif kind == 2:  # an end is cut off, or the light passage stands before
+            t = common + t[rnd.randint(0, 8):]
+        else:
+            t = t[:len(t) - rnd.randint(0, 8)]
+        rows.append((d, " ".join(some(rnd.randint(0, 12)) + t + some(rnd.randint(0, 12)))))
+    best = best_windows(rows, items)
+    want = {k for k, v in best.items() if v >= 0.8}
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"),
+                                spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert len(want) > 20 and found <= want
+    assert len(found) >= 0.95 * len(want)  # the others lie beyond the radius
+    assert all(abs(r["similarity"] - best[r["doc_id"], r["item_id"]]) < 1e-6 for r in got)
+
+
+def test_windows_by_weight_are_those_of_the_bound(spark):
+    rnd = random.Random(3)
+    most, sizes = 3.0, [7, 9, 15]
+    rows = []
+    for d in range(30):
+        n = rnd.randint(5, 40)
+        for place in range(n - 4):
+            if rnd.random() < 0.8:
+                rows.append((d, d, n, place, place, rnd.choice([1.0, 1.5, 3.0]), rnd.sample(sizes, rnd.randint(1, 3))))
+    schema = "_id long, _key long, n int, place int, run long, w double, ms array<int>"
+    got = {tuple(r) for r in decontamination._promising(spark.createDataFrame(rows, schema), most, 0.8).collect()}
+    want, must = set(), set()
+    for d in {r[0] for r in rows}:
+        mine = {r[3]: r for r in rows if r[0] == d}
+        n = next(iter(mine.values()))[2]
+        for m in {x for r in mine.values() for x in r[6]}:
+            for s in {*mine, max(n - m, 0)}:
+                if s > max(n - m, 0):
+                    continue
+                places = range(s, s + max(min(n, m) - 4, 1))
+                known = sum(mine[p][5] for p in places if p in mine and m in mine[p][6])
+                whole = sum(mine[p][5] if p in mine else most for p in places)
+                if known >= 0.8 * whole - 1e-5:
+                    want.add((d, d, m, s))
+                if known >= 0.8 * whole:
+                    must.add((d, d, m, s))
+    assert must <= got <= want and must
+
+
+def test_fingerprints_of_long_rows_use_wider_counters(spark):
+    rnd = random.Random(2)
+    rows = [(i, [f"w{rnd.randrange(50)}" for _ in range(n)]) for i, n in enumerate((1, 7, 300))] + [(3, ["a"] * 40_000 + ["b"] * 30_000)]
+    df = spark.createDataFrame(rows, "i int, words array<string>")
+    wide = {r["i"]: r["mark"] for r in decontamination.fingerprint(df, ["i"], longest=70_000).collect()}
+    narrow = {r["i"]: r["mark"] for r in decontamination.fingerprint(df.filter("i < 3"), ["i"]).collect()}
+    assert {i: wide[i] for i in narrow} == narrow
+    assert wide[3] == spark.range(1).selectExpr("xxhash64('a') AS h").first()["h"]
+
+
 def test_radius_is_guaranteed_by_the_parts():
     ball = set(decontamination._ball())
     rnd = random.Random(1)

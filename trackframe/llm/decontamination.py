@@ -5,8 +5,9 @@ multi-index: both are cut into BLOCKS parts, and an item is filed under every va
 its parts, so any two fingerprints within RADIUS = BLOCKS * (BALL + 1) - 1 bits meet in at least one part. Pairs
 within the radius are verified by the weighted similarity of their multisets of 5-word runs.
 
-Only windows that could pass are fingerprinted: at least 0.8 of a window's runs must occur in items of its size,
-and a window may start with such a run, for moving it to its first one never lowers the similarity.
+Only windows that could pass are fingerprinted: runs of items of the window's size must hold at least 0.8 of the
+window's weight, as no more can be shared. A window may start with a run of some item, for moving it past a run
+of none never lowers the similarity: such a run has the greatest weight.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ SIMILAR = 0.8
 BLOCKS, BITS, BALL = 4, 16, 3
 RADIUS = BLOCKS * (BALL + 1) - 1
 BROADCAST_ROWS = 2_000_000    # of (run, size), 24 bytes each
-BROADCAST_IDS = 500_000
-FIELDS = 0x0001000100010001   # four counters of 16 bits in a long
+BROADCAST_SPANS = 1_000_000  # of (size, start), 16 bytes each
+COUNTED = 32_767              # words that counters of 16 bits in a signed long can take
+SCALE = 1_000_000             # of weights in whole numbers
 
 
 def words_of(text: Column) -> Column:
@@ -44,16 +46,20 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                        words_of(text_of(text)).alias("words"))
 
 
-def fingerprint(rows: DataFrame, by: list[str], words: str = "words") -> DataFrame:
-    """by and the 64-bit SimHash of the words. Four bits are counted in one long: up to 32 767 words a row."""
+def fingerprint(rows: DataFrame, by: list[str], words: str = "words", longest: int = COUNTED) -> DataFrame:
+    """by and the 64-bit SimHash of the words. A long counts several bits: four, or two where `longest`, the most
+    words of a row, asks for counters of 32 bits."""
+    width = 16 if longest <= COUNTED else 32
+    per = 64 // width
+    ones_of = F.lit(sum(1 << width * part for part in range(per)))
     each = rows.select(*by, F.explode(words).alias("word")).withColumn("h", F.xxhash64("word"))
     counted = each.groupBy(*by).agg(F.count("*").alias("_n"), *[
-        F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(FIELDS))).alias(f"_c{j}") for j in range(16)])
+        F.sum(F.shiftrightunsigned("h", j).bitwiseAND(ones_of)).alias(f"_c{j}") for j in range(width)])
     value = F.lit(0).cast("long")
-    for j in range(16):
-        for part in range(4):
-            ones = F.shiftrightunsigned(f"_c{j}", 16 * part).bitwiseAND(F.lit(0xFFFF).cast("long"))
-            value = value.bitwiseOR(F.when(2 * ones > F.col("_n"), F.shiftleft(F.lit(1).cast("long"), j + 16 * part))
+    for j in range(width):
+        for part in range(per):
+            ones = F.shiftrightunsigned(f"_c{j}", width * part).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            value = value.bitwiseOR(F.when(2 * ones > F.col("_n"), F.shiftleft(F.lit(1).cast("long"), j + width * part))
                                     .otherwise(F.lit(0).cast("long")))
     return counted.select(*by, value.alias("mark"))
 
@@ -74,6 +80,42 @@ def _bag(rows: DataFrame, by: list[str]) -> DataFrame:
     return runs.groupBy(*by, "run").agg(F.count("*").alias("c"))
 
 
+def _promising(hits: DataFrame, most: float, similar: float) -> DataFrame:
+    """_id, _key, m, start of the windows of m words in which runs of items of m words weigh enough.
+
+    hits: _id, _key, n (words of the row), place, run, w (its weight) and ms (sizes of the items that hold it), for
+    every run of an item. A window with r runs needs known >= similar * (known + other). With all other runs at
+    the greatest weight, this is: the sum over its hits of (w where known) + similar * (most - w), which is never
+    negative, is at least similar * most * r. The sums are differences of running sums, so work is linear.
+    """
+    row = ["_id", "_key"]
+    per_row = hits.select(*row, F.explode("ms").alias("m")).groupBy(*row).agg(F.collect_set("m").alias("all_ms"))
+    each = hits.join(per_row, row).select(*row, "n", "place", "w", "ms", F.explode("all_ms").alias("m"))
+    known = F.when(F.array_contains("ms", F.col("m")), F.col("w")).otherwise(0.0)
+    gain = F.ceil((known + similar * (most - F.col("w"))) * SCALE).cast("long")
+    each = each.select(*row, "n", "m", F.col("place").cast("long").alias("place"), gain.alias("gain"))
+    r = F.greatest(F.least("n", "m") - K + 1, F.lit(1)).cast("long")
+    last = F.greatest(F.col("n") - F.col("m"), F.lit(0)).cast("long")
+
+    def event(at, after, value, start, sign):
+        return F.struct(at.cast("long").alias("at"), F.lit(after).alias("after"), value.cast("long").alias("gain"),
+                        start.cast("long").alias("start"), F.lit(sign).alias("sign"))
+
+    def ends_of(start):
+        return [event(start, 0, F.lit(0), start, -1), event(start + r, 0, F.lit(0), start, 1)]
+
+    place = F.col("place")
+    counted = event(place, 1, F.col("gain"), F.lit(None), 0)
+    events = each.select(*row, "n", "m", F.explode(F.when(place < last, F.array(counted, *ends_of(place)))
+                                                   .otherwise(F.array(counted))).alias("e")).unionByName(
+        each.select(*row, "n", "m").distinct().select(*row, "n", "m", F.explode(F.array(*ends_of(last))).alias("e")))
+    upto = Window.partitionBy(*row, "n", "m").orderBy("e.at", "e.after").rowsBetween(Window.unboundedPreceding, 0)
+    sums = (events.withColumn("upto", F.sum("e.gain").over(upto)).filter("e.start is not null")
+            .groupBy(*row, "n", "m", F.col("e.start").alias("start")).agg(F.sum(F.col("e.sign") * F.col("upto")).alias("got")))
+    need = F.floor(similar * most * r * SCALE * (1 - 1e-9)).cast("long")
+    return sums.filter(F.col("got") >= need).select(*row, "m", F.col("start").cast("int").alias("start"))
+
+
 def _leaks(docs: DataFrame, benchmark: DataFrame, similar: float, id_column: str, text: str, item_column: str) -> DataFrame:
     """The rows of `leaks`, with the _id and _key of theirs."""
     items = benchmark.select(F.col(item_column).alias("item_id"), words_of(text_of()).alias("words")).filter(F.size("words") > 0)
@@ -86,29 +128,22 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, similar: float, id_column: str
     sizes = sorted(r["m"] for r in items.select("m").distinct().collect())  # at most the words of the longest item
     source = _keyed(docs, id_column, text)
 
-    # runs of documents that occur in items of a size
-    known = bag.select("run", "m").distinct()
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    runs = source.select("_id", "_key", F.size("words").alias("n"), F.posexplode(runs_of(F.col("words"), K)).alias("place", "run"))
-    hits = runs.join(known, "run").select("_id", "_key", "n", "m", "place")
+    # runs of documents that occur in items
+    known = bag.groupBy("run").agg(F.collect_set("m").alias("ms")).join(weights, "run")
+    few_runs = bag.select("run", "m").distinct().count() <= BROADCAST_ROWS
+
+    def hits_of(k, wanted):
+        runs = source.select("_id", "_key", F.size("words").alias("n"), F.posexplode(runs_of(F.col("words"), k)).alias("place", "run"))
+        return runs.join(F.broadcast(wanted) if few_runs else wanted, "run")
+
+    spans = _promising(hits_of(K, known), most, similar)
     for k in sorted(m for m in sizes if m < K):  # items of fewer words are one run of their own length
-        own = source.select("_id", "_key", F.size("words").alias("n"), F.posexplode(runs_of(F.col("words"), k)).alias("place", "run"))
-        hits = hits.unionByName(own.join(known.filter(F.col("m") == k), "run").select("_id", "_key", "n", "m", "place"))
-    placed = hits.distinct().groupBy("_id", "_key", "n", "m").agg(F.sort_array(F.collect_list("place")).alias("p"))
-    r = F.greatest(F.col("m") - K + 1, F.lit(1))
-    need = F.ceil(similar * r - 1e-9).cast("int")
-    count = F.size("p")
-    starts = F.filter(F.transform(
-        F.when(count >= need, F.sequence(F.lit(1), count - need + 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.when((F.element_at("p", i + need - 1) - F.element_at("p", i) < r) & (F.element_at("p", i) + F.col("m") <= F.col("n")),
-                         F.element_at("p", i))), lambda x: x.isNotNull())
-    final = F.when((count >= need) & (F.try_element_at("p", -need) >= F.col("n") - F.col("m")),
-                   F.array(F.greatest(F.col("n") - F.col("m"), F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    spans = cut_lineage(placed.select("_id", "_key", "m", F.explode(F.array_union(starts, final)).alias("start")))
+        of_size = bag.filter(F.col("m") == k).select("run", "m").distinct()
+        spans = spans.unionByName(hits_of(k, of_size).select("_id", "_key", "m", F.col("place").alias("start")))
+    spans = cut_lineage(spans)
 
     # words of the windows
-    wanted = spans.select("_id", "_key").distinct()
-    few = wanted.count() <= BROADCAST_IDS
+    few = spans.count() <= BROADCAST_SPANS
     lists = spans.groupBy("_id", "_key").agg(F.collect_list(F.struct("m", "start")).alias("spans"))
     held = source.join(F.broadcast(lists) if few else lists, ["_id", "_key"])
     windows = cut_lineage(held.select("_id", "_key", "doc_id", "words", F.explode("spans").alias("s")).select(
@@ -117,8 +152,9 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, similar: float, id_column: str
 
     # fingerprints that lie within the radius
     by = ["_id", "_key", "m", "start"]
-    marks = cut_lineage(fingerprint(windows, by))
-    item_marks = cut_lineage(fingerprint(items, ["item", "m"]))
+    longest = max(sizes, default=0)
+    marks = cut_lineage(fingerprint(windows, by, longest=longest))
+    item_marks = cut_lineage(fingerprint(items, ["item", "m"], longest=longest))
     filed = item_marks.select("item", "m", F.col("mark").alias("item_mark"), F.posexplode(F.array(*_parts(F.col("mark")))).alias("part", "v"))
     filed = filed.select("item", "m", "item_mark", "part", F.explode(F.transform(
         F.lit(_ball()), lambda x: x.cast("long").bitwiseXOR(F.col("v")))).alias("value"))
@@ -152,7 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, id_co
     A run's weight is 1 + ln(items / items that hold it), most for runs of no item. Similarity is the weight
     shared by both multisets over the weight of either. Documents shorter than an item are compared whole.
     Null or empty texts and items without words give nothing; rows that repeat id and text count once, a null id
-    is reported as null. Items of more than 32 767 words are not supported.
+    is reported as null.
     """
     return _leaks(docs, benchmark, similar, id_column, text, item_column).drop("_id", "_key")
 
