@@ -43,7 +43,7 @@ def _row_key(id_column: str, text: str) -> tuple[Column, Column]:
 def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     own_id, own_key = _row_key(id_column, text)
     return docs.select(own_id.alias("_id"), own_key.alias("_key"), F.col(id_column).cast("long").alias("doc_id"),
-                       words_of(text_of(text)).alias("words"))
+                       text_of(text).alias("text"))
 
 
 def fingerprint(rows: DataFrame, by: list[str], words: str = "words", longest: int = COUNTED) -> DataFrame:
@@ -133,10 +133,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, similar: float, id_column: str
     few_runs = bag.select("run", "m").distinct().count() <= BROADCAST_ROWS
 
     def hits_of(k, wanted):
-        runs = source.select("_id", "_key", F.size("words").alias("n"), F.posexplode(runs_of(F.col("words"), k)).alias("place", "run"))
+        runs = source.withColumn("words", words_of(F.col("text"))).select("_id", "_key", F.size("words").alias("n"),
+                                                                          F.posexplode(runs_of(F.col("words"), k)).alias("place", "run"))
         return runs.join(F.broadcast(wanted) if few_runs else wanted, "run")
 
-    spans = _promising(hits_of(K, known), most, similar)
+    spans = _promising(cut_lineage(hits_of(K, known)), most, similar)
     for k in sorted(m for m in sizes if m < K):  # items of fewer words are one run of their own length
         of_size = bag.filter(F.col("m") == k).select("run", "m").distinct()
         spans = spans.unionByName(hits_of(k, of_size).select("_id", "_key", "m", F.col("place").alias("start")))
@@ -145,7 +146,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, similar: float, id_column: str
     # words of the windows
     few = spans.count() <= BROADCAST_SPANS
     lists = spans.groupBy("_id", "_key").agg(F.collect_list(F.struct("m", "start")).alias("spans"))
-    held = source.join(F.broadcast(lists) if few else lists, ["_id", "_key"])
+    held = source.join(F.broadcast(lists) if few else lists, ["_id", "_key"]).withColumn("words", words_of(F.col("text")))
     windows = cut_lineage(held.select("_id", "_key", "doc_id", "words", F.explode("spans").alias("s")).select(
         "_id", "_key", "doc_id", "s.m", "s.start", F.slice("words", F.col("s.start") + 1, F.col("s.m")).alias("words"))
         .dropDuplicates(["_id", "_key", "m", "start"]))
