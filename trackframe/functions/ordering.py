@@ -147,29 +147,49 @@ def ranks_in_small_groups(group, value: str) -> Column:
 
 
 def exact_percentile(df: DataFrame, group, value: str, share: float, buckets: int = 4096,
-                     out: str = "percentile") -> DataFrame:
+                     out: str = "percentile", most: int = 1_000_000) -> DataFrame:
     """Exact interpolated percentile per group for groups of any size.
 
     Equal values are combined, counts per value range find the range that holds the wanted
-    rank, and only that range is put in order. No group is held in one aggregation buffer.
+    rank, and only that range is put in order. While a range holds more than `most` distinct
+    values, as when an outlier makes ranges wide, it is divided again between its own least and
+    greatest value. No group is held in one aggregation buffer.
     """
     group = list(group)
     keyed = df.filter(F.col(value).isNotNull()).select(*group, F.lit(1).alias("_all"), F.col(value).alias("_v"))
     key = [*group, "_all"]
     tallies = cut_lineage(keyed.groupBy(*key, "_v").agg(F.count("*").alias("_n")))
-    ends = tallies.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))
+    rows = tallies.withColumn("_r", F.lit(0))
+    ranges = rows.groupBy(*key, "_r").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"),
+                                          F.lit(0).cast("long").alias("_base"))
+    width = F.col("_hi") / 2 - F.col("_lo") / 2  # halves do not overflow
+    bucket = F.when(width > 0, F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * buckets), F.lit(buckets - 1))
                     ).otherwise(F.lit(0))
-    placed = tallies.join(ends, key).withColumn("_b", bucket)
-    sizes = placed.groupBy(*key, "_b").agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_total"))
-    before = F.sum("_bn").over(Window.partitionBy(*key).orderBy("_b")) - F.col("_bn")
     spot = share * (F.col("_total") - 1)
     low, high = F.floor(spot), F.ceil(spot)
-    wanted = sizes.withColumn("_before", before).filter(
-        (F.col("_before") <= high) & (low < F.col("_before") + F.col("_bn"))).select(*key, "_b", "_before")
-    inside = Window.partitionBy(*key, "_b").orderBy("_v")
-    rows = placed.join(wanted, [*key, "_b"]).withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+    before = F.col("_base") + F.sum("_bn").over(Window.partitionBy(*key, "_r").orderBy("_b")) - F.col("_bn")
+    largest = None
+    while True:
+        placed = rows.join(ranges, [*key, "_r"]).withColumn("_b", bucket)
+        sizes = placed.groupBy(*key, "_r", "_b").agg(
+            F.sum("_n").alias("_bn"), F.count("*").alias("_values"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            F.first("_total").alias("_total"), F.first("_base").alias("_base"))
+        wanted = cut_lineage(sizes.withColumn("_before", before).filter(
+            (F.col("_before") <= high) & (low < F.col("_before") + F.col("_bn"))).drop("_base", "_bn"))
+        rows = placed.select(*key, "_r", "_b", "_v", "_n").join(wanted, [*key, "_r", "_b"])
+        size = wanted.agg(F.max("_values")).first()[0] or 0
+        if size <= most or size == largest:
+            break
+        largest = size
+        # at most two ranges of a group hold the ranks on either side of the spot
+        number = F.row_number().over(Window.partitionBy(*key).orderBy("_before"))
+        ranges = wanted.select(*key, F.col("_r").alias("_of"), "_b", "_lo", "_hi", "_total", F.col("_before").alias("_base"),
+                               number.alias("_r"))
+        rows = cut_lineage(rows.select(*key, F.col("_r").alias("_of"), "_b", "_v", "_n").join(
+            ranges.select(*key, "_of", "_b", "_r"), [*key, "_of", "_b"]).select(*key, "_r", "_v", "_n"))
+        ranges = ranges.drop("_of", "_b")
+    inside = Window.partitionBy(*key, "_r", "_b").orderBy("_v")
+    rows = rows.withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
     start = F.col("_end") - F.col("_n")
 
     def at(rank):
