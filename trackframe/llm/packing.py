@@ -22,6 +22,8 @@ from trackframe.session import cut_lineage
 
 CACHED = 800_000
 LONGEST_KEY = 64
+TOGETHER = 2_048
+GROUP_BYTES = 1 << 20
 _workers: dict = {}
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -53,8 +55,40 @@ class WordIds(dict):
             self[word] = ids
         return ids
 
-    def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
+    def learn(self, words: set[bytes]) -> None:
+        """Encode the unseen words among these together. Ids are told apart by where their text starts."""
+        if len(self) + len(words) > self.limit:
+            self.clear()
+        unseen = {w[:-1] if w[-1:] in b".," and w[-2:-1].isalnum() else w for w in words if w not in self}
+        unseen = {w.lower() if w[:1].isupper() and w.isalpha() and w.isascii() else w for w in unseen}
+        fresh = [w for w in unseen if w not in self and len(w) <= LONGEST_KEY]
+        for at in range(0, len(fresh), TOGETHER):
+            keys = fresh[at:at + TOGETHER]
+            texts = [w.decode() for w in keys]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            cuts = (4 * np.searchsorted(starts, ends)).tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            for key, a, b in zip(keys, [0, *cuts], cuts):
+                self[key] = ids[a:b]
+
+    def of(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.__getitem__, words))
+
+
+def groups_of(rows) -> Iterator[list[tuple]]:
+    """Rows of (id, text) as lists of (id, words), each list of about GROUP_BYTES or one text."""
+    group, size = [], 0
+    for doc, text in rows:
+        raw = text.as_py().encode()
+        if group and size + len(raw) > GROUP_BYTES:
+            yield group
+            group, size = [], 0
+        group.append((doc, raw.split()))
+        size += len(raw)
+    if group:
+        yield group
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_column: str = "doc_id",
@@ -67,13 +101,15 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
         words, end, step = _workers["words"], np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.of(value.as_py()) + end
-                view = memoryview(ids)
-                for at in range(0, len(ids), step):
-                    part = view[at:at + step]
-                    for column, v in zip(out, (doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4)):
-                        column.append(v)
+            for group in groups_of(zip(batch.column(0).to_pylist(), batch.column(1))):
+                words.learn({w for _, text in group for w in text})
+                for doc, text in group:
+                    ids = words.of(text) + end
+                    view = memoryview(ids)
+                    for at in range(0, len(ids), step):
+                        part = view[at:at + step]
+                        for column, v in zip(out, (doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4)):
+                            column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
