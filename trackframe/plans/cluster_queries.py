@@ -459,7 +459,21 @@ def predictor_correlations(spark, sf_dir):
     return rounded(st.predictor_correlations(regression_rows(spark, sf_dir)))
 
 
-@query("variance_inflation")
+def sweeps(start: str, names, last: str) -> str:
+    """Common table expressions that sweep every name but `last` out of the correlations c_i_j of table `start`;
+    what stays of `last` is the part that the others do not explain."""
+    steps, before = [], start
+    for k in [n for n in names if n != last]:
+        terms = ", ".join(f"c_{i}_{j} - c_{i}_{k} * c_{k}_{j} / c_{k}_{k} as c_{i}_{j}" for i in names for j in names)
+        steps.append(f"{last}_without_{k} as (select {terms} from {before})")
+        before = f"{last}_without_{k}"
+    return ",\n".join([*steps, f"{last}_vif as (select '{last}' as predictor, 1 / c_{last}_{last} as v from {before})"])
+
+
+@query("variance_inflation", fx.with_ctes(fx.TRACKS, fx.CLIPS, RATES, REG) + ", c as (select " + ", ".join(
+    f"corr({x}, {y}) as c_{x}_{y}" for x in st.PREDICTORS for y in st.PREDICTORS) + " from reg),\n" + ",\n".join(
+    sweeps("c", st.PREDICTORS, p) for p in st.PREDICTORS) + " union all ".join(
+    f"\nselect predictor, round(v + 1e-9, 6) + 0.0 as vif from {p}_vif" for p in st.PREDICTORS))
 def variance_inflation(spark, sf_dir):
     return rounded(st.variance_inflation(regression_rows(spark, sf_dir)))
 

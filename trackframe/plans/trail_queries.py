@@ -113,7 +113,17 @@ def trail_best_lags(spark, sf_dir):
     return rounded(st.best_lags(lagged(spark, sf_dir), ["site_id", "trail_id"]))
 
 
-@query("trail_lag_summary")
+# Student's t for whole degrees of freedom is a finite sum, as in statistics.student_p_value
+@query("trail_lag_summary", TT + LAGS + """
+, s as (select trail_id, coalesce(best.lag, 0) as lag, best.r, n - 2 as dof, abs(t_stat) / sqrt(n - 2 + t_stat * t_stat) as sine,
+               (n - 2) / (n - 2 + t_stat * t_stat) as c2, atan(abs(t_stat) / sqrt(n - 2)) as angle
+        from (select distinct site_id, trail_id from rs) left join best using (site_id, trail_id)),
+p as (select *, 1 - case when dof % 2 = 0 then sine * list_sum(list_transform(range(0, dof // 2),
+                         lambda k: c2 ** k * exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1))))
+                    else 2 / pi() * (angle + sine * coalesce(list_sum(list_transform(range(0, dof // 2),
+                         lambda k: c2 ** (k + 0.5) * exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)))), 0)) end as p_value from s)
+select round(avg(r) + 1e-9, 6) + 0.0 as mean_best_r, round(avg(lag) + 1e-9, 6) + 0.0 as mean_best_lag,
+       count(*) filter (p_value < 0.05) as n_significant, count(*) as n_trails from p""")
 def trail_lag_summary(spark, sf_dir):
     return rounded(st.lag_summary(st.best_lags(lagged(spark, sf_dir), ["site_id", "trail_id"])))
 
@@ -223,22 +233,61 @@ def unique_branches(spark, sf_dir):
     return br.unique_branches(c, junctions(spark, c))
 
 
+# of the shortest ways to an endpoint the one from the first junction, then the one with the least cells
+FOUND = """,
+walk as (select site_id, (s.y * 96 + s.x)::int as node, 1 as length from junctions
+         union
+         select w.site_id, e.other, w.length + 1 from walk w join edges e on e.site_id = w.site_id and e.node = w.node
+         where w.length < 150),
+near as materialized (select site_id, node, min(length) as length from walk group by all),
+way as (select site_id, (s.y * 96 + s.x)::int as node, 1 as length, min({'r': "rank", 'p': [(s.y * 96 + s.x)::int]}) as m
+        from junctions group by all
+        union all
+        select w.site_id, e.other, w.length + 1, min({'r': w.m.r, 'p': list_append(w.m.p, e.other)})
+        from way w join edges e on e.site_id = w.site_id and e.node = w.node
+        join near n on n.site_id = w.site_id and n.node = e.other and n.length = w.length + 1
+        group by w.site_id, e.other, w.length + 1),
+found as (select site_id, (row_number() over (partition by site_id order by node) - 1)::int as trail_id, m.p as path
+          from way join (select site_id, node from degrees where is_endpoint) using (site_id, node) where length > 2),
+points as (select site_id, trail_id, unnest(range(len(path))) as seq, unnest(path) as n from found),
+cut as (select site_id, trail_id, seq, (n % 96)::int as x_bin, (n // 96)::int as y_bin, n from points)
+"""
+
+
 def found_trails(spark, sf_dir):
     c = busy_cells(spark, sf_dir)
     return cut_lineage(tr.trail_points(tr.shortest_trails(c, junctions(spark, c), min_length=2)))
 
 
-@query("trails_without_contained")
+@query("trails_without_contained", JX.rstrip() + FOUND.rstrip() + """,
+sizes as (select site_id, trail_id, count(*) as n_points from cut group by all),
+over as (select a.site_id, a.trail_id as a, b.trail_id as b from cut a join cut b
+         on a.site_id = b.site_id and a.trail_id <> b.trail_id and (a.x_bin - b.x_bin) ** 2 + (a.y_bin - b.y_bin) ** 2 < 4
+         join sizes z on z.site_id = a.site_id and z.trail_id = a.trail_id
+         group by all having count(distinct a.seq) / max(z.n_points) >= 0.8),
+covers as (select s.site_id, s.trail_id, n_points, coalesce(list(b) filter (b is not null), []) as covers
+           from sizes s left join over o on o.site_id = s.site_id and o.a = s.trail_id group by all),
+turns as (select *, row_number() over (partition by site_id order by n_points desc, trail_id) as turn from covers),
+fold as (select distinct site_id, 0::bigint as turn, []::int[] as kept from turns
+         union all
+         select f.site_id, t.turn, case when list_has_any(f.kept, t.covers) then f.kept else list_append(f.kept, t.trail_id) end
+         from fold f join turns t on t.site_id = f.site_id and t.turn = f.turn + 1)
+select site_id, unnest(kept) as trail_id from (select site_id, max_by(kept, turn) as kept from fold group by all)""")
 def trails_without_contained(spark, sf_dir):
     return tr.without_contained(found_trails(spark, sf_dir), tolerance=2.0)
 
 
-@query("widened_trail_labels")
+@query("widened_trail_labels", JX.rstrip() + FOUND + """
+select site_id, (x_bin + i)::int as x_bin, (y_bin + j)::int as y_bin, max(trail_id) as trail_id
+from cut, range(-1, 2) a(i), range(-1, 2) b(j)
+where abs(i) + abs(j) <= 1 and x_bin + i between 0 and 95 and y_bin + j between 0 and 53 group by all""")
 def widened_trail_labels(spark, sf_dir):
     return tr.cell_labels(tr.widened(found_trails(spark, sf_dir)))
 
 
-@query("merged_trail_edges")
+@query("merged_trail_edges", JX.rstrip() + FOUND + """
+select distinct site_id, least(n, o)::int as a, greatest(n, o)::int as b
+from (select site_id, n, lead(n) over (partition by site_id, trail_id order by seq) as o from cut) where o is not null""")
 def merged_trail_edges(spark, sf_dir):
     return tr.merged_edges(found_trails(spark, sf_dir))
 
