@@ -234,6 +234,28 @@ def principal_components(rows: DataFrame, k: int) -> tuple[DataFrame, list[float
     return model.transform(centred).drop("centred"), [float(v) for v in model.explainedVariance]
 
 
+def component_checks(rows: DataFrame, k: int) -> DataFrame:
+    """What must hold for principal components `pca` of vectors `features`: per component the number of rows, its
+    variance, the length of its direction and the largest product of its direction with another's.
+
+    A direction is read off the scores, as covariance of features and score over the variance of the score. For a
+    unit vector v that gives A v / (v'A v), which has length 1 only where v is an eigenvector of the covariance A.
+    """
+    v = rows.select(vector_to_array("features").alias("v"), vector_to_array("pca").alias("p"))
+    long = v.select("p", F.posexplode("v").alias("dim", "x"))
+    score = [F.col("p")[i] for i in range(k)]
+    one = long.groupBy("dim").agg(F.count("*").alias("n"), F.array(*[F.covar_samp("x", c) for c in score]).alias("c"),
+                                  F.array(*[F.var_samp(c) for c in score]).alias("e"))
+    w = [F.col("c")[i] / F.col("e")[i] for i in range(k)]
+    products = F.array(*[F.array(*[F.sum(a * b) for b in w]) for a in w])
+    grams = one.agg(F.max("n").alias("n"), F.first("e").alias("e"), products.alias("g"))
+    i = F.col("i")
+    others = F.transform("row", lambda x, j: F.when(j == i, 0.0).otherwise(F.abs(x)))
+    return grams.select("n", "e", F.posexplode("g").alias("i", "row")).select(
+        (i + 1).alias("component"), "n", F.get("e", i).alias("variance"), F.sqrt(F.get("row", i)).alias("length"),
+        F.array_max(others).alias("largest_product"))
+
+
 def leading_components(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     """The same for long vectors: singular vectors of the centred rows by products with them, so that no matrix of
     features x features is made. What the driver holds is k vectors. Fewer than k where the rows span fewer."""

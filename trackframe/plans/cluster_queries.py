@@ -8,7 +8,7 @@ from trackframe.operators import statistics as st, trajectories as tj
 from trackframe.plans import fixtures as fx
 from trackframe.plans.activity_queries import RATES, r
 from trackframe.session import cut_lineage
-from trackframe.plans.registry import query, r6, rounded
+from trackframe.plans.registry import ORACLES, query, r6, rounded
 from trackframe.plans.space_queries import speeds
 from trackframe.plans.track_queries import FEATURES, PROXIMITY, SCORES, STEPS, scores
 
@@ -249,14 +249,29 @@ def flux_map_clusters(spark, sf_dir):
     return rows.groupBy("cluster_label", "hour").agg(F.count("*").alias("n"))
 
 
-@query("extended_feature_components")
-def extended_feature_components(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
+def feature_components(spark, sf_dir):
     f = tj.extended_features(fx.tracks(spark, sf_dir))
     cols = [c for c, t in f.dtypes if t in ("double", "bigint") and c not in ("video_id", "ant_id")]
     rows, _ = cl.principal_components(cl.assembled(f, cols), 2)
+    return rows
+
+
+@query("extended_feature_components")
+def extended_feature_components(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
     v = vector_to_array("pca")
-    return rounded(rows.select("video_id", "ant_id", F.get(v, F.lit(0)).alias("pc1"), F.get(v, F.lit(1)).alias("pc2")))
+    return rounded(feature_components(spark, sf_dir).select(
+        "video_id", "ant_id", F.get(v, F.lit(0)).alias("pc1"), F.get(v, F.lit(1)).alias("pc2")))
+
+
+@query("extended_component_checks", f"""
+with f as ({ORACLES['extended_features']}), whole as (select * from f where columns(*) is not null)
+select component, (select count(*) from whole) as n, 1.0::double as length, 0.0::double as largest_product
+from (values (1), (2)) c(component)""")
+def extended_component_checks(spark, sf_dir):
+    """Directions of the components are eigenvectors of the covariance and at right angles."""
+    c = cl.component_checks(cut_lineage(feature_components(spark, sf_dir).select("features", "pca")), 2)
+    return rounded(c.select("component", "n", "length", "largest_product"))
 
 
 # ---- density clusters ----------------------------------------------------------------------
