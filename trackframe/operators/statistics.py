@@ -284,3 +284,12 @@ def fitted_values(table: DataFrame, model: dict, predictors=PREDICTORS, group: s
                                    / (1 + F.count("*") * ratio)).alias("effect"))
     return t.join(effect, group).withColumn("fitted", F.col("fixed") + F.col("effect")).withColumn(
         "residual", F.col("y") - F.col("fitted")).drop("fixed", "effect")
+
+
+def intercept_model_gradients(fitted: DataFrame, predictors=PREDICTORS) -> DataFrame:
+    """Gradient of the likelihood for each coefficient at a fit of fitted_values, per row: residuals with the group
+    effects taken out are the inverse covariance times those without, so their products with a predictor sum to 0."""
+    terms = [F.struct(F.lit(name).alias("predictor"), F.avg(x * F.col("residual")).alias("gradient"))
+             for name, x in (("intercept", F.lit(1.0)), *((p, F.col(p)) for p in predictors))]
+    one = fitted.agg(F.count("*").alias("n"), F.array(*terms).alias("t"))
+    return one.select("n", F.explode("t").alias("t")).select("t.predictor", "n", "t.gradient")

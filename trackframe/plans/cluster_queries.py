@@ -499,3 +499,13 @@ def random_intercept_fit(spark, sf_dir):
     model = st.random_intercept_model(table)
     f = st.fitted_values(table, model)
     return rounded(f.select("site_id", "day", "hour", "y", "fitted", "residual"))
+
+
+@query("random_intercept_gradients", fx.with_ctes(fx.TRACKS, fx.CLIPS, RATES, REG) + f"""
+select predictor, (select count(*) from reg) as n, 0.0::double as gradient
+from (values {", ".join(f"('{p}')" for p in ("intercept", *st.PREDICTORS))}) p(predictor)""")
+def random_intercept_gradients(spark, sf_dir):
+    """At the fitted coefficients the gradient of the likelihood is 0."""
+    table = cut_lineage(st.standardised(regression_rows(spark, sf_dir), st.PREDICTORS, ddof_sample=False))
+    fitted = st.fitted_values(table, st.random_intercept_model(table))
+    return rounded(st.intercept_model_gradients(fitted))
