@@ -113,3 +113,23 @@ def test_boxes_without_area_and_no_boxes(spark):
     flat = spark.createDataFrame([(1, f, 0, 5.0, 5.0, 5.0, 5.0) for f in range(3)], schema)
     assert {r["first_frame"] for r in tg.tracked(flat).collect()} == {0, 1, 2}
     assert tg.tracked(flat.filter(F.lit(False))).count() == 0
+
+
+def test_few_rows_are_assigned_like_many(monkeypatch):
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        gain = rng.integers(0, 5, rng.integers(1, 8, 2)) / 4  # with ties
+        few = tg.best_assignment(gain)
+        monkeypatch.setattr(tg, "FEW", 0)
+        assert few == tg.best_assignment(gain)
+        monkeypatch.undo()
+
+
+def test_edges_by_connected_group():
+    groups = tg._groups([0, 1, 2, 2, 4, 3], [0, 1, 0, 1, 5, 7])
+    assert sorted(sorted(g) for g in groups) == [[0, 1, 2, 3], [4], [5]]
+
+
+def test_longest_videos_do_not_share_a_task(spark):
+    rows = spark.createDataFrame([(v, f) for v, n in enumerate([2, 9, 1, 8, 7]) for f in range(n)], "video int, f int")
+    assert sorted(map(tuple, tg._places(rows, 3).collect())) == [(1, 0), (3, 1), (4, 2)]

@@ -12,6 +12,7 @@ more than the open tracks and one frame, and reads at most a block of a video.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ from trackframe.session import checkpoint_dir, cut_lineage
 
 BOX = ("x1", "y1", "x2", "y2")
 FRAMES = 8192       # frames of a block
+FEW = 1024          # entries of a group's table that are walked as plain numbers
 # Variances of the filter, for centre x, centre y, area, aspect: first position and velocity, their growth in a
 # frame, and the measurement's (fixed values)
 FIRST, FIRST_VELOCITY = 10.0, 10_000.0
@@ -42,8 +44,8 @@ def corners(position: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         w = np.sqrt(position[:, 2] * position[:, 3])
         h = position[:, 2] / w
-    x, y = position[:, 0], position[:, 1]
-    return np.column_stack([x - w / 2, y - h / 2, x + w / 2, y + h / 2])
+    half = np.column_stack([w / 2, h / 2])
+    return np.concatenate([position[:, :2] - half, position[:, :2] + half], axis=1)
 
 
 def overlaps(a: np.ndarray, b: np.ndarray, rows: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,6 +71,8 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     """
     if gain.shape[0] > gain.shape[1]:
         return sorted((r, c) for c, r in best_assignment(gain.T))
+    if gain.size <= FEW:
+        return _best_of_few((-gain).tolist())
     cost = -gain
     n, m = cost.shape
     row_price, column_price = np.zeros(n), np.zeros(m)
@@ -98,6 +102,57 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(holder) if r >= 0)
 
 
+def _best_of_few(cost: list[list[float]]) -> list[tuple[int, int]]:
+    """The same steps on plain numbers: most groups have a few rows, and array calls would take longer than the work."""
+    n, m = len(cost), len(cost[0])
+    row_price, column_price, holder = [0.0] * n, [0.0] * m, [-1] * m
+    for new in range(n):
+        least, via, free, seen = [math.inf] * m, [-1] * m, list(range(m)), []
+        row, column, so_far = new, -1, 0.0
+        while True:
+            costs, price, low, nearest = cost[row], row_price[row], math.inf, -1
+            for c in free:
+                reached = costs[c] - price - column_price[c] + so_far
+                if reached < least[c]:
+                    least[c], via[c] = reached, column
+                if least[c] < low:
+                    low, nearest = least[c], c
+            column, so_far = nearest, low
+            if holder[column] < 0:
+                break
+            free.remove(column)
+            seen.append(column)
+            row = holder[column]
+        row_price[new] += so_far
+        for c in seen:
+            row_price[holder[c]] += so_far - least[c]
+            column_price[c] -= so_far - least[c]
+        while column >= 0:
+            before = via[column]
+            holder[column] = holder[before] if before >= 0 else new
+            column = before
+    return sorted((r, c) for c, r in enumerate(holder) if r >= 0)
+
+
+def _groups(t: list[int], b: list[int]) -> list[list[int]]:
+    """Edges (t, b) by connected group: an edge joins the group of its row with that of its column, the smaller one
+    into the larger."""
+    of_row, of_column = {}, {}
+    for k, (i, j) in enumerate(zip(t, b)):
+        mine, other = of_row.get(i), of_column.get(j)
+        if mine is None:
+            mine = other if other is not None else []
+        elif other is not None and other is not mine:
+            if len(mine) < len(other):
+                mine, other = other, mine
+            for e in other:
+                of_row[t[e]] = of_column[b[e]] = mine
+            mine += other
+        mine.append(k)
+        of_row[i] = of_column[j] = mine
+    return list({id(g): g for g in of_row.values()}.values())
+
+
 def assigned(predicted: np.ndarray, boxes: np.ndarray, min_overlap: float) -> list[tuple[int, int]]:
     """Pairs (track, box). Overlaps that already pair off one to one are taken as they are; else the largest sum of
     overlaps is sought in each group of tracks and boxes that are connected by overlaps."""
@@ -107,25 +162,20 @@ def assigned(predicted: np.ndarray, boxes: np.ndarray, min_overlap: float) -> li
         return []
     if np.bincount(t[sure], minlength=1).max() <= 1 and np.bincount(b[sure], minlength=1).max() <= 1:
         return list(zip(t[sure].tolist(), b[sure].tolist()))
-    label = np.arange(len(predicted) + len(boxes))
-    u, v = t, len(predicted) + b
-    while True:  # every edge takes the smaller label of its ends
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
     out = []
-    order = np.argsort(label[t], kind="stable")
-    for edges in np.split(order, np.flatnonzero(np.diff(label[t][order])) + 1):
-        rows, i = np.unique(t[edges], return_inverse=True)
-        columns, j = np.unique(b[edges], return_inverse=True)
-        gain = np.zeros((len(rows), len(columns)))
-        gain[i, j] = share[edges]
-        out += [(int(rows[r]), int(columns[c])) for r, c in best_assignment(gain) if gain[r, c] >= min_overlap and gain[r, c] > 0]
+    t, b, share = t.tolist(), b.tolist(), share.tolist()
+    for edges in _groups(t, b):
+        if len(edges) == 1:
+            pairs, rows, columns = [(0, 0)], [t[edges[0]]], [b[edges[0]]]
+            gain = [[share[edges[0]]]]
+        else:
+            rows, columns = sorted({t[e] for e in edges}), sorted({b[e] for e in edges})
+            row, column = {v: k for k, v in enumerate(rows)}, {v: k for k, v in enumerate(columns)}
+            gain = np.zeros((len(rows), len(columns)))
+            for e in edges:
+                gain[row[t[e]], column[b[e]]] = share[e]
+            pairs = best_assignment(gain)
+        out += [(rows[r], columns[c]) for r, c in pairs if gain[r][c] >= min_overlap and gain[r][c] > 0]
     return sorted(out)
 
 
@@ -143,11 +193,14 @@ class Tracks:
     ARRAYS = ("position", "velocity", "spread", "aspect_spread", "since", "streak")
 
     def keep(self, which: np.ndarray) -> None:
+        if which.all():
+            return
         self.names = [n for n, k in zip(self.names, which) if k]
         for name in self.ARRAYS:
             setattr(self, name, getattr(self, name)[which])
 
-    def predict(self) -> None:
+    def predict(self) -> np.ndarray:
+        """Moves all tracks on by a frame; their boxes."""
         self.velocity[self.velocity[:, 2] + self.position[:, 2] <= 0, 2] = 0.0
         self.position[:, :3] += self.velocity
         p = self.spread
@@ -157,7 +210,10 @@ class Tracks:
         self.aspect_spread += GROWTH
         self.streak[self.since > 0] = 0
         self.since += 1
-        self.keep(np.isfinite(corners(self.position)).all(axis=1))
+        boxes = corners(self.position)
+        whole = np.isfinite(boxes).all(axis=1)
+        self.keep(whole)
+        return boxes[whole]
 
     def update(self, which: np.ndarray, z: np.ndarray) -> None:
         p = self.spread[which]
@@ -186,8 +242,7 @@ class Tracks:
 
     def step(self, count: int, frame: int, seqs: list[int], boxes: np.ndarray) -> list[tuple]:
         """(seq, first frame, first seq, reported, filtered box) of the boxes of the count-th frame."""
-        self.predict()
-        pairs = assigned(corners(self.position), boxes, self.min_overlap)
+        pairs = assigned(self.predict(), boxes, self.min_overlap)
         z = measured(boxes)
         if pairs:
             tracks, taken = (np.array(c) for c in zip(*pairs))
@@ -196,9 +251,10 @@ class Tracks:
         free = [k for k in range(len(boxes)) if k not in row]
         row |= {b: len(self.names) + k for k, b in enumerate(free)}
         self.open([(frame, seqs[b]) for b in free], z[free])
-        found = corners(self.position)
-        out = [(seqs[b], *self.names[t], bool(self.streak[t] >= self.min_hits or count <= self.min_hits), found[t].tolist())
-               for b, t in sorted(row.items())]
+        held = [row[b] for b in range(len(boxes))]
+        found = corners(self.position[held]).tolist()
+        reported = ((self.streak[held] >= self.min_hits) | (count <= self.min_hits)).tolist()
+        out = [(seqs[b], *self.names[t], reported[b], found[b]) for b, t in enumerate(held)]
         self.keep(self.since <= self.max_age)
         return out
 
@@ -252,7 +308,10 @@ def _walked(max_age: int, min_hits: int, min_overlap: float):
 
         for batch in batches:
             types = [batch.schema.field(0).type, *[pa.int64()] * 5, pa.bool_(), pa.list_(pa.float64())]
-            for v, f, number, seq, first, first_seq, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+            plain, lists = [c.to_pylist() for c in batch.columns[:-1]], batch.columns[-1]
+            cuts, values = lists.offsets.to_pylist(), lists.values.to_numpy()
+            for v, f, number, seq, first, first_seq, low, high in zip(*plain, cuts, cuts[1:]):
+                numbers = values[low:high]
                 if tracks is None or v != video:
                     finish_video()
                     video, tracks, waiting, frame, held = v, Tracks(max_age, min_hits, min_overlap), [], None, []
@@ -273,6 +332,13 @@ def _walked(max_age: int, min_hits: int, min_overlap: float):
     return walk
 
 
+def _places(rows: DataFrame, tasks: int) -> DataFrame:
+    """video, place (0..): the longest videos, at most one for each task, which they do not share with one another."""
+    longest = rows.groupBy("video").count().orderBy(F.desc("count"), "video").limit(tasks).collect()
+    kind = rows.schema["video"].dataType.simpleString()
+    return rows.sparkSession.createDataFrame([(r["video"], k) for k, r in enumerate(longest)], f"video {kind}, place int")
+
+
 def tracked(boxes: DataFrame, video: str = "video_id", seq: str = "seq", max_age: int = 7, min_hits: int = 1,
             min_overlap: float = 0.1, frames: int = FRAMES, block: Column | None = None) -> DataFrame:
     """Each box with its track: video, frame_number, seq, first_frame, first_seq (the box that opened the track),
@@ -295,6 +361,8 @@ def tracked(boxes: DataFrame, video: str = "video_id", seq: str = "seq", max_age
     stored = spark.read.schema(f"video {kind}, frame_number long, seq long, numbers array<double>, f long, part int").parquet(folder)
     parts = stored.agg(F.max("part")).first()[0]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by work: the rows are small, and would be put together by size
+    places = F.broadcast(_places(stored, tasks))
+    task = F.coalesce("place", F.pmod(F.hash("video"), F.lit(tasks)))
     schema = (f"video {kind}, f long, frame_number long, seq long, first_frame long, first_seq long, reported boolean, "
               "numbers array<double>")
     results, going = [], None
@@ -303,7 +371,8 @@ def tracked(boxes: DataFrame, video: str = "video_id", seq: str = "seq", max_age
                                                           none.alias("first_seq"), "numbers")
         if going is not None:  # only videos that have a block here go on
             now = now.unionByName(going.join(now.select("video").distinct(), "video", "left_semi"))
-        walked = cut_lineage(now.repartition(tasks, "video").sortWithinPartitions("video", F.asc_nulls_first("f"), "seq", "first_frame", "first_seq")
+        dealt = now.join(places, "video", "left").repartitionById(tasks, task).drop("place")
+        walked = cut_lineage(dealt.sortWithinPartitions("video", F.asc_nulls_first("f"), "seq", "first_frame", "first_seq")
                              .mapInArrow(_walked(max_age, min_hits, min_overlap), schema))
         results.append(walked.filter("f IS NOT NULL"))
         going = walked.filter("f IS NULL").select("video", "f", "frame_number", "seq", "first_frame", "first_seq", "numbers")
