@@ -133,3 +133,21 @@ def test_edges_by_connected_group():
 def test_longest_videos_do_not_share_a_task(spark):
     rows = spark.createDataFrame([(v, f) for v, n in enumerate([2, 9, 1, 8, 7]) for f in range(n)], "video int, f int")
     assert sorted(map(tuple, tg._places(rows, 3).collect())) == [(1, 0), (3, 1), (4, 2)]
+
+
+def test_links_of_blocks_equal_links_by_joins(spark):
+    from trackframe.operators import linking as ln
+    rows = [(v, f, k, *map(int, b)) for v in range(4) for f, boxes in scene(v, 60, 5, 60) for k, b in enumerate(boxes)]
+    rows += [(9, 3 * f, 0, 4 * f, 10, 4 * f + 20, 30) for f in range(70)]  # one chain over many blocks
+    df = spark.createDataFrame(rows, "video_id int, frame_number int, seq long, x1 int, y1 int, x2 int, y2 int")
+    cols = ("video_id", "frame_number", "seq", "first_frame", "first_seq")
+
+    def found(**how):
+        t = ln.linked_tracks(df.repartition(3), **how)
+        assert t.dtypes == [(c, "int" if c[-3:] != "seq" else "bigint") for c in cols]
+        return sorted(map(tuple, t.select(*cols).collect()))
+
+    want = found(block_boxes=0)
+    assert len(want) == len(rows) and {r[3:] for r in want if r[0] == 9} == {(0, 0)}
+    assert found() == want and found(frames=8) == want and found(frames=7) == want
+    assert found(frames=16, block_boxes=30) == want

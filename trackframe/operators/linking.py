@@ -7,6 +7,10 @@ count. Links only go forward, so chains have a beginning, whose box names the tr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackframe.functions import geometry as g
@@ -14,15 +18,15 @@ from trackframe.functions.ordering import with_position
 from trackframe.session import cut_lineage
 
 BOX = ("x1", "y1", "x2", "y2")
+FRAMES = 1024           # frames of a block that one task links
+BLOCK_BOXES = 200_000   # boxes of a block that one task takes
+PAIRS = 1_000_000       # pairs of boxes that a task holds at once
 
 
-def numbered_boxes(boxes: DataFrame, video: str = "video_id", seq: str = "seq",
-                   block: Column | None = None) -> DataFrame:
-    """Boxes with the number `f` of their frame among the frames that have boxes; written once."""
-    boxes = cut_lineage(boxes.select(video, "frame_number", F.col(seq).alias("seq"), F.struct(*BOX).alias("box")))
-    frames = with_position(boxes.select(video, "frame_number").distinct(), [video], ["frame_number"],
-                           block, out="f", rows_out="_n").drop("_n")
-    return cut_lineage(boxes.join(frames, [video, "frame_number"]))
+def numbered_frames(boxes: DataFrame, video: str = "video_id", block: Column | None = None) -> DataFrame:
+    """Frames that have boxes, with their number `f` among these and their boxes `n`; written once."""
+    frames = boxes.groupBy(video, "frame_number").agg(F.count("*").alias("n"))
+    return cut_lineage(with_position(frames, [video], ["frame_number"], block, out="f", rows_out="_n").drop("_n"))
 
 
 def box_links(numbered: DataFrame, video: str = "video_id", min_overlap: float = 0.1, max_gap: int = 7,
@@ -58,15 +62,13 @@ def box_links(numbered: DataFrame, video: str = "video_id", min_overlap: float =
     return ahead.join(back, [video, "f", "seq", "f2", "seq2"])
 
 
-def linked_tracks(boxes: DataFrame, video: str = "video_id", seq: str = "seq", min_overlap: float = 0.1,
-                  max_gap: int = 7, min_hits: int = 1, block: Column | None = None) -> DataFrame:
-    """Each box with the first box (frame and number) of its track. `boxes` has one row per
-    box with a number unique in its frame.
+def _joined_tracks(nodes: DataFrame, video: str, min_overlap: float, max_gap: int) -> DataFrame:
+    """Tracks of videos of any density, by joins. `nodes` has video, frame_number, f, seq, box.
 
     Every round lets a box point to what its present pointer points to, so chains of n boxes
     need about log2(n) written rounds.
     """
-    nodes = numbered_boxes(boxes, video, seq, block)
+    nodes = cut_lineage(nodes)
     links = box_links(nodes, video, min_overlap, max_gap).select(
         video, F.col("f2").alias("f"), F.col("seq2").alias("seq"), F.col("f").alias("pf"), F.col("seq").alias("pseq"))
     state = cut_lineage(nodes.join(links, [video, "f", "seq"], "left").select(
@@ -82,8 +84,122 @@ def linked_tracks(boxes: DataFrame, video: str = "video_id", seq: str = "seq", m
         state = state.drop("moved")
     first = state.filter((F.col("f") == F.col("rf")) & (F.col("seq") == F.col("rseq"))).select(
         video, "rf", "rseq", F.col("frame_number").alias("first_frame"))
-    tracks = state.join(first, [video, "rf", "rseq"]).select(
+    return state.join(first, [video, "rf", "rseq"]).select(
         video, "frame_number", F.col("seq"), "first_frame", F.col("rseq").alias("first_seq"))
+
+
+def _best(f: np.ndarray, box: np.ndarray, min_overlap: float, gaps: range) -> np.ndarray:
+    """For boxes in order of frame and number: the place of the best partner that lies the first of `gaps` away at
+    which there is one, -1 without any."""
+    x1, y1, x2, y2 = box
+    area = (x2 - x1) * (y2 - y1)
+    found = np.full(len(f), -1)
+    for gap in gaps:
+        todo = np.flatnonzero(found < 0)
+        low, high = np.searchsorted(f, f[todo] + gap, "left"), np.searchsorted(f, f[todo] + gap, "right")
+        upto = np.cumsum(high - low)
+        at = 0
+        while at < len(todo):  # some boxes with all of their partners at once
+            done = upto[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, done + PAIRS, "right")))
+            n = (high - low)[at:to]
+            i = np.repeat(todo[at:to], n)
+            j = np.arange(len(i)) + np.repeat(low[at:to] - (upto[at:to] - n - done), n)
+            w = np.minimum(x2[i], x2[j]) - np.maximum(x1[i], x1[j])
+            h = np.minimum(y2[i], y2[j]) - np.maximum(y1[i], y1[j])
+            meet = np.flatnonzero((w > 0) & (h > 0))
+            i, j, shared = i[meet], j[meet], w[meet] * h[meet]
+            overlap = shared / (area[i] + area[j] - shared)
+            near = overlap >= min_overlap
+            i, j, overlap = i[near], j[near], overlap[near]
+            order = np.lexsort((j, -overlap, i))
+            own, first = np.unique(i[order], return_index=True)
+            found[own] = j[order][first]
+            at = to
+    return found
+
+
+def _linked(min_overlap: float, max_gap: int, frames: int) -> Callable[[pa.Table], pa.Table]:
+    """Task over one block of frames and the `max_gap` frames on either side: its boxes with the first box of their
+    chain inside the block; that box with the one before it, if another block holds one."""
+
+    def link(table: pa.Table) -> pa.Table:
+        f, seq = (table.column(c).to_numpy() for c in ("f", "seq"))
+        order = np.lexsort((seq, f))
+        table, f, seq = table.take(order), f[order], seq[order]
+        box = np.array([table.column(c).to_numpy() for c in BOX])  # null: NaN, overlaps nothing
+        ahead = _best(f, box, min_overlap, range(1, max_gap + 1))
+        back = _best(f, box, min_overlap, range(-1, -max_gap - 1, -1))
+        before = np.where((back >= 0) & (ahead[back] == np.arange(len(f))), back, -1)
+        mine = (f - 1) // frames == table.column("part").to_numpy()
+        root = np.where((before >= 0) & mine[before], before, np.arange(len(f)))
+        while (root[root] != root).any():
+            root = root[root]
+        number = table.column("frame_number").to_numpy()
+        outside = mine & (root == np.arange(len(f))) & (before >= 0)
+        columns = [table.column(0), pa.array(number), pa.array(f), pa.array(seq), pa.array(number[root]), pa.array(f[root]),
+                   pa.array(seq[root]), pa.array(f[before], mask=~outside), pa.array(seq[before], mask=~outside)]
+        return pa.Table.from_arrays(columns, names=[table.column_names[0], *PLACED]).filter(pa.array(mine))
+
+    return link
+
+
+PLACED = ("frame_number", "f", "seq", "first_frame", "rf", "rseq", "pf", "pseq")
+
+
+def _block_tracks(nodes: DataFrame, video: str, min_overlap: float, max_gap: int, frames: int) -> DataFrame:
+    """Tracks from links inside blocks of frames; only chains that go on over a border are followed in rounds,
+    about log2(blocks) of them over one row per such chain and block."""
+    kind = nodes.schema[video].dataType.simpleString()
+    part = F.explode(F.sequence(F.floor(F.greatest(F.col("f") - 1 - max_gap, F.lit(0)) / frames),
+                                F.floor((F.col("f") - 1 + max_gap) / frames))).alias("part")
+    near = nodes.select(video, F.col("frame_number").cast("long").alias("frame_number"), F.col("f").cast("long").alias("f"),
+                        F.col("seq").cast("long").alias("seq"), *[F.col(f"box.{c}").cast("double").alias(c) for c in BOX], part)
+    placed = cut_lineage(near.groupBy(video, "part").applyInArrow(
+        _linked(min_overlap, max_gap, frames), f"`{video}` {kind}, " + ", ".join(f"{c} long" for c in PLACED)))
+    heads = placed.filter("pf IS NOT NULL").select(video, "rf", "rseq", F.col("pf").alias("f"), F.col("pseq").alias("seq"))
+    last = placed.filter((F.col("f") - 1) % frames >= frames - max_gap).select(
+        video, "f", "seq", "first_frame", F.col("rf").alias("gf"), F.col("rseq").alias("gseq"))
+    state = cut_lineage(heads.join(last, [video, "f", "seq"]).drop("f", "seq"))
+    changed = True
+    while changed:
+        up = state.select(video, F.col("rf").alias("gf"), F.col("rseq").alias("gseq"), F.col("first_frame").alias("_frame"),
+                          F.col("gf").alias("_f"), F.col("gseq").alias("_seq"))
+        on = F.col("_f").isNotNull()
+        state = cut_lineage(state.join(up, [video, "gf", "gseq"], "left").select(
+            video, "rf", "rseq", F.coalesce("_frame", "first_frame").alias("first_frame"), F.coalesce("_f", "gf").alias("gf"),
+            F.coalesce("_seq", "gseq").alias("gseq"), on.alias("moved")))
+        changed = not state.filter("moved").isEmpty()
+        state = state.drop("moved")
+    whole = state.withColumnRenamed("first_frame", "_frame")
+    return placed.join(whole, [video, "rf", "rseq"], "left").select(
+        video, "frame_number", "seq", F.coalesce("_frame", "first_frame").alias("first_frame"),
+        F.coalesce("gseq", "rseq").alias("first_seq"))
+
+
+def linked_tracks(boxes: DataFrame, video: str = "video_id", seq: str = "seq", min_overlap: float = 0.1,
+                  max_gap: int = 7, min_hits: int = 1, block: Column | None = None, frames: int = FRAMES,
+                  block_boxes: int = BLOCK_BOXES) -> DataFrame:
+    """Each box with the first box (frame and number) of its track. `boxes` has one row per
+    box with a number unique in its frame.
+
+    Blocks of `frames` frames are linked inside tasks; videos with more than `block_boxes` boxes in a block are
+    linked by joins with the same result.
+    """
+    kinds = dict(boxes.dtypes)
+    boxes = cut_lineage(boxes.select(video, "frame_number", F.col(seq).alias("seq"), F.struct(*BOX).alias("box")))
+    numbered = numbered_frames(boxes, video, block)
+    frames = max(frames, max_gap)
+    large = numbered.groupBy(video, F.floor((F.col("f") - 1) / frames)).agg(F.sum("n").alias("n")).filter(
+        F.col("n") > block_boxes).select(video).distinct()
+    nodes = boxes.join(numbered.drop("n"), [video, "frame_number"])
+    if large.isEmpty():
+        tracks = _block_tracks(nodes, video, min_overlap, max_gap, frames)
+    else:
+        tracks = _block_tracks(nodes.join(large, video, "left_anti"), video, min_overlap, max_gap, frames).unionByName(
+            _joined_tracks(nodes.join(large, video, "left_semi"), video, min_overlap, max_gap))
+    tracks = tracks.select(video, *[F.col(c).cast(kinds[k]).alias(c) for c, k in (
+        ("frame_number", "frame_number"), ("seq", seq), ("first_frame", "frame_number"), ("first_seq", seq))])
     if min_hits > 1:
         hits = (tracks.groupBy(video, "first_frame", "first_seq").agg(F.count("*").alias("_h"))
                 .filter(F.col("_h") >= min_hits).drop("_h"))
