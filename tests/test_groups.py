@@ -393,3 +393,18 @@ def test_day_similarity_over_many_blocks_of_days(spark, metric):
         want = (-np.linalg.norm(x - y) if metric == "euclidean" else
                 np.corrcoef(x, y)[0, 1] if metric == "correlation" else x @ y / np.linalg.norm(x) / np.linalg.norm(y))
         assert math.isclose(found, want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_thresholds_that_keep_the_same_pairs_are_folded_once(spark):
+    data = [(1, 0, 0, 0.5), (1, 0, 1, 1.0), (1, 1, 1, 0.5), (2, 0, 0, 1.0)]
+    pairs = spark.createDataFrame(data, "image int, g long, p long, confidence double")
+    th = [2.0, 1.0, 0.9, 0.5, 0.2, 0.0]
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t).alias("threshold")) for i, t in enumerate(th)])
+    lists = pairs.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("g", "p", "confidence"))).alias("pairs"))
+    assert rows(m._hits_per_step(lists, steps), "step", "tp") == sorted(
+        [(1, 1), (2, 1), (3, 2), (4, 2), (5, 2)] + [(s, 1) for s in range(1, 6)])
+    gt = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "image int, seq long")
+    pred = spark.createDataFrame([(1, 0, 0.5), (1, 1, 1.0), (2, 0, 1.0)], "image int, seq long, confidence double")
+    one = rows(m.precision_recall_curve(gt, pred, pairs, th, ["image"]), "step", "tp", "fp", "fn")
+    assert one == rows(m.precision_recall_curve(gt, pred, pairs, th, ["image"], fold_pairs=0), "step", "tp", "fp", "fn")
+    assert one[0] == (0, 0, 0, 3) and one[1] == (1, 2, 0, 1) and one[-1] == (5, 3, 0, 0)

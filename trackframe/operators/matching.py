@@ -131,12 +131,25 @@ def even_thresholds(preds: DataFrame, n: int = 50) -> list[float]:
     return [top + i * step for i in range(n - 1)] + [0.0]
 
 
+def _hits_per_step(lists: DataFrame, steps: Column) -> DataFrame:
+    """step, tp of each image. A lower threshold keeps more pairs, so thresholds that keep equally many of an image
+    keep the same and are folded once."""
+    def n_kept(threshold):
+        return F.size(F.filter("pairs", lambda e: e["confidence"] >= threshold))
+    kept = F.transform(steps, lambda s: F.struct(s["step"].alias("step"), s["threshold"].alias("threshold"),
+                                                 n_kept(s["threshold"]).alias("n")))
+    each = lists.select("pairs", kept.alias("steps")).withColumn("n", F.explode(F.array_distinct("steps.n"))).filter("n > 0")
+    same = each.select("pairs", F.filter("steps", lambda s: s["n"] == F.col("n")).alias("s"))
+    pairs = F.filter("pairs", lambda e: e["confidence"] >= F.col("s.threshold")[0])
+    return same.select("s.step", F.size(_fold(pairs)["g"]).alias("tp")).select(F.explode("step").alias("step"), "tp")
+
+
 def precision_recall_curve(gts: DataFrame, preds: DataFrame, pairs: DataFrame, thresholds: list[float],
                            image=IMAGE, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
     """Counts and quality per confidence threshold.
 
-    The overlap pairs of an image are gathered once and folded again for each threshold;
-    only one number per image and threshold leaves that task.
+    The overlap pairs of an image are gathered once and folded again for each threshold that
+    keeps other pairs than the one before; only one number per image and threshold leaves that task.
     """
     image = list(image)
     steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t).alias("threshold"))
@@ -147,17 +160,15 @@ def precision_recall_curve(gts: DataFrame, preds: DataFrame, pairs: DataFrame, t
     small = pairs if none_large else pairs.join(large, image, "left_anti")
     lists = small.groupBy(*image).agg(
         F.sort_array(F.collect_list(F.struct("g", "p", "confidence"))).alias("pairs"))
-    each = lists.withColumn("s", F.explode(steps))
-    kept = F.filter("pairs", lambda e: e["confidence"] >= F.col("s.threshold"))
-    hits = each.select("s.step", F.size(_fold(kept)["g"]).alias("tp"))
+    hits = _hits_per_step(lists, steps)
     if not none_large:
         # every threshold is one copy of the image's pairs, matched in the same rounds
         more = (pairs.join(large, image, "left_semi").withColumn("s", F.explode(steps))
                 .filter(F.col("confidence") >= F.col("s.threshold")).select(*image, "s.step", "g", "p"))
         hits = hits.unionByName(_rounds(more, [*image, "step"]).select("step", F.lit(1).alias("tp")))
     tp = hits.groupBy("step").agg(F.sum("tp").alias("tp"))
-    n_pred = (preds.withColumn("s", F.explode(steps)).filter(F.col("confidence") >= F.col("s.threshold"))
-              .groupBy("s.step").agg(F.count("*").alias("n_pred")))
+    above = [F.count_if(F.col("confidence") >= t) for t in thresholds]  # one pass, one row of counts
+    n_pred = preds.agg(F.array(*above).alias("n")).select(F.posexplode("n").alias("step", "n_pred"))
     n_gt = gts.agg(F.count("*").alias("n_gt"))
     base = n_gt.withColumn("s", F.explode(steps)).select("n_gt", "s.*")
     out = base.join(tp, "step", "left").join(n_pred, "step", "left").fillna(0, subset=["tp", "n_pred"])

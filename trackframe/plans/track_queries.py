@@ -288,8 +288,10 @@ c as (select step, threshold, coalesce(tp, 0)::bigint as tp, (coalesce(np, 0) -
       from thr left join tp using (step) left join np using (step))
 select step, round(threshold + 1e-9, 6) + 0.0 as threshold, tp, fp, fn, {quality_sql()} from c""")
 def precision_recall_curve(spark, sf_dir):
-    gt, pred = boxes(spark, sf_dir, 0.0)
-    curve = m.precision_recall_curve(gt, pred, m.overlap_pairs(gt, pred), m.even_thresholds(pred))
+    pairs = m.overlap_pairs(*boxes(spark, sf_dir, 0.0))
+    d = fx.detections(spark, sf_dir)  # counts and thresholds need no order
+    gt, pred = d.filter("is_gt"), d.filter(~F.col("is_gt") & (F.col("confidence") >= 0.0))
+    curve = m.precision_recall_curve(gt, pred, pairs, m.even_thresholds(pred))
     return rounded(curve)
 
 
