@@ -408,3 +408,11 @@ def test_thresholds_that_keep_the_same_pairs_are_folded_once(spark):
     one = rows(m.precision_recall_curve(gt, pred, pairs, th, ["image"]), "step", "tp", "fp", "fn")
     assert one == rows(m.precision_recall_curve(gt, pred, pairs, th, ["image"], fold_pairs=0), "step", "tp", "fp", "fn")
     assert one[0] == (0, 0, 0, 3) and one[1] == (1, 2, 0, 1) and one[-1] == (5, 3, 0, 0)
+
+
+def test_features_of_scored_trajectories_are_made_once(spark, monkeypatch):
+    from trackframe.plans import cluster_queries as cq
+    made, plain = [], cq.features
+    monkeypatch.setattr(cq, "features", lambda *a: made.append(a) or plain(*a))
+    assert cq.scored_trajectories(spark, "/root/testdata/sf0.01").count() > 0
+    assert len(made) == 1

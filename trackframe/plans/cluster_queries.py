@@ -346,12 +346,13 @@ def labelled_features(spark, sf_dir):
     return rounded(labelled(spark, sf_dir).select("video_id", "ant_id", "efficiency", "total_length", "label"))
 
 
-def labelled(spark, sf_dir):
+def labelled(spark, sf_dir, found=None):
+    found = features(spark, sf_dir) if found is None else found
     t = fx.tracks(spark, sf_dir).select("video_id", "ant_id").distinct()
     is_digging = (F.floor(F.col("ant_id") / 3) + F.col("video_id")) % 3 == 0
     notes = t.select("video_id", "ant_id", F.when(is_digging, " Yes").otherwise("no").alias("excavating"))
     prox = tj.nest_proximity(fx.tracks(spark, sf_dir), fx.ignored_pixels(spark)).select("video_id", "ant_id", "nest_proximity")
-    return sc.training_table(features(spark, sf_dir).join(prox, ["video_id", "ant_id"]), notes, [*COLS, "nest_proximity"])
+    return sc.training_table(found.join(prox, ["video_id", "ant_id"]), notes, [*COLS, "nest_proximity"])
 
 
 METRIC_SQL = """
@@ -433,9 +434,10 @@ def leave_one_out_gradients(spark, sf_dir):
 
 @query("scored_trajectories")
 def scored_trajectories(spark, sf_dir):
-    table = labelled(spark, sf_dir)
+    found = cut_lineage(features(spark, sf_dir))
+    table = cut_lineage(labelled(spark, sf_dir, found))  # a fit reads it several times
     model = sc.fit_classifier(table, COLS)
-    f = features(spark, sf_dir).withColumn(
+    f = found.withColumn(
         "efficiency", F.when(F.col("ant_id") % 10 == 0, None).otherwise(F.col("efficiency")))
     return rounded(sc.scored(model, f, COLS))
 
