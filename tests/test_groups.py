@@ -416,3 +416,13 @@ def test_features_of_scored_trajectories_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(cq, "features", lambda *a: made.append(a) or plain(*a))
     assert cq.scored_trajectories(spark, "/root/testdata/sf0.01").count() > 0
     assert len(made) == 1
+
+
+def test_checks_of_assigned_tracks_write_nothing_again(spark, monkeypatch):
+    from trackframe.plans import trail_queries as tq
+
+    def refused(df):
+        raise AssertionError("written a second time")
+
+    monkeypatch.setattr(tq, "cut_lineage", refused)
+    assert tq.assigned_track_checks(spark, "/root/testdata/sf0.001").columns[0] == "video_id"

@@ -384,7 +384,7 @@ select video_id, sum(n)::bigint as n_boxes, count(*) as n_frames, max(n) as most
 def assigned_track_checks(spark, sf_dir):
     """What holds for every assignment: a track has one box in a frame, misses at most seven frames with boxes,
     and is named by a box of its own."""
-    t = cut_lineage(tg.tracked(boxes(spark, sf_dir, 0.327)[1]))
+    t = tg.tracked(boxes(spark, sf_dir, 0.327)[1])  # read from written rounds
     track = ["video_id", "first_frame", "first_seq"]
     frames = t.groupBy("video_id", "frame_number").agg(
         F.count("*").alias("n"), F.countDistinct("first_frame", "first_seq").alias("tracks"))
