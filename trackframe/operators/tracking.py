@@ -166,112 +166,102 @@ def assigned(predicted: np.ndarray, boxes: np.ndarray, min_overlap: float) -> li
     t, b, share = t.tolist(), b.tolist(), share.tolist()
     for edges in _groups(t, b):
         if len(edges) == 1:
-            pairs, rows, columns = [(0, 0)], [t[edges[0]]], [b[edges[0]]]
-            gain = [[share[edges[0]]]]
-        else:
-            rows, columns = sorted({t[e] for e in edges}), sorted({b[e] for e in edges})
-            row, column = {v: k for k, v in enumerate(rows)}, {v: k for k, v in enumerate(columns)}
-            gain = np.zeros((len(rows), len(columns)))
-            for e in edges:
-                gain[row[t[e]], column[b[e]]] = share[e]
-            pairs = best_assignment(gain)
+            e = edges[0]
+            if share[e] >= min_overlap:
+                out.append((t[e], b[e]))
+            continue
+        rows, columns = sorted({t[e] for e in edges}), sorted({b[e] for e in edges})
+        row, column = {v: k for k, v in enumerate(rows)}, {v: k for k, v in enumerate(columns)}
+        gain = np.zeros((len(rows), len(columns)))
+        gain[[row[t[e]] for e in edges], [column[b[e]] for e in edges]] = [share[e] for e in edges]
+        pairs = best_assignment(gain)
+        gain = gain.tolist()
         out += [(rows[r], columns[c]) for r, c in pairs if gain[r][c] >= min_overlap and gain[r][c] > 0]
     return sorted(out)
 
 
 class Tracks:
-    """The open tracks of a video, one row each."""
+    """The open tracks of a video, one column of `state` each: position (4), velocity (3), variance of position (3),
+    covariance (3), variance of velocity (3), variance of the aspect, frames since a hit, hits in a row."""
+
+    POSITION, VELOCITY, SPREAD, BOTH, SPREAD_VELOCITY = (slice(*c) for c in ((0, 4), (4, 7), (7, 10), (10, 13), (13, 16)))
+    ASPECT, SINCE, STREAK, NUMBERS = 16, 17, 18, 19
 
     def __init__(self, max_age: int, min_hits: int, min_overlap: float):
         self.max_age, self.min_hits, self.min_overlap = max_age, min_hits, min_overlap
         self.names: list[tuple[int, int]] = []
-        self.position, self.velocity = np.zeros((0, 4)), np.zeros((0, 3))
-        self.spread = np.zeros((0, 3, 3))       # variance of position, covariance, variance of velocity
-        self.aspect_spread = np.zeros(0)
-        self.since, self.streak = np.zeros(0, int), np.zeros(0, int)
-
-    ARRAYS = ("position", "velocity", "spread", "aspect_spread", "since", "streak")
+        self.state = np.zeros((self.NUMBERS, 0))
 
     def keep(self, which: np.ndarray) -> None:
-        if which.all():
-            return
-        self.names = [n for n, k in zip(self.names, which) if k]
-        for name in self.ARRAYS:
-            setattr(self, name, getattr(self, name)[which])
+        if not which.all():
+            self.names = [n for n, k in zip(self.names, which.tolist()) if k]
+            self.state = self.state[:, which]
 
     def predict(self) -> np.ndarray:
         """Moves all tracks on by a frame; their boxes."""
-        self.velocity[self.velocity[:, 2] + self.position[:, 2] <= 0, 2] = 0.0
-        self.position[:, :3] += self.velocity
-        p = self.spread
-        p[:, :, 0] += 2 * p[:, :, 1] + p[:, :, 2] + GROWTH
-        p[:, :, 1] += p[:, :, 2]
-        p[:, :, 2] += GROWTH_VELOCITY
-        self.aspect_spread += GROWTH
-        self.streak[self.since > 0] = 0
-        self.since += 1
-        boxes = corners(self.position)
+        s = self.state
+        s[6, s[6] + s[2] <= 0] = 0.0
+        s[:3] += s[self.VELOCITY]
+        s[self.SPREAD] += 2 * s[self.BOTH] + s[self.SPREAD_VELOCITY] + GROWTH
+        s[self.BOTH] += s[self.SPREAD_VELOCITY]
+        s[self.SPREAD_VELOCITY] += GROWTH_VELOCITY[:, None]
+        s[self.ASPECT] += GROWTH
+        s[self.STREAK, s[self.SINCE] > 0] = 0
+        s[self.SINCE] += 1
+        boxes = corners(s[self.POSITION].T)
         whole = np.isfinite(boxes).all(axis=1)
         self.keep(whole)
         return boxes[whole]
 
-    def update(self, which: np.ndarray, z: np.ndarray) -> None:
-        p = self.spread[which]
-        off = z - self.position[which]
-        sure = p[:, :, 0] + MEASURED[:3]
-        gain, gain_velocity = p[:, :, 0] / sure, p[:, :, 1] / sure
-        self.position[which, :3] += gain * off[:, :3]
-        self.velocity[which] += gain_velocity * off[:, :3]
-        p[:, :, 2] -= gain_velocity * p[:, :, 1]
-        p[:, :, 1] *= 1 - gain
-        p[:, :, 0] *= 1 - gain
-        self.spread[which] = p
-        gain = self.aspect_spread[which] / (self.aspect_spread[which] + MEASURED[3])
-        self.position[which, 3] += gain * off[:, 3]
-        self.aspect_spread[which] *= 1 - gain
-        self.since[which] = 0
-        self.streak[which] += 1
+    def update(self, which: list[int], z: np.ndarray) -> None:
+        s = self.state[:, which]
+        off = z.T - s[self.POSITION]
+        sure = s[self.SPREAD] + MEASURED[:3, None]
+        gain, gain_velocity = s[self.SPREAD] / sure, s[self.BOTH] / sure
+        s[:3] += gain * off[:3]
+        s[self.VELOCITY] += gain_velocity * off[:3]
+        s[self.SPREAD_VELOCITY] -= gain_velocity * s[self.BOTH]
+        s[self.BOTH] *= 1 - gain
+        s[self.SPREAD] *= 1 - gain
+        gain = s[self.ASPECT] / (s[self.ASPECT] + MEASURED[3])
+        s[3] += gain * off[3]
+        s[self.ASPECT] *= 1 - gain
+        s[self.SINCE] = 0
+        s[self.STREAK] += 1
+        self.state[:, which] = s
 
     def open(self, names: list[tuple[int, int]], z: np.ndarray) -> None:
-        n = len(names)
+        new = np.zeros((self.NUMBERS, len(names)))
+        new[self.POSITION] = z.T
+        new[self.SPREAD], new[self.SPREAD_VELOCITY], new[self.ASPECT] = FIRST, FIRST_VELOCITY, FIRST
         self.names += names
-        new = (z, np.zeros((n, 3)), np.tile([FIRST, 0.0, FIRST_VELOCITY], (n, 3, 1)), np.full(n, FIRST),
-               np.zeros(n, int), np.zeros(n, int))
-        for name, rows in zip(self.ARRAYS, new):
-            setattr(self, name, np.concatenate([getattr(self, name), rows]))
+        self.state = np.concatenate([self.state, new], axis=1)
 
-    def step(self, count: int, frame: int, seqs: list[int], boxes: np.ndarray) -> list[tuple]:
-        """(seq, first frame, first seq, reported, filtered box) of the boxes of the count-th frame."""
+    def step(self, count: int, frame: int, seqs: list[int], boxes: np.ndarray) -> tuple[list, list, list]:
+        """Names of the tracks of the boxes of the count-th frame, whether they are reported, filtered boxes."""
         pairs = assigned(self.predict(), boxes, self.min_overlap)
         z = measured(boxes)
+        row = {b: t for t, b in pairs}
         if pairs:
-            tracks, taken = (np.array(c) for c in zip(*pairs))
-            self.update(tracks, z[taken])
-        row = dict((b, t) for t, b in pairs)
-        free = [k for k in range(len(boxes)) if k not in row]
-        row |= {b: len(self.names) + k for k, b in enumerate(free)}
-        self.open([(frame, seqs[b]) for b in free], z[free])
+            self.update([t for t, _ in pairs], z[[b for _, b in pairs]])
+        free = [b for b in range(len(boxes)) if b not in row]
+        if free:
+            row.update((b, len(self.names) + k) for k, b in enumerate(free))
+            self.open([(frame, seqs[b]) for b in free], z[free])
         held = [row[b] for b in range(len(boxes))]
-        found = corners(self.position[held]).tolist()
-        reported = ((self.streak[held] >= self.min_hits) | (count <= self.min_hits)).tolist()
-        out = [(seqs[b], *self.names[t], reported[b], found[b]) for b, t in enumerate(held)]
-        self.keep(self.since <= self.max_age)
-        return out
+        found = corners(self.state[self.POSITION, held].T).tolist()
+        reported = ((self.state[self.STREAK, held] >= self.min_hits) | (count <= self.min_hits)).tolist()
+        names = [self.names[t] for t in held]
+        self.keep(self.state[self.SINCE] <= self.max_age)
+        return names, reported, found
 
     def rows(self) -> Iterator[tuple]:
         """(first frame, first seq, numbers) of every open track."""
-        flat = [getattr(self, name).reshape(len(self.names), -1) for name in self.ARRAYS]
-        for k, (frame, seq) in enumerate(self.names):
-            yield frame, seq, [float(v) for part in flat for v in part[k]]
+        for (frame, seq), numbers in zip(self.names, self.state.T.tolist()):
+            yield frame, seq, numbers
 
-    def resume(self, names: list[tuple[int, int]], numbers: list[list[float]]) -> None:
-        values, at = np.array(numbers).reshape(len(names), 19), 0
-        self.names = names
-        for name, shape in zip(self.ARRAYS, ((4,), (3,), (3, 3), (), (), ())):
-            size = int(np.prod(shape, dtype=int))
-            part = values[:, at:at + size].reshape(len(names), *shape)
-            setattr(self, name, part.astype(int) if name in ("since", "streak") else part.copy())
-            at += size
+    def resume(self, names: list[tuple[int, int]], numbers: list[np.ndarray]) -> None:
+        self.names, self.state = names, np.array(numbers).T.copy()
 
 
 def _walked(max_age: int, min_hits: int, min_overlap: float):
@@ -282,9 +272,9 @@ def _walked(max_age: int, min_hits: int, min_overlap: float):
         types, out = [], [[] for _ in names]
         video, tracks, waiting, frame, held = None, None, [], None, []
 
-        def add(*row):
-            for column, value in zip(out, row):
-                column.append(value)
+        def add(*rows):
+            for column, values in zip(out, rows):
+                column.extend(values)
 
         def finish_frame():
             nonlocal held, waiting
@@ -293,35 +283,42 @@ def _walked(max_age: int, min_hits: int, min_overlap: float):
                 waiting = []
             if held:
                 f, number = frame
-                for seq, first, first_seq, reported, box in tracks.step(f, number, [s for s, _ in held], np.array([b for _, b in held])):
-                    add(video, f, number, seq, first, first_seq, reported, box)
+                seqs = [s for part, _ in held for s in part]
+                found, reported, boxes = tracks.step(f, number, seqs, np.concatenate([b for _, b in held]))
+                n = len(seqs)
+                add([video] * n, [f] * n, [number] * n, seqs, [a for a, _ in found], [b for _, b in found], reported, boxes)
                 held = []
 
         def finish_video():
             if tracks is not None:
                 finish_frame()
                 for first, first_seq, numbers in tracks.rows():
-                    add(video, None, None, None, first, first_seq, None, numbers)
+                    add([video], [None], [None], [None], [first], [first_seq], [None], [numbers])
 
         def record():
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
         for batch in batches:
             types = [batch.schema.field(0).type, *[pa.int64()] * 5, pa.bool_(), pa.list_(pa.float64())]
-            plain, lists = [c.to_pylist() for c in batch.columns[:-1]], batch.columns[-1]
-            cuts, values = lists.offsets.to_pylist(), lists.values.to_numpy()
-            for v, f, number, seq, first, first_seq, low, high in zip(*plain, cuts, cuts[1:]):
-                numbers = values[low:high]
+            videos, fs, numbers, seqs, firsts, first_seqs = (c.to_pylist() for c in batch.columns[:-1])
+            cuts, values = batch.columns[-1].offsets.to_pylist(), batch.columns[-1].values.to_numpy()
+            at, end = 0, len(fs)
+            while at < end:
+                v, f = videos[at], fs[at]
                 if tracks is None or v != video:
                     finish_video()
                     video, tracks, waiting, frame, held = v, Tracks(max_age, min_hits, min_overlap), [], None, []
+                to = at + 1
                 if f is None:
-                    waiting.append(((first, first_seq), numbers))
-                    continue
-                if frame != (f, number):
-                    finish_frame()
-                    frame = (f, number)
-                held.append((seq, numbers))
+                    waiting.append(((firsts[at], first_seqs[at]), values[cuts[at]:cuts[to]]))
+                else:
+                    while to < end and fs[to] == f and videos[to] == v:
+                        to += 1
+                    if frame != (f, numbers[at]):
+                        finish_frame()
+                        frame = (f, numbers[at])
+                    held.append((seqs[at:to], values[cuts[at]:cuts[to]].reshape(-1, len(BOX))))
+                at = to
             if len(out[0]) > 20_000:
                 yield record()
                 out = [[] for _ in names]
