@@ -36,6 +36,21 @@ def test_token_counts_of_odd_spaces(text):
     assert token_counts.Lengths(t, {}).of(text) == len(t.encode(text, add_special_tokens=False))
 
 
+def test_words_of_letters_go_to_the_model_alone():
+    t, words, met = Tokenizer.from_file(WORDS), packing.WordIds(WORDS, 1000), []
+
+    class Kept:
+        def encode(self, text, **how):
+            met.append(text)
+            return t.encode(text, **how)
+
+    words.tokenizer = Kept()
+    text = "Strasse strasse### na\u00efve\u00c9t, \u00c9t\u00e9 12. \u0130! \u0130. \ufb2a! it's <|endoftext|>. a<|endoftext|>!"
+    want = np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert words.of(text.encode().split()) == want
+    assert not {w for w in met if w.isalpha()} - {"\u0130", "\ufb2a"} and "strasse###" not in met
+
+
 def test_packing_holds_every_id_once(docs, nothing):
     t = Tokenizer.from_file(WORDS)
     got = packing.packed(docs, WORDS, capacity=64).collect()

@@ -10,6 +10,8 @@ the plan's rank ranges gives each rest its sequence and offset.
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -17,13 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from trackframe.llm.texts import partitions_of, text_of
+from trackframe.llm.texts import MARKS, byte_letters, partitions_of, text_of
 from trackframe.session import cut_lineage
 
 CACHED = 800_000
 LONGEST_KEY = 64
-TOGETHER = 2_048
-GROUP_BYTES = 1 << 20
 _workers: dict = {}
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -33,7 +33,8 @@ class WordIds(dict):
     """Ids of white-space separated words as little-endian bytes, filled as words come.
 
     Only for tokenizers that drop white space and letter case, and never join tokens across white space or
-    between a letter or digit and a mark.
+    between a letter or digit and the marks after it. Where the tokenizer is byte-level, a word of letters goes to
+    the model without normalising and cutting.
     """
 
     def __init__(self, path: str, cached: int):
@@ -41,54 +42,48 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cached
+        self.part = self.tokenizer.model.tokenize if takes_letters(json.loads(self.tokenizer.to_str())) else None
 
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1:] in b".," and word[-2:-1].isalnum():  # letters and marks are cut from each other
-            ids = self[word[:-1]] + self[word[-1:]]
-        elif word[:1].isupper() and word.isalpha() and word.isascii():  # letter case is dropped
-            ids = self[word.lower()]
-        else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.made(word)
         if len(word) <= LONGEST_KEY:
             if len(self) >= self.limit:
                 self.clear()
             self[word] = ids
         return ids
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the unseen words among these together. Ids are told apart by where their text starts."""
-        if len(self) + len(words) > self.limit:
-            self.clear()
-        unseen = {w[:-1] if w[-1:] in b".," and w[-2:-1].isalnum() else w for w in words if w not in self}
-        unseen = {w.lower() if w[:1].isupper() and w.isalpha() and w.isascii() else w for w in unseen}
-        fresh = [w for w in unseen if w not in self and len(w) <= LONGEST_KEY]
-        for at in range(0, len(fresh), TOGETHER):
-            keys = fresh[at:at + TOGETHER]
-            texts = [w.decode() for w in keys]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ends = np.cumsum([len(t) + 1 for t in texts])
-            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-            cuts = (4 * np.searchsorted(starts, ends)).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
-            for key, a, b in zip(keys, [0, *cuts], cuts):
-                self[key] = ids[a:b]
+    def made(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isalpha() and (text.isascii() or max(text) < "\u0180" and "\u0130" not in text):
+            small = text.lower()
+            if small != text:
+                return self[small.encode()]
+            if self.part:
+                tokens = self.part(small if text.isascii() else byte_letters(small))
+                return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        else:
+            stem = text.rstrip(MARKS)
+            # normalising may add marks of its own to other letters
+            plain = stem[-1:].isalnum() and stem[-1] < "\u0180" and stem[-1] != "\u0130"
+            if plain and (stem.isalnum() and len(stem) < len(text) or text[len(stem):] in (".", ",")):
+                return self[stem.encode()] + self[text[len(stem):].encode()]
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.__getitem__, words))
 
 
-def groups_of(rows) -> Iterator[list[tuple]]:
-    """Rows of (id, text) as lists of (id, words), each list of about GROUP_BYTES or one text."""
-    group, size = [], 0
-    for doc, text in rows:
-        raw = text.as_py().encode()
-        if group and size + len(raw) > GROUP_BYTES:
-            yield group
-            group, size = [], 0
-        group.append((doc, raw.split()))
-        size += len(raw)
-    if group:
-        yield group
+LETTER_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def takes_letters(made: dict) -> bool:
+    """Whether the model of a tokenizer, given as its file, gets each run of small letters as it is, byte by byte."""
+    forms = (made.get("normalizer") or {}).get("normalizers", [])
+    cuts = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return ([f["type"] for f in forms] == ["NFC", "Replace", "Lowercase"] and forms[1]["pattern"] == {"Regex": r"\s+"}
+            and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": LETTER_CUT}
+            and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+            and made["model"]["type"] == "BPE" and not made["model"].get("dropout"))
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_column: str = "doc_id",
@@ -101,15 +96,13 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
         words, end, step = _workers["words"], np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for group in groups_of(zip(batch.column(0).to_pylist(), batch.column(1))):
-                words.learn({w for _, text in group for w in text})
-                for doc, text in group:
-                    ids = words.of(text) + end
-                    view = memoryview(ids)
-                    for at in range(0, len(ids), step):
-                        part = view[at:at + step]
-                        for column, v in zip(out, (doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4)):
-                            column.append(v)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = words.of(text.as_py().encode().split()) + end
+                view = memoryview(ids)
+                for at in range(0, len(ids), step):
+                    part = view[at:at + step]
+                    for column, v in zip(out, (doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4)):
+                        column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
