@@ -69,6 +69,20 @@ def test_ids_are_the_library_s():
     assert np.frombuffer(texts.of(long), "<u2").tolist() == t.encode(long, add_special_tokens=False).ids
 
 
+def test_letters_before_a_run_of_marks_are_not_cut_again():
+    t, texts, met = Tokenizer.from_file(BYTES), tf.TextIds(BYTES, cached=100), []
+
+    class Kept:
+        def encode(self, text, **how):
+            met.append(text)
+            return t.encode(text, **how)
+
+    texts.bare.tokenizer = texts.spaced.tokenizer = Kept()
+    text = "ab### cd### \u00e9t\u00e9###, it's' x\nab... don'"
+    assert texts.of(text) == np.array(t.encode(text, add_special_tokens=False).ids, "u2").tobytes()
+    assert not [m for m in met if "ab" in m or "cd" in m]
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_documents_come_back_in_order(spark, docs, nothing, tmp_path, path):
     def order(row):

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackframe.llm.texts import partitions_of, text_of
+from trackframe.llm.texts import MARKS, byte_letters, partitions_of, text_of
 from trackframe.session import checkpoint_dir, cut_lineage
 
 BLOCK = 1024
@@ -173,23 +173,12 @@ class Shard:
         return unpacked_blocks(self.body, self.index[first:last + 1])[start - first * BLOCK:end - first * BLOCK]
 
 
-def _byte_letters() -> dict[int, int]:
-    """The character byte-level vocabularies write for each byte: printable ones stand for themselves, the others
-    follow from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
-
-
-_LETTERS = _byte_letters()
-
-
 class PieceIds(dict):
     """Ids, as little-endian bytes, of the stretches between single spaces, each with `before` in front of it.
 
     Byte-level tokenizers cut a text first, at the border of a word with the space before it, of letters and
-    marks, and of a line; pieces are put together from such parts, and a part of letters goes to the model without
-    the cutting. Everything else goes through the whole tokenizer. When half of what may be kept has been added,
+    the marks after them, and of a line; pieces are put together from such parts, and a part of letters goes to the
+    model without the cutting. Everything else goes through the whole tokenizer. When half of what may be kept has been added,
     what was not met since the last such moment is given up.
     """
 
@@ -198,7 +187,7 @@ class PieceIds(dict):
         self.tokenizer, self.kind, self.before, self.half = tokenizer, kind, before, cached // 2
         self.old: dict[str, bytes] = {}
         self.part = tokenizer.model.tokenize
-        self.letters = before.translate(_LETTERS)
+        self.letters = byte_letters(before)
         self.bare = self if bare is None else bare  # of pieces with nothing in front
 
     def encode(self, text: str) -> bytes:
@@ -216,14 +205,18 @@ class PieceIds(dict):
         return ids
 
     def made(self, piece: str) -> bytes:
+        if piece.isalpha():
+            if piece.isascii():
+                return array(self.kind, [t.id for t in self.part(self.letters + piece)]).tobytes()
+            if max(piece) < "\u0180":
+                return array(self.kind, [t.id for t in self.part(self.letters + byte_letters(piece))]).tobytes()
+            return self.encode(self.before + piece)
+        stem = piece.rstrip(MARKS)
+        if len(stem) < len(piece) and stem[-1:].isalpha() and "\n" not in stem:
+            return self[stem] + self.bare[piece[len(stem):]]
         lines = piece.split("\n")
         if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
             return self.bare["\n"].join([self[lines[0]], *map(self.bare.__getitem__, lines[1:])])
-        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha():
-            return self[piece[:-1]] + self.bare[piece[-1]]
-        if piece.isalpha() and max(piece) < "\u0180":
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
-            return array(self.kind, [t.id for t in self.part(self.letters + shown)]).tobytes()
         return self.encode(self.before + piece)
 
 
