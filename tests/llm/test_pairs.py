@@ -35,6 +35,14 @@ def test_links_in_few_and_in_crowded_tokens(spark, monkeypatch):
     same_components(spark, some_texts(2), 3, 60, 100)
 
 
+def test_pairs_whose_first_shared_token_stands_too_late_are_left_out(spark):
+    rows = [(1, 1, 20, 20), (1, 2, 20, 20), (2, 3, 20, 19), (2, 4, 20, 20), (3, 5, 20, 18), (3, 6, 20, 20), (4, 7, 20, 17), (4, 8, 17, 17)]
+    sizes = spark.createDataFrame([(t, d, (n << 32) + rest) for t, d, n, rest in rows], "token long, doc_id long, sizes long")
+    got = {(r.a, r.b) for r in ngram_join._meetings(sizes, 85, 100).collect()}
+    assert got == {(a, b) for (_, a, n, x), (_, b, m, y) in zip(rows[::2], rows[1::2]) if 100 * min(x, y) >= 85 * (n + m - min(x, y))}
+    assert (1, 2) in got and (5, 6) not in got
+
+
 def test_join_of_odd_rows(docs, nothing, spark):
     got = ngram_join.jaccard_components(docs, 5, 80, 100).collect()
     assert sorted((tuple(r) for r in got), key=str) == jaccard_components(ROWS, 5, 80, 100)

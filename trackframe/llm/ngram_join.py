@@ -1,7 +1,8 @@
 """Exact Jaccard self-join of documents on word shingles, filtered under several token orders.
 
 Two sets with similarity t or more share a token among the first n - ceil(t n) + 1 tokens of each, whatever
-order all tokens are put in. The first order is indexed: documents meet where their prefixes under it meet.
+order all tokens are put in. The first order is indexed: documents meet where their prefixes under it meet, and at
+the first token they share, what follows it in the shorter rest must still be enough tokens for a link.
 A pair that met is kept only if its prefixes meet under the other orders too, and what is left is verified
 on the whole sets. All orders put tokens that tasks saw often last (by powers of two) and are random otherwise,
 each in its own way; how well the tasks' counts hit the true ones changes cost, never results.
@@ -29,6 +30,7 @@ BLOCK_ROWS = 256         # documents of a block
 BLOCK_TOKENS = 2_000_000  # tokens of a block
 SEEN = 4_000_000         # tokens a task counts at once
 FREQUENT = 1 << 18       # tokens in the broadcast table of frequent ones
+LOWER = (1 << 32) - 1
 BROADCAST_IDS = 500_000  # ids that may be broadcast
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
@@ -62,16 +64,25 @@ def _frequent(docs: DataFrame, words: int, least: int = 3):
     return tokens[order], level[order]
 
 
-def prefix(tokens: np.ndarray, order: int, frequent, num: int, den: int) -> np.ndarray:
-    """The tokens that come first under an order, as many as the similarity num / den asks for."""
-    n = len(tokens)
-    p = n + 1 - -(-num * n // den)
+def _ranks(tokens: np.ndarray, order: int, frequent) -> np.ndarray:
     known, level = frequent
     rank = mixed(tokens ^ np.uint64(order)) >> np.uint64(8)
     if len(known):
         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
         rank |= np.where(known[at] == tokens, level[at], np.uint64(0)) << np.uint64(56)
-    return tokens[np.argpartition(rank, p - 1)[:p]] if 0 < p < n else tokens
+    return rank
+
+
+def prefix(tokens: np.ndarray, order: int, frequent, num: int, den: int) -> np.ndarray:
+    """The tokens that come first under an order, as many as the similarity num / den asks for."""
+    n = len(tokens)
+    p = n + 1 - -(-num * n // den)
+    return tokens[np.argpartition(_ranks(tokens, order, frequent), p - 1)[:p]] if 0 < p < n else tokens
+
+
+def in_order(tokens: np.ndarray, order: int, frequent) -> np.ndarray:
+    """Tokens sorted by an order, by themselves where it ties."""
+    return tokens[np.lexsort((tokens, _ranks(tokens, order, frequent)))]
 
 
 def _signed(rows: list[np.ndarray]) -> pa.ListArray:
@@ -95,19 +106,22 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, words: int, frequent, num: int, den: int) -> DataFrame:
-    """token, doc_id, n: the prefix under the first order. 48 bits of a token find its meetings."""
+    """token, doc_id, n, rest: the prefix under the first order, each token with how many of the whole set come from it
+    on. 48 bits of a token find its meetings; n and rest share a column, n in the upper half."""
 
     def build(batches):
         for batch in batches:
             sets = [shingle_set(v.as_py(), words) for v in batch.column(1)]
-            firsts = [prefix(s, ORDERS[0], frequent.value, num, den) >> np.uint64(16) for s in sets]
+            firsts = [in_order(prefix(s, ORDERS[0], frequent.value, num, den), ORDERS[0], frequent.value) >> np.uint64(16)
+                      for s in sets]
             size = [len(f) for f in firsts]
+            sizes = [np.int64(len(s) << 32) + len(s) - np.arange(len(f)) for s, f in zip(sets, firsts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array((np.concatenate(firsts) if firsts else np.zeros(0, np.uint64)).view(np.int64)),
                  pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size), pa.int64()),
-                 pa.array(np.repeat(np.array([len(s) for s in sets], np.int64), size))], ["token", "doc_id", "n"])
+                 pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64))], ["token", "doc_id", "sizes"])
 
-    return docs.select("doc_id", "_text").mapInArrow(build, "token long, doc_id long, n long")
+    return docs.select("doc_id", "_text").mapInArrow(build, "token long, doc_id long, sizes long")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -175,7 +189,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _meetings(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """From (token, doc_id, n) rows: pairs (a, b) of tokens with few documents, (token, doc_id) of crowded ones."""
+    """From the prefixes: pairs (a, b) of tokens with few documents, (token, doc_id) of crowded ones. A pair is left out
+    where a link would need more tokens than its sets share if this is the first shared one."""
 
     def meet(batches):
         names = ["crowded", "a", "b"]
@@ -194,8 +209,9 @@ def _meetings(rows: DataFrame, num: int, den: int) -> DataFrame:
                     continue
                 i, j = np.triu_indices(s, 1)
                 a, b = table[1][at[:, i]].ravel(), table[1][at[:, j]].ravel()
-                m, n = table[2][at[:, i]].ravel(), table[2][at[:, j]].ravel()
-                ok = (np.minimum(m, n) * den >= np.maximum(m, n) * num) & (a != b)
+                x, y = table[2][at[:, i]].ravel(), table[2][at[:, j]].ravel()
+                most = np.minimum(x & LOWER, y & LOWER)
+                ok = ((num + den) * most >= num * ((x >> 32) + (y >> 32))) & (a != b)
                 pairs = np.unique(np.stack([a[ok], b[ok]]), axis=1)
                 if pairs.shape[1]:
                     yield out(False, pairs[0], pairs[1])
