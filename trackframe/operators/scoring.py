@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from trackframe.session import cut_lineage
@@ -44,12 +43,22 @@ def fit_classifier(train: DataFrame, columns, label: str = "label") -> PipelineM
     return Pipeline(stages=stages).fit(train.withColumn("w", weight))
 
 
-def scored(model: PipelineModel, rows: DataFrame, columns, ids=("video_id", "ant_id"),
-           out: str = "excavating_score") -> DataFrame:
+def _raw_weights(model: PipelineModel) -> tuple[float, list[float]]:
+    """Intercept and weights on unscaled features."""
+    scaler, regression = model.stages[1], model.stages[2]
+    spread = np.where(scaler.std.toArray() > 0, scaler.std.toArray(), 1.0)
+    w = np.where(scaler.std.toArray() > 0, regression.coefficients.toArray(), 0.0) / spread
+    return float(regression.intercept - w @ scaler.mean.toArray()), [float(x) for x in w]
+
+
+def scored(model: PipelineModel, rows: DataFrame, columns, out: str = "excavating_score") -> DataFrame:
     """All rows with their score, null where a feature is missing."""
-    whole = rows.dropna(subset=list(columns))
-    s = model.transform(whole).select(*ids, F.get(vector_to_array("probability"), F.lit(1)).alias(out))
-    return rows.join(s, list(ids), "left")
+    intercept, weights = _raw_weights(model)
+    margin, whole = F.lit(intercept), F.lit(True)
+    for c, w in zip(columns, weights):
+        margin = margin + F.lit(w) * F.col(c)
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return rows.withColumn(out, F.when(whole, 1 / (1 + F.exp(-margin))))
 
 
 FOLDS = 4096        # folds a task takes at once
