@@ -188,6 +188,11 @@ def test_later_repeats_of_passages_go(spark, docs, nothing):
     assert substring_dedup.without_repeats(nothing).count() == 0
 
 
+def test_first_places_carry_one_id(docs):
+    plan = substring_dedup.without_repeats(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(doc_id" in plan and "max(" not in plan
+
+
 def test_rows_of_one_id_join_their_links(spark):
     rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "p q r s t"), (7, "p q r s t"), (9, "x y z"), (9, None)]
     same_components(spark, rows, 4, 85, 100)
