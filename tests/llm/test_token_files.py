@@ -1,10 +1,12 @@
 """Files of token ids: exact round trips, and the library's own ids."""
 
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -83,6 +85,51 @@ def test_letters_before_a_run_of_marks_are_not_cut_again():
     assert not [m for m in met if "ab" in m or "cd" in m]
 
 
+def test_new_words_of_a_group_go_to_the_model_together():
+    t, texts, met = Tokenizer.from_file(BYTES), tf.TextIds(BYTES), []
+    part = texts.spaced.part
+    texts.spaced.part = lambda x: met.append(x) or part(x)
+    rows = [" ".join(f"{a}w\u00f6{b}rd" for a in "abcdefgh" for b in "qrstuvw"[k:]) + ", " * k for k in range(7)]
+    for _ in range(2):
+        ids, ends = texts.of_group(pa.array(rows), b"\xff\xff")
+        want = [[*t.encode(x, add_special_tokens=False).ids, 0xFFFF] for x in rows]
+        assert ids.view("<u2").tolist() == sum(want, []) and (ends // 2).tolist() == np.cumsum([*map(len, want)]).tolist()
+        assert len(met) == 1  # 55 distinct words, in one of two passes
+
+
+@pytest.mark.parametrize("border", [True, False])
+def test_texts_are_not_cut_by_their_neighbours(border):
+    t, texts = Tokenizer.from_file(BYTES), tf.TextIds(BYTES, cached=40)
+    if not border:
+        texts.bare.border = texts.spaced.border = None
+    parts = ["a", "B", "\u00e9", "\u00d7", "'s", "'", "\n", " ", " ", "  ", "\t", "1", ".", ",", "\x00", "<|endoftext|>", "\u00a0",
+             "\u3000", "\u0416", "\u6f22", "\u304b", "\x1c", "\u0085", "\r\n", "\u00aa", "\u0301", "\u00b2"]
+    rng = random.Random(6)
+    for _ in range(30):
+        rows = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(100)]
+        ids, ends = texts.of_group(pa.array(["not read", *rows]).slice(1), b"\x07\x00")
+        starts = [0, *ends[:-1].tolist()]
+        for x, a, b in zip(rows, starts, ends.tolist()):
+            assert ids[a:b].view("<u2").tolist() == [*t.encode(x, add_special_tokens=False).ids, 7], repr(x)
+
+
+def test_a_border_is_joined_with_nothing():
+    made = json.loads(Tokenizer.from_file(BYTES).to_str())
+    assert tf.border_of(made) == b"\x00"
+    made["model"]["vocab"]["\u0100a"] = 60_000  # the vocabulary writes byte 0 as U+0100
+    assert tf.border_of(made) == b"\x01"
+    made["model"]["ignore_merges"] = True
+    assert tf.border_of(made) is None
+
+
+def test_groups_hold_every_row_once():
+    texts = pa.array(["", "abc", "", "d" * 50, "ef", "", "gh"])
+    for size in (1, 4, 1000):
+        groups = list(tf.groups_of(texts, size))
+        assert [k for a, b in groups for k in range(a, b)] == list(range(7))
+    assert groups == [(0, 7)]
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_documents_come_back_in_order(spark, docs, nothing, tmp_path, path):
     def order(row):

@@ -23,7 +23,12 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 def byte_letters(text: str) -> str:
     """The text as byte-level vocabularies write it."""
-    return text.encode().decode("latin-1").translate(BYTE_LETTERS)
+    return letters_of(text.encode())
+
+
+def letters_of(raw: bytes) -> str:
+    """Bytes as byte-level vocabularies write them."""
+    return raw.decode("latin-1").translate(BYTE_LETTERS)
 
 
 def text_of(column: str = "text") -> Column:
