@@ -4,10 +4,15 @@ import collections
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tests.llm.brute import jaccard_components
 from tests.llm.conftest import ROWS
 from trackframe.llm import components, decontamination, ngram_join, substring_dedup
 
+OTHERS = [(None if d is None else d + 1000, t) for d, t in ROWS]
+
 
 def some_texts(seed, n=120):
     rnd = random.Random(seed)
@@ -35,6 +40,55 @@ def test_links_in_few_and_in_crowded_tokens(spark, monkeypatch):
     same_components(spark, some_texts(2), 3, 60, 100)
 
 
+def test_documents_of_common_runs_leave_the_families(spark, monkeypatch):
+    rnd = random.Random(7)
+    common = [" ".join(f"c{i}x{k}" for k in range(4)) for i in range(20)]  # in every text, which are not alike otherwise
+    rows = [(d, " ".join(f"{rnd.choice(common)} " + " ".join(f"d{rnd.randrange(10**6)}" for _ in range(5)) for _ in range(12))) for d in range(90)]
+    rows += [(100 + d, t + " more") for d, t in rows[:3]]
+    monkeypatch.setattr(ngram_join, "_frequent", lambda *_: (np.zeros(0, np.uint64),) * 2)  # no task sees them often
+    monkeypatch.setattr(ngram_join, "FEW", 0, raising=False)
+    held, links = [], ngram_join._family_links
+    monkeypatch.setattr(ngram_join, "_family_links", lambda members, *a: held.append(members.count()) or links(members, *a))
+    same_components(spark, rows, 4, 85, 100)
+    assert held == [0]
+
+
+def test_rounds_find_the_links_of_copies_and_edits(spark, monkeypatch):
+    for name, value in (("CROWDED", 2), ("BLOCK_ROWS", 4), ("FEW", 0), ("LATE", 30)):
+        monkeypatch.setattr(ngram_join, name, value)
+    same_components(spark, some_texts(3), 3, 60, 100)
+    same_components(spark, some_texts(4) + OTHERS, 4, 85, 100)
+
+
+def test_many_ids_are_found_by_bits(spark, docs, monkeypatch):
+    ids = spark.createDataFrame([(i,) for i in (2, 3, 7, 15, 99)], "doc_id long")
+    want = sorted((str(r) for r in docs.collect() if r["doc_id"] not in (2, 3, 7, 15, 99)))
+    for words in (19, 1):  # with few bits other ids fall on them
+        monkeypatch.setattr(ngram_join, "WORDS", words)
+        for most in (500_000, 0):
+            monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
+            assert sorted(map(str, ngram_join.without(docs, ids).collect())) == want
+            got = ngram_join._among(docs, ids)
+            assert got.columns == docs.columns and {2, 3, 7, 15} <= {r["doc_id"] for r in got.collect()}
+            assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        same_components(spark, some_texts(5) + OTHERS, 3, 60, 100)
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_in_tokens():
+    rng = np.random.default_rng(1)
+    xs, ys, apart = [], [], []
+    for n in [0, 1, 2, 63, 64, 65, 100, 129, 1000, 1025] * 3:
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[rng.integers(0, 2, n) < 1], rng.integers(0, 2**63, rng.integers(0, n + 2), dtype=np.uint64)])
+        xs.append(x), ys.append(y), apart.append(len(np.setxor1d(x, y)))
+    packed = [pa.array(map(ngram_join.sketch, v), pa.binary()) for v in (xs, ys)]
+    for most in (1 << 20, 100):
+        got = ngram_join.differing(*packed, most)
+        assert (got <= apart).all() and (got % 2 == np.array(apart) % 2).all() and got.sum() > 0.4 * sum(apart)
+        assert (ngram_join.differing(packed[0].slice(3), packed[1].slice(3), most) == got[3:]).all()
+    assert (ngram_join.differing(packed[0], packed[0]) == 0).all()
+
+
 def test_pairs_whose_first_shared_token_stands_too_late_are_left_out(spark):
     rows = [(1, 1, 20, 20), (1, 2, 20, 20), (2, 3, 20, 19), (2, 4, 20, 20), (3, 5, 20, 18), (3, 6, 20, 20), (4, 7, 20, 17), (4, 8, 17, 17)]
     sizes = spark.createDataFrame([(t, d, (n << 32) + rest) for t, d, n, rest in rows], "token long, doc_id long, sizes long")

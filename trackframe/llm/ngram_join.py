@@ -3,13 +3,15 @@
 Two sets with similarity t or more share a token among the first n - ceil(t n) + 1 tokens of each, whatever
 order all tokens are put in. The first order is indexed: documents meet where their prefixes under it meet, and at
 the first token they share, what follows it in the shorter rest must still be enough tokens for a link.
-A pair that met is kept only if its prefixes meet under the other orders too, and what is left is verified
-on the whole sets. All orders put tokens that tasks saw often last (by powers of two) and are random otherwise,
-each in its own way; how well the tasks' counts hit the true ones changes cost, never results.
+A pair that met is kept only if what its sets can share by their sketches is enough, if its prefixes meet under the
+other orders too, and if the whole sets link. All orders put tokens that tasks saw often last (by powers of two) and
+are random otherwise, each in its own way; how well the tasks' counts hit the true ones changes cost, never results.
 
 Equal sets are one node throughout. A token met by few documents emits their pairs. Documents that meet in
-crowded tokens form families; a family is cut into blocks of similar set size, and each pair of blocks is a
-group of bounded size that returns a spanning forest of its links, not its pairs.
+crowded tokens meet again in a further round, under an order in which those tokens stand later, as long as that
+leaves fewer of them; a link shares a prefix token under any order, so no round loses one. What is still crowded
+then (true copies, mostly) forms families; a family is cut into blocks of similar set size, and each pair of blocks
+is a group of bounded size that returns a spanning forest of its links, not its pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ BLOCK_TOKENS = 2_000_000  # tokens of a block
 SEEN = 4_000_000         # tokens a task counts at once
 FREQUENT = 1 << 18       # tokens in the broadcast table of frequent ones
 LOWER = (1 << 32) - 1
-BROADCAST_IDS = 500_000  # ids that may be broadcast
+LATE = 1 << 19           # tokens in the broadcast table of crowded ones
+FEW = 2048               # documents in crowded tokens that are left to blocks without another round
+BROADCAST_IDS = 500_000  # ids that may be broadcast; of more, one bit each
+WORDS = 19               # logarithm of the number of 64-bit words that hold those bits
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -64,25 +69,31 @@ def _frequent(docs: DataFrame, words: int, least: int = 3):
     return tokens[order], level[order]
 
 
-def _ranks(tokens: np.ndarray, order: int, frequent) -> np.ndarray:
-    known, level = frequent
-    rank = mixed(tokens ^ np.uint64(order)) >> np.uint64(8)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        rank |= np.where(known[at] == tokens, level[at], np.uint64(0)) << np.uint64(56)
-    return rank
+def _levels(tokens: np.ndarray, table) -> np.ndarray:
+    known, level = table
+    if not len(known):
+        return np.zeros(len(tokens), np.uint64)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, level[at], np.uint64(0))
 
 
-def prefix(tokens: np.ndarray, order: int, frequent, num: int, den: int) -> np.ndarray:
+def _ranks(tokens: np.ndarray, order: int, frequent, late=None) -> np.ndarray:
+    level = _levels(tokens, frequent)
+    if late is not None:
+        level = np.maximum(level, _levels(tokens >> np.uint64(16), late))
+    return (mixed(tokens ^ np.uint64(order)) >> np.uint64(8)) | level << np.uint64(56)
+
+
+def prefix(tokens: np.ndarray, order: int, frequent, num: int, den: int, late=None) -> np.ndarray:
     """The tokens that come first under an order, as many as the similarity num / den asks for."""
     n = len(tokens)
     p = n + 1 - -(-num * n // den)
-    return tokens[np.argpartition(_ranks(tokens, order, frequent), p - 1)[:p]] if 0 < p < n else tokens
+    return tokens[np.argpartition(_ranks(tokens, order, frequent, late), p - 1)[:p]] if 0 < p < n else tokens
 
 
-def in_order(tokens: np.ndarray, order: int, frequent) -> np.ndarray:
+def in_order(tokens: np.ndarray, order: int, frequent, late=None) -> np.ndarray:
     """Tokens sorted by an order, by themselves where it ties."""
-    return tokens[np.lexsort((tokens, _ranks(tokens, order, frequent)))]
+    return tokens[np.lexsort((tokens, _ranks(tokens, order, frequent, late)))]
 
 
 def _signed(rows: list[np.ndarray]) -> pa.ListArray:
@@ -105,15 +116,18 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "_text").mapInArrow(build, "doc_id long, n long, d1 long, d2 long")
 
 
-def _prefixes(docs: DataFrame, words: int, frequent, num: int, den: int) -> DataFrame:
+def _prefixes(docs: DataFrame, words: int, frequent, late, num: int, den: int) -> DataFrame:
     """token, doc_id, n, rest: the prefix under the first order, each token with how many of the whole set come from it
     on. 48 bits of a token find its meetings; n and rest share a column, n in the upper half."""
 
+    def first(tokens):
+        tokens = prefix(tokens, ORDERS[0], frequent.value, num, den, late.value)
+        return in_order(tokens, ORDERS[0], frequent.value, late.value) >> np.uint64(16)
+
     def build(batches):
         for batch in batches:
             sets = [shingle_set(v.as_py(), words) for v in batch.column(1)]
-            firsts = [in_order(prefix(s, ORDERS[0], frequent.value, num, den), ORDERS[0], frequent.value) >> np.uint64(16)
-                      for s in sets]
+            firsts = [first(s) for s in sets]
             size = [len(f) for f in firsts]
             sizes = [np.int64(len(s) << 32) + len(s) - np.arange(len(f)) for s, f in zip(sets, firsts)]
             yield pa.RecordBatch.from_arrays(
@@ -133,30 +147,55 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "_text").mapInArrow(build, "doc_id long, tokens array<long>")
 
 
-def _halves(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, h (distinct 32-bit parts of the tokens) and lost (tokens that fell together)."""
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bit for each of 2**k places, as many as there are tokens or up to twice that, 64 at least: whether an odd
+    number of tokens fall there. Sets whose sketches differ in d bits differ in d tokens or more."""
+    places = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: pa.Array, y: pa.Array, most: int = 1 << 20) -> np.ndarray:
+    """In how many bits the sketches of each row differ, the longer one folded to the other's places."""
+    (at_x, x), (at_y, y) = ((np.frombuffer(v.buffers()[1], np.int32)[v.offset:v.offset + len(v) + 1].astype(np.int64),
+                             np.frombuffer(v.buffers()[2], np.uint8)) for v in (x, y))
+    long_x, long_y = np.diff(at_x), np.diff(at_y)
+    out = np.zeros(len(long_x), np.int64)
+    for m, n in np.unique(np.stack([long_x, long_y], axis=1), axis=0).tolist():
+        same, k = np.flatnonzero((long_x == m) & (long_y == n)), min(m, n)
+        step = max(1, most // max(m, n))
+        for rows in (same[i:i + step] for i in range(0, len(same), step)):
+            folded = (np.bitwise_xor.reduce(v[at[rows][:, None] + np.arange(size)].reshape(len(rows), -1, k), axis=1)
+                      for v, at, size in ((x, at_x, m), (y, at_y, n)))
+            out[rows] = np.bitwise_count(np.bitwise_xor(*folded)).sum(axis=1, dtype=np.int64)
+    return out
 
+
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
     def build(batches):
         for batch in batches:
             sets = [shingle_set(v.as_py(), words) for v in batch.column(1)]
-            parts = [np.unique(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets]
-            ends = np.cumsum([0, *map(len, parts)])
-            h = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, sets), pa.int64()), h,
-                 pa.array([len(s) - len(x) for s, x in zip(sets, parts)], pa.int64())], ["doc_id", "n", "h", "lost"])
+                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())],
+                ["doc_id", "n", "bits"])
+
+    return docs.select("doc_id", "_text").mapInArrow(build, "doc_id long, n long, bits binary")
 
-    return docs.select("doc_id", "_text").mapInArrow(build, "doc_id long, n long, h array<int>, lost long")
 
+def _near_pairs(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sets can link by what their sketches leave them to share, a bound that is never too low."""
 
-def _near_pairs(pairs: DataFrame, halves: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets can link by the half-length tokens they share. Tokens of one set that fell together
-    are added, so the bound is never too low."""
-    halves = halves.repartition("doc_id")
-    sides = [halves.select(*[F.col(k).alias(f"{k}_{s}") for k in halves.columns]) for s in "ab"]
-    most = F.size(F.array_intersect("h_a", "h_b")) + F.least("lost_a", "lost_b")
+    def compare(batches):
+        for batch in batches:
+            n, m = (np.asarray(c) for c in batch.columns[2:4])
+            most = np.minimum(np.minimum(n, m), (n + m - differing(*batch.columns[4:])) // 2)
+            mask = pa.array(den * most >= num * (n + m - most))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    sketches = sketches.repartition("doc_id")
+    sides = [sketches.select(*[F.col(k).alias(f"{k}_{s}") for k in sketches.columns]) for s in "ab"]
     return (pairs.join(sides[0], F.col("a") == F.col("doc_id_a")).join(sides[1], F.col("b") == F.col("doc_id_b"))
-            .filter(den * most >= num * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct())
+            .select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(compare, "a long, b long").distinct())
 
 
 def _linked_pairs(near: DataFrame, sets: DataFrame, frequent, num: int, den: int) -> DataFrame:
@@ -179,9 +218,31 @@ def _linked_pairs(near: DataFrame, sets: DataFrame, frequent, num: int, den: int
             .select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long"))
 
 
-def _of_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """left_semi or left_anti join on all columns of ids; few are broadcast, more are joined as they are."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ids.columns, how)
+def _with_bit(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
+    """rows, and a column that is true where the id has the same place among the broadcast bits of all ids; its name."""
+    key, own = ids.columns[0], "_" * (1 + max(map(len, rows.columns)))  # a name longer than any other
+    word, bit = f"shiftrightunsigned(xxhash64(`{key}`), {64 - WORDS})", f"cast(xxhash64(`{key}`) & 63 AS int)"
+    bits = ids.groupBy(F.expr(word).alias(f"{own}w")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias(f"{own}b"))
+    held = rows.join(F.broadcast(bits), F.expr(word) == F.col(f"{own}w"), "left")
+    return held.withColumn(own, F.expr(f"coalesce(shiftright({own}b, {bit}) & 1 = 1, false)")).drop(f"{own}w", f"{own}b"), own
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ids. Of many ids a bit each is broadcast, so that rows with whole texts or sets are
+    not shuffled; rows of other ids that fall on the same bits come along then."""
+    if ids.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), ids.columns, "left_semi")
+    held, bit = _with_bit(rows.dropna(subset=ids.columns), ids)
+    return held.filter(bit).drop(bit)
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id, if any, is not among ids. Of many ids only rows that fall on their bits are shuffled."""
+    if ids.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), ids.columns, "left_anti")
+    held, bit = _with_bit(rows, ids)
+    other, same = held.filter(f"NOT {bit}").drop(bit), held.filter(bit).drop(bit)
+    return other.unionByName(same.join(ids, ids.columns, "left_anti").select(*rows.columns))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -239,6 +300,36 @@ def _meetings(rows: DataFrame, num: int, den: int) -> DataFrame:
             .mapInArrow(meet, "crowded boolean, a long, b long"))
 
 
+def _met(nodes: DataFrame, words: int, frequent, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), and (token, doc_id) of the tokens that are still crowded after the last round."""
+    rows, pairs, before = nodes, None, None
+    tokens, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    while True:
+        late = nodes.sparkSession.sparkContext.broadcast((tokens, np.log2(np.maximum(times, 1)).astype(np.uint64)))
+        met = cut_lineage(_meetings(_prefixes(rows, words, frequent, late, num, den), num, den))
+        found = met.filter("NOT crowded").select("a", "b")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        crowded = met.filter("crowded").select(F.col("a").alias("token"), F.col("b").alias("doc_id")).distinct()
+        ids = cut_lineage(crowded.select("doc_id").distinct())
+        n = ids.count()
+        if n <= FEW or before is not None and 5 * n > 4 * before:
+            return pairs.distinct(), crowded
+        rows, before = _among(nodes, ids), n
+        tokens, times = _later(crowded, tokens, times)
+
+
+def _later(crowded: DataFrame, tokens: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table of late tokens (sorted, with how many documents they had) with those of crowded added."""
+    counts = cut_lineage(crowded.groupBy("token").agg(F.count("*").alias("n")))
+    top = (counts if counts.count() <= LATE else counts.orderBy(F.desc("n"), "token").limit(LATE)).toArrow()
+    tokens = np.concatenate([tokens, top["token"].to_numpy().view(np.uint64)])
+    times = np.concatenate([times, top["n"].to_numpy()])
+    often = np.lexsort((tokens, -times))  # a token that comes twice counts as often as it did when it did more
+    first = often[np.sort(np.unique(tokens[often], return_index=True)[1])[:LATE]]
+    by = first[np.argsort(tokens[first])]
+    return tokens[by], times[by]
+
+
 def _forest(left: np.ndarray, right: np.ndarray, ids_left, ids_right) -> list[tuple[int, int]]:
     """A spanning forest of the links between rows left[i] and right[i]."""
     root: dict[int, int] = {}
@@ -344,19 +435,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     # an id that repeats with another text may be a copy in one row and a node in the other: it stays
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
     gone = cut_lineage(copies.select("doc_id").join(repeated, "doc_id", "left_anti").distinct())
-    nodes = _of_ids(source.filter("doc_id IS NOT NULL"), gone, "left_anti")
-    met = cut_lineage(_meetings(_prefixes(nodes, words, frequent, num, den), num, den))
-    pairs = met.filter("NOT crowded").select("a", "b").distinct()
-    crowded = met.filter("crowded").select(F.col("a").alias("token"), F.col("b").alias("doc_id")).distinct()
+    nodes = without(source.filter("doc_id IS NOT NULL"), gone)
+    pairs, crowded = _met(nodes, words, frequent, num, den)
     hubs = crowded.groupBy("token").agg(F.min("doc_id").alias("hub"))
     touching = crowded.join(hubs, "token").select("doc_id", "hub").distinct()
     families = components(touching, "doc_id", "hub").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     families = cut_lineage(families)
     met_ids = cut_lineage(_ends(pairs))
-    near = cut_lineage(_near_pairs(pairs, _halves(_of_ids(source, met_ids, "left_semi"), words), num, den))
+    near = cut_lineage(_near_pairs(pairs, _sketches(_among(source, met_ids), words), num, den))
     wanted = cut_lineage(_ends(near).unionByName(families.select("doc_id")).distinct())
-    sets = cut_lineage(_sets(_of_ids(source, wanted, "left_semi"), words))
-    direct = _linked_pairs(near, _of_ids(sets, cut_lineage(_ends(near)), "left_semi"), frequent, num, den)
+    sets = cut_lineage(_sets(_among(source, wanted), words))
+    direct = _linked_pairs(near, _among(sets, cut_lineage(_ends(near))), frequent, num, den)
     same = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     loose = same.join(repeated.withColumnRenamed("doc_id", "a"), "a", "left_semi")
     linked = components(direct.unionByName(_family_links(families, sets, frequent, num, den)).unionByName(loose))
