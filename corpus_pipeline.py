@@ -55,8 +55,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = numbered.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id"))
     first = found.join(ids, "doc_id").groupBy("component_id").agg(
         F.min(F.struct(F.col("id").isNull(), "id", F.col("doc_id").alias("row"))).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = found.join(first, "component_id").filter("doc_id <> first.row").select(F.col("doc_id").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+    gone = cut_lineage(found.join(first, "component_id").filter("doc_id <> first.row").select(F.col("doc_id").alias(row)))
+    return ngram_join.without(numbered, gone).select(*docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm.brute import jaccard_components, personal_spans
 from tests.oracle import compare, connect
-from trackframe.llm import toxicity
+from trackframe.llm import ngram_join, toxicity
 from trackframe.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -105,6 +105,23 @@ def test_different_texts_of_one_id_stay(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[i] for i in (0, 1, 2, 4, 7, 8, 9)]))
 
 
+def test_texts_are_not_shuffled_to_leave_copies_out(spark, monkeypatch):
+    said = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(i, said(k), k) for i, k in enumerate("abcabdaae")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __________________w string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (500_000, 0):
+            monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
+            got = corpus_pipeline.one_of_each(spark, docs, SF)
+            assert sorted(map(tuple, got.collect())) == [rows[i] for i in (0, 1, 2, 5, 8)]
+            if most:
+                assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_only_rows_whose_own_text_leaks_go(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 100").orderBy("item_id").first()["text"]
     rows = [(None, "a clean row without id"), (None, f"before it {item} after it"), (5, "a clean row of a repeated id"), (5, item),
